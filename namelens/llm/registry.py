@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namelens.llm import exactdedup, mixing, packing, quality, simhash, toxicity
+from namelens.llm import exactdedup, htmlmain, licenses, minhash, mixing, packing, pii, quality, simhash, toxicity
 from namelens.llm.common import table
 
 
@@ -18,14 +18,30 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.groups_of(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scans(table(spark, sf_dir, "documents"))
+
+
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scans(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -34,6 +50,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_quality_classifier, op5_exact_dedup, op7_toxic_segments, op9_best_fit_packing, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_quality_classifier, op3_minhash_fingerprints, op4_html_main_text, op5_exact_dedup, op6_license_scan, op7_toxic_segments, op8_pii_spans, op9_best_fit_packing, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op1_source_mixing": mixing.ORACLE_SQL, "op5_exact_dedup": exactdedup.ORACLE_SQL}
