@@ -53,34 +53,39 @@ def fold_text(label: str) -> dict:
     return {"folded": "".join(out), "suspicious": beyond or mixed, "substitutions": changed, "mixed_script": mixed, "scripts": scripts}
 
 
+def decode_text(domain: str) -> str | None:
+    """The Unicode form of a domain with international labels; null if there is none or one can't be decoded."""
+    labels = domain.split(".")
+    if not any(x.startswith("xn--") for x in labels):
+        return None
+    try:
+        return ".".join(x[4:].encode("ascii").decode("punycode") if x.startswith("xn--") else x for x in labels)
+    except (UnicodeError, ValueError, OverflowError):
+        return None
+
+
 @F.pandas_udf(FOLD)
 def _fold(labels: pd.Series) -> pd.DataFrame:
-    rows = [fold_text(x) if x is not None else dict.fromkeys(("folded", "suspicious", "substitutions", "mixed_script", "scripts")) for x in labels]
-    return pd.DataFrame(rows, columns=["folded", "suspicious", "substitutions", "mixed_script", "scripts"])
+    columns = ["folded", "suspicious", "substitutions", "mixed_script", "scripts"]
+    rows = [fold_text(decode_text(x) or x) if x is not None else dict.fromkeys(columns) for x in labels]
+    return pd.DataFrame(rows, columns=columns)
 
 
 def fold(label: Column) -> Column:
-    """A struct of FOLD.  Only labels beyond ASCII leave the JVM."""
+    """A struct of FOLD for a label, decoded first if it is an international one.
+
+    Only labels beyond ASCII and encoded ones leave the JVM.
+    """
     swapped = F.filter(F.split(label, ""), lambda c: c.isin(*C.DIGIT_SWAPS))
     to = lambda c: F.translate(c, "".join(C.DIGIT_SWAPS), "".join(C.DIGIT_SWAPS.values()))
-    ascii_only = F.struct(
+    plain = F.struct(
         to(F.lower(label)).alias("folded"), F.lit(False).alias("suspicious"),
         F.transform(swapped, lambda c: F.struct(c.alias("from"), to(c).alias("to"), F.concat(F.lit("U+00"), F.hex(F.ascii(c))).alias("codepoint"))).alias("substitutions"),
         F.lit(False).alias("mixed_script"), F.when(label.rlike("[A-Za-z]"), domains.lits(["Latin"])).otherwise(F.array().cast("array<string>")).alias("scripts"),
     )
-    beyond = domains.has_non_ascii(label)
-    return F.when(beyond, _fold(F.when(beyond, label))).otherwise(F.when(label.isNotNull(), ascii_only.cast(FOLD)))
-
-
-def decode_text(domain: str) -> str | None:
-    """The Unicode form of a domain with international labels; null if there is none or one can't be decoded."""
-    labels = domain.split(".")
-    if not any(x.startswith("xn--") for x in labels):
-        return None
-    try:
-        return ".".join(x[4:].encode("ascii").decode("punycode") if x.startswith("xn--") else x for x in labels)
-    except (UnicodeError, ValueError, OverflowError):
-        return None
+    odd = domains.has_non_ascii(label) | label.rlike(r"(?:^|\.)xn--")
+    # marked so that Spark neither repeats it nor moves it into a filter
+    return F.when(odd, _fold.asNondeterministic()(F.when(odd, label))).otherwise(F.when(label.isNotNull(), plain.cast(FOLD)))
 
 
 @F.pandas_udf(T.StringType())
@@ -90,7 +95,7 @@ def _decode(domains_: pd.Series) -> pd.Series:
 
 def to_unicode(domain: Column) -> Column:
     encoded = domains.is_punycode(domain)
-    return F.when(encoded, _decode(F.when(encoded, domain)))
+    return F.when(encoded, _decode.asNondeterministic()(F.when(encoded, domain)))
 
 
 def described(substitutions: Column) -> Column:

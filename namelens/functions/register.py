@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
-from namelens.functions import edit, folding
-from namelens.sources import certificates
+from namelens.functions import edit
+from namelens.functions.folding import fold_text
+from namelens.sources.certificates import dns_names, parse_leaf
 
 
 @F.pandas_udf(T.StringType())
 def folded(labels: pd.Series) -> pd.Series:
-    return labels.map(lambda x: folding.fold_text(x)["folded"] if x is not None else None)
+    return labels.map(lambda x: fold_text(x)["folded"] if x is not None else None)
 
 
-@udtf(returnType="name: string")
 class CertificateNames:
     """One row for each DNS name of a base64 log leaf."""
 
     def eval(self, leaf: str):
-        found = certificates.parse_leaf(leaf) if leaf is not None else None
-        for name in certificates.dns_names(found[2]) if found else ():
+        found = parse_leaf(leaf) if leaf is not None else None
+        for name in dns_names(found[2]) if found else ():
             yield (name,)
 
 
@@ -33,4 +33,4 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("fold_label", folded)
     spark.udf.register("osa_within_two", edit.osa_within_two)
     spark.udf.register("name_similarity", edit.similarity)
-    spark.udtf.register("certificate_names", CertificateNames)
+    spark.udtf.register("certificate_names", udtf(CertificateNames, returnType="name: string"))

@@ -43,7 +43,7 @@ def screened(names: DataFrame, allowlist: DataFrame | None = None) -> DataFrame:
         known = allowlist.select(F.trim(F.lower("domain")).alias("domain")).distinct()
         rows = rows.join(known, "domain", "left_anti")
     rows = rows.withColumn("ascii_label", domains.registrable_label(F.col("domain"))).where("ascii_label <> ''")
-    rows = rows.withColumn("fold", folding.fold(F.coalesce(folding.to_unicode(F.col("ascii_label")), F.col("ascii_label"))))
+    rows = rows.withColumn("fold", folding.fold(F.col("ascii_label")))
     return rows.select(
         "domain", folding.to_unicode(F.col("domain")).alias("unicode_domain"), "fold", domains.tokenize(F.col("fold.folded")).alias("tokens"),
         domains.flatten(F.col("fold.folded")).alias("flat"), domains.keyword_hits(domains.tokenize(F.col("fold.folded"))).alias("keywords"),

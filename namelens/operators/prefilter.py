@@ -37,10 +37,10 @@ def interesting(names: DataFrame, terms: list[str], mode: str = "compat") -> Dat
     if mode not in ("compat", "sound"):
         raise ValueError(f"mode is compat or sound, not {mode}")
     spark, lower = names.sparkSession, F.lower("name")
-    decoded = folding.to_unicode(lower)
-    forms = F.array(lower, folding.fold(decoded)["folded"]) if mode == "compat" else F.array(lower, folding.fold(F.coalesce(decoded, lower))["folded"])
-    undecodable = domains.is_punycode(lower) & decoded.isNull()
-    rows = names.withColumn("_row", F.struct(*names.columns)).select("_row", F.filter(forms, lambda f: f.isNotNull()).alias("forms"), undecodable.alias("odd"))
+    encoded = domains.is_punycode(lower)
+    folded = folding.fold(lower if mode == "sound" else F.when(encoded, lower))
+    rows = names.withColumn("_row", F.struct(*names.columns)).select("_row", lower.alias("lower"), folded["folded"].alias("folded"), (encoded & folding.to_unicode(lower).isNull()).alias("odd"))
+    rows = rows.withColumn("forms", F.array_compact(F.array("lower", "folded"))).drop("lower", "folded")
     most = 1 if mode == "compat" else C.MAX_DISTANCE
     fuzzy = [t for t in terms if len(t) >= C.FUZZY_LENGTH]
     hit = F.col("odd") | F.exists("forms", lambda f: _literal_hit(f, terms))

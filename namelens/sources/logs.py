@@ -77,6 +77,7 @@ class _StreamReader(DataSourceStreamReader):
         return now
 
     def partitions(self, start: dict, end: dict) -> list[LogRange]:
+        self.commit(start)  # after a restart triggers go on from there
         out = []
         for log, last in end.items():
             first = start.get(log, self.first)
@@ -90,7 +91,7 @@ class _StreamReader(DataSourceStreamReader):
         return _entries(self.path, partition)
 
     def commit(self, end: dict) -> None:
-        self.at = {**self.at, **end}
+        self.at = {log: max(n, self.at.get(log, 0)) for log, n in end.items()}
 
 
 class RecordedLogs(DataSource):
