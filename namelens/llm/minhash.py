@@ -31,7 +31,10 @@ _SHIFT = 63 - 8
 #: Bin j's permutation meets bin START[j] + t * odd at step t, modulo BINS; INVERSE[j] is the inverse of that odd number.
 _random = random.Random(256)
 START = [_random.randrange(BINS) for _ in range(BINS)]
-INVERSE = [pow(2 * _random.randrange(BINS // 2) + 1, -1, BINS) for _ in range(BINS)]
+_ODD = [2 * _random.randrange(BINS // 2) + 1 for _ in range(BINS)]
+INVERSE = [pow(odd, -1, BINS) for odd in _ODD]
+#: The bins of every permutation's first steps; in a text that fills most bins one of them nearly always is.
+FIRST_STEPS = [[(START[j] + t * _ODD[j]) % BINS for j in range(BINS)] for t in range(8)]
 #: Rows that a bucket of neighbouring documents should have, and cells of the doc_id range that buckets are made of.
 BUCKET, CELLS = 1000, 8192
 
@@ -62,17 +65,16 @@ def bin_values(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(out, _shingle_hashes(out))
     df = df.withColumn(out, F.sort_array(F.concat(F.col(out), marks)))
     df = df.withColumn(out, F.filter(F.col(out), lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(F.col(out), i - 1)))))
-    empty = lambda x: x.bitwiseAND(F.lit(last)) == last
-    filled = F.filter(F.transform(F.col(out), lambda x, i: F.when(empty(x), F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
-    df = df.withColumn(out, F.struct(F.col(out).alias("v"), filled.alias("f")))
+    df = df.withColumn(out, F.transform(F.col(out), lambda x: F.when(x.bitwiseAND(F.lit(last)) != last, x)))
+    value = F.col(out)
 
     def borrowed(j: Column) -> Column:
-        """The value of the filled bin that the permutation of bin j meets first."""
-        steps = F.transform(F.col(f"{out}.f"), lambda b: F.pmod((b - F.get(F.lit(START), j)) * F.get(F.lit(INVERSE), j), F.lit(BINS)) * BINS + b)
-        return F.get(F.col(f"{out}.v"), F.pmod(F.array_min(steps), F.lit(BINS)))
+        """The value of the filled bin that the permutation of bin j meets first: by its first steps, else by the least step of all."""
+        filled = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get(value, b).isNotNull())
+        steps = F.transform(filled, lambda b: F.pmod((b - F.get(F.lit(START), j)) * F.get(F.lit(INVERSE), j), F.lit(BINS)) * BINS + b)
+        return F.coalesce(*[F.get(value, F.get(F.lit(bins), j)) for bins in FIRST_STEPS], F.get(value, F.pmod(F.array_min(steps), F.lit(BINS))))
 
-    dense = F.transform(F.col(f"{out}.v"), lambda x, j: F.when(empty(x), borrowed(j)).otherwise(x))
-    return df.withColumn(out, F.when(F.size(f"{out}.f") == BINS, F.col(f"{out}.v")).otherwise(dense))
+    return df.withColumn(out, F.transform(value, lambda x, j: F.coalesce(x, borrowed(j))))
 
 
 def fingerprint(values: Column) -> Column:
