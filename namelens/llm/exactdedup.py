@@ -113,7 +113,8 @@ def groups_of(docs: DataFrame) -> DataFrame:
     rows = digests(docs)
     routed = rows.join(repeated_fingerprints(rows), "fp", "left_semi")
     best = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("null"), "doc_id", "row")
-    verified = routed.groupBy("sha").agg(F.min(best).alias("keep"), F.count("*").alias("size"))
+    # written, so that the join below shuffles both sides plainly and Spark can split a hot text's rows
+    verified = checkpoint(routed.groupBy("sha").agg(F.min(best).alias("keep"), F.count("*").alias("size")))
     out = rows.join(verified, "sha", "left")
     alone = F.col("keep").isNull()
     return out.select(
