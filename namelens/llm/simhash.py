@@ -228,7 +228,8 @@ def components(rows: DataFrame) -> DataFrame:
     linked = checkpoint(roots.join(fps, "fp"))
     best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(best, "root").select("fp", "component_id")
-    of_fp = fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the join below shuffles both sides plainly and Spark can split a hot fingerprint's rows
+    of_fp = checkpoint(fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return rows.join(of_fp, "fp")
 
 
