@@ -129,7 +129,7 @@ class Page:
             while e:
                 if self.tags[e] in CONTAINER:
                     score[e] += weight * share * (1.5 if self.tags[e] in ("article", "main") else 1.0)
-                    share *= 0.9
+                    share *= 0.8
                 e = self.parent[e]
         if not score:
             return "", 0.0
