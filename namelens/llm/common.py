@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SPACE = "[\\x20\\x09-\\x0D]"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]+"
 #: Text bytes that one NumPy step works on; bounds a task's memory.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +38,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -52,18 +51,23 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about STEP_BYTES of text, one row at least."""
-    at = batch.schema.get_field_index(column)
-    _, offsets = text_buffer(batch.column(at))
+def cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, length) of slices with about STEP_BYTES of text, one row at least."""
+    _, offsets = text_buffer(texts)
     start = 0
-    while start < batch.num_rows:
+    while start < len(texts):
         end = int(np.searchsorted(offsets, offsets[start] + STEP_BYTES, side="right")) - 1
-        end = min(max(end, start + 1), batch.num_rows)
-        yield batch.slice(start, end - start)
+        end = min(max(end, start + 1), len(texts))
+        yield start, end - start
         start = end
 
 
+def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch by the cuts of its column text."""
+    for start, length in cuts(batch.column("text")):
+        yield batch.slice(start, length)
+
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from namelens.llm.common import SOLID, span_hashes, steps, text_buffer, text_of, word_spans
+from namelens.llm.common import SOLID, cuts, span_hashes, steps, text_buffer, word_spans
 from namelens.llm.labelled import held_out, labelled_sample
 
 PASSAGE = 96
@@ -161,26 +162,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Network:
 
 
 def scored(docs: DataFrame, network: Network) -> DataFrame:
-    """docs with quality_score; all columns of docs stay."""
+    """row (a struct of the columns of docs, whatever their names) and score."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "quality_text"):
-                at = part.schema.get_field_index("quality_text")
-                found = network.score(*passages(*text_buffer(part.column(at))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(found)], names=[*part.schema.names[:at], "quality_score"])
+            texts = batch.column("row").field("text").cast(pa.large_string()).fill_null("")
+            found = [network.score(*passages(*text_buffer(texts.slice(*cut)))) for cut in cuts(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(found or [np.zeros(0)]))], names=["row", "score"])
 
-    rows = docs.withColumn("quality_text", text_of())
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "quality_score double"])
-    return rows.mapInArrow(score, schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(score, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     found = scored(docs.select("doc_id", "text"), fit(docs, labels))
-    return found.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))
+    return found.select("row.doc_id", "score").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least the threshold, with the columns of docs."""
-    return scored(docs, fit(docs, labels)).where(F.col("quality_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored(docs, fit(docs, labels)).where(F.col("score") >= threshold).select("row.*")
