@@ -7,8 +7,8 @@ with a stronger one (in copies of a toxic text, say) is left out.  A token has t
 highest log-odds of its entries; one without any costs ``DRIFT``.  One linear scan finds all maximal-scoring segments of a text.
 A segment of score s in a text of n tokens has the expected number
 K n exp(-lambda s) by chance; the evidence of a document is the sum of the
-significant segments' logarithms of that, and a logistic curve fitted on the
-sample turns it into a score.
+significant segments' logarithms of that; a logistic curve of the evidence and of
+the tokens that carry it, fitted on the sample, gives the score.
 
 The model is fitted on a bounded sample of labelled rows (``TRAIN``); the lexicon
 has ``LEXICON`` entries at most and goes to the workers with the function.
@@ -36,7 +36,7 @@ LEXICON = 20_000
 #: Bytes of the prefixes that count beside a word.
 PREFIXES = (3, 4, 5, 7)
 #: Weight of the prior, in documents; lowest z and log-odds of a lexicon entry; cost of any other token.
-PRIOR, Z_LEAST, ODDS_LEAST, DRIFT = 40.0, 4.0, 3.0, 0.15
+PRIOR, Z_LEAST, ODDS_LEAST, DRIFT = 40.0, 2.0, 3.0, 0.15
 THRESHOLD = 0.5
 
 
@@ -84,10 +84,10 @@ class Model:
     def __init__(self) -> None:
         self.hashes, self.scores = np.zeros(0, np.uint64), np.zeros(0)
         self.rate, self.k = 1.0, 1.0
-        self.bias, self.slope = -3.0, 4.0
+        self.curve = np.array([-3.0, 1.0, 1.0, 0.0])
 
     def evidence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(evidence, significant segments, tokens within them) of every text."""
+        """(evidence, significant segments, lexicon tokens within them) of every text."""
         h, text = tokens(column)
         n = np.bincount(text, minlength=len(column))
         out, many, long = np.zeros(len(column)), np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
@@ -107,11 +107,16 @@ class Model:
                 if e > 0:
                     out[i] += e
                     many[i] += 1
-                    long[i] += last - begin + 1
+                    long[i] += int((best[first[i] + begin : first[i] + last + 1] > 0).sum())
         return out, many, long
 
-    def score(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.bias + self.slope * np.log1p(evidence))))
+    def score(self, evidence: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_terms(evidence, hits) @ self.curve, -30, 30)))
+
+
+def _terms(evidence: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """What the score is a logistic curve of: a constant, the evidence, the number of tokens that carry it, and the evidence of each."""
+    return np.stack([np.ones(len(evidence)), np.log1p(evidence), np.log1p(hits), np.log1p(evidence / np.maximum(1, hits))], 1)
 
 
 def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,30 +178,35 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
         low, high = (mid, high) if mean < 1 else (low, mid)
     model.rate, model.k = low, max(1e-9, float(share.sum()))
 
-    rows = sample.mapInArrow(_evidence(model, ["doc_id", "label"]), "doc_id long, label int, evidence double, segments long, in_segments long").select("doc_id", "label", "evidence").collect()
-    rows.sort()
-    x, y = np.log1p(np.array([r["evidence"] for r in rows])), np.array([r["label"] for r in rows], float)
-    model.bias, model.slope = _logistic(x, y)
+    rows = sorted(sample.mapInArrow(_evidence(model, ["doc_id", "label"]), "doc_id long, label int, evidence double, segments long, hits long, score double").select("doc_id", "label", "evidence", "hits").collect())
+    evidence, hits, y = (np.array([r[c] for r in rows], float) for c in ("evidence", "hits", "label"))
+    model.curve = _logistic(_terms(evidence, hits), y)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton steps for bias and slope, with a weak prior that keeps the slope above zero."""
-    w = np.array([0.0, 1.0])
-    a = np.stack([np.ones_like(x), x], 1)
-    for _ in range(50):
+def _logistic(a: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the likeliest curve under a weak prior, by Newton steps that are halved until they help."""
+    scale = np.r_[1.0, a[:, 1:].std(0) + 1e-6]
+    a, prior, w = a / scale, np.r_[1e-3, np.full(a.shape[1] - 1, 0.3)], np.zeros(a.shape[1])
+    cost = lambda w: float(np.logaddexp(0, a @ w).sum() - y @ (a @ w) + 0.5 * prior @ (w * w))
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + 0.5 * (w - [0.0, 1.0])
-        w = w - np.clip(np.linalg.solve((a.T * (p * (1 - p))) @ a + 0.5 * np.eye(2), g), -2, 2)
-    return float(w[0]), float(max(w[1], 0.01))
+        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + np.diag(prior), a.T @ (p - y) + prior * w)
+        now, rate = cost(w), 1.0
+        while rate > 1e-4 and cost(w - rate * step) > now:
+            rate /= 2
+        w = w - rate * step
+        if rate * np.abs(step).max() < 1e-6:
+            break
+    return w / scale
 
 
 def _evidence(model: Model, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
-                found = model.evidence(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *map(pa.array, found)], names=[*keys, "evidence", "segments", "in_segments"])
+                evidence, many, hits = model.evidence(part.column("text"))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *map(pa.array, (evidence, many, hits, model.score(evidence, hits)))], names=[*keys, "evidence", "segments", "hits", "score"])
 
     return run
 
@@ -205,6 +215,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """doc_id, held_out, score, predicted, segments, toxic_words for every row of docs."""
     model = fit(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    found = rows.mapInArrow(_evidence(model, ["doc_id"]), "doc_id long, evidence double, segments long, in_segments long")
-    score = 1 / (1 + F.exp(-(F.lit(model.bias) + F.lit(model.slope) * F.log1p("evidence"))))
-    return found.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "segments", F.col("in_segments").alias("toxic_words"))
+    found = rows.mapInArrow(_evidence(model, ["doc_id"]), "doc_id long, evidence double, segments long, hits long, score double")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "segments", F.col("hits").alias("toxic_words"))
