@@ -6,7 +6,7 @@ levels of vantage-point trees:
 
 * Trees of shards, in Spark.  The bits are cut into five blocks; three changed
   bits leave two blocks as they are, so each of the ten pairs of blocks has a
-  tree of its own, over the Hamming distance on those two blocks alone.  In one
+  tree of its own (for a larger radius r there are r + 1 blocks and as many trees), over the Hamming distance on those two blocks alone.  In one
   of the ten trees a linked pair has distance zero, so by the triangle bound it
   has the same distance from every vantage point: all rings but one are pruned,
   and a fingerprint goes to one shard a tree.
@@ -42,29 +42,41 @@ from namelens.llm.exactdedup import drop_rows
 
 RADIUS = 3
 SHINGLE = 3
-#: Bits of the blocks; RADIUS + 2 blocks, so that two of them are the same in a linked pair.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Words, similarity and bits of the stage that drops near copies; bins of the sketch that verifies its links.
+NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS, BINS = 5, 0.8, 8, 128
 #: Fingerprints that a shard should have, and those above which it is cut into chunks.
 SHARD, CHUNK = 512, 32_768
 #: Fingerprints that are compared pair by pair at the bottom of a tree in a shard.
 LEAF = 192
 
 
+def _hashes(words: list[bytes], k: int) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles of k words, repeats included; of the whole sequence if it is shorter."""
+    shingles = [b" ".join(words)] if len(words) <= k else map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(s, 42) for s in shingles], np.uint64)
+
+
 def fingerprint(text: bytes, k: int = SHINGLE) -> int:
-    """The 64-bit SimHash: a bit is set if over half of the shingles' XXH64 (seed 42) have it."""
+    """The 64-bit SimHash: a bit is set if over half of the shingles' hashes have it."""
     words = text.lower().split()  # of bytes: A-Z only, and the white space of the contract
     if not words:
         return 0
-    if len(words) <= k:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles], np.uint64)
+    hashes = _hashes(words, k)
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def sketch(text: bytes) -> bytes:
+    """A byte for each of BINS bins of the five-word shingles: the least hash of a bin, or that of the next filled bin."""
+    hashes = np.sort(_hashes(text.lower().split(), NEAR_SHINGLE))
+    bins = (hashes >> np.uint64(57)).astype(int)
+    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+    filled = bins[first]
+    of = np.searchsorted(filled, np.arange(BINS)) % len(filled)
+    return (hashes[first[of]] & np.uint64(255)).astype(np.uint8).tobytes()
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").cast(pa.large_binary())
@@ -72,30 +84,52 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame, *keys) -> DataFrame:
-    """doc_id, the key columns and fp of every row of docs."""
-    rows = docs.select("doc_id", *keys, text_of().alias("text"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return checkpoint(rows.mapInArrow(_fingerprints, ", ".join([*kept, "fp long"])))
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and fp of every row of docs."""
+    kind = dict(docs.dtypes)["doc_id"]
+    return checkpoint(docs.select("doc_id", text_of().alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long"))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t.as_py() for t in batch.column("text").cast(pa.large_binary())]
+        found = np.array([fingerprint(t) for t in texts], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found.view(np.int64)), pa.array([sketch(t) for t in texts], pa.binary())], names=["doc_id", "key", "fp", "sketch"])
 
 
 def _vantage_points(n: int) -> list[int]:
     return [int(v) for v in np.random.default_rng(64).integers(0, 1 << 63, n, dtype=np.int64)]
 
 
-def shards(fps: DataFrame, n: int) -> DataFrame:
-    """tree, ring (the distances from the tree's vantage points), part, fp: a row a tree, more for chunks of a large shard."""
-    levels = min(8, max(1, math.ceil(math.log(max(2, n / SHARD), 9))))
+def _blocks(radius: int) -> tuple[list[int], int]:
+    """(masks of the bits of every tree's blocks, bits of each): radius changed bits leave one tree's bits as they are.
+
+    Five blocks, of which a tree has two, for the radius of 3; radius + 1 blocks, of which
+    it has one, for larger ones.
+    """
+    n, kept = (radius + 2, 2) if radius <= RADIUS else (radius + 1, 1)
+    edges = [64 * i // n for i in range(n + 1)]
+    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    masks = [sum(c) for c in combinations(blocks, kept)]
+    return [m - ((m >> 63) << 64) for m in masks], kept * (64 // n)
+
+
+def shards(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """tree, ring (the distances from the tree's vantage points), part and the columns of nodes (fp and others):
+
+    a row a tree, more for chunks of a large shard.
+    """
+    masks, bits = _blocks(radius)
+    levels = min(8, max(1, math.ceil(math.log(max(2, n / SHARD), 9))), max(1, bits // 2))
     points = _vantage_points(levels)
     keys = []
-    for tree, pair in enumerate(combinations(BLOCKS, 2)):
-        mask = sum(((1 << width) - 1) << at for at, width in pair)
-        mask -= (mask >> 63) << 64
+    for tree, mask in enumerate(masks):
         ring = F.lit(0).cast("long")
         for v in points:
             ring = ring * 32 + F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(mask)))
         keys.append(F.struct(F.lit(tree).alias("tree"), ring.alias("ring")))
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.tree", "k.ring", "fp")
+    kept = nodes.columns
+    rows = nodes.select(*kept, F.explode(F.array(*keys)).alias("k")).select("k.tree", "k.ring", *kept)
     if n <= CHUNK:
         return rows.withColumn("part", F.lit(0))
     large = checkpoint(rows.groupBy("tree", "ring").count().where(F.col("count") > CHUNK).select("tree", "ring", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")))
@@ -103,19 +137,26 @@ def shards(fps: DataFrame, n: int) -> DataFrame:
         return rows.withColumn("part", F.lit(0))
     # chunk pairs (i, j) with i <= j; a row of chunk c is in those that name c
     cut = rows.join(large, ["tree", "ring"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    cut = cut.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return cut.select("tree", "ring", "fp", (F.least("c", "other") * F.col("chunks") + F.greatest("c", "other")).alias("part"))
+    cut = cut.withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return cut.select("tree", "ring", *kept, (F.least("c", "other") * F.col("chunks") + F.greatest("c", "other")).alias("part"))
 
 
 class _Forest:
-    """Components of the items of one shard; keeps one link for each merge."""
+    """Components of the items of one shard; keeps one link for each merge.
+
+    sketches: a row of bytes for each item; then only items whose sketches are alike are linked.
+    """
 
-    def __init__(self, n: int) -> None:
-        self.root, self.links = np.arange(n), []
+    def __init__(self, n: int, radius: int = RADIUS, sketches: np.ndarray | None = None) -> None:
+        self.root, self.links, self.radius, self.sketches = np.arange(n), [], radius, sketches
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         x, y = self.root[a], self.root[b]
         new = x != y
+        if self.sketches is not None and new.any():
+            at = np.flatnonzero(new)
+            same = np.concatenate([(self.sketches[a[c]] == self.sketches[b[c]]).mean(axis=1) for c in np.array_split(at, len(at) // 50_000 + 1)])
+            new[at] = (same - 1 / 256) / (1 - 1 / 256) >= NEAR_SIMILARITY
         if not new.any():
             return
         up: dict[int, int] = {}
@@ -139,7 +180,7 @@ class _Forest:
 def _compare(fps: np.ndarray, a: np.ndarray, b: np.ndarray, forest: _Forest) -> None:
     for at in range(0, len(a), 512):
         for on in range(0, len(b), 4096):
-            i, j = np.nonzero(np.bitwise_count(fps[a[at : at + 512], None] ^ fps[b[None, on : on + 4096]]) <= RADIUS)
+            i, j = np.nonzero(np.bitwise_count(fps[a[at : at + 512], None] ^ fps[b[None, on : on + 4096]]) <= forest.radius)
             if len(i):
                 forest.add(a[at + i], b[on + j])
 
@@ -156,7 +197,7 @@ def _across(fps: np.ndarray, a: np.ndarray, b: np.ndarray, forest: _Forest, dept
     for near in (da <= m, da > m):
         if not near.any():
             continue
-        lo, hi = da[near].min() - RADIUS, da[near].max() + RADIUS
+        lo, hi = da[near].min() - forest.radius, da[near].max() + forest.radius
         close = (db >= lo) & (db <= hi)
         if near.all() and close.all():
             return _compare(fps, a, b, forest)
@@ -179,58 +220,71 @@ def _within(fps: np.ndarray, a: np.ndarray, forest: _Forest, depth: int = 0) ->
     edge = d[near].max()
     _within(fps, a[near], forest, depth + 1)
     _within(fps, a[~near], forest, depth + 1)
-    _across(fps, a[near & (d > edge - RADIUS)], a[~near & (d <= edge + RADIUS)], forest)
+    _across(fps, a[near & (d > edge - forest.radius)], a[~near & (d <= edge + forest.radius)], forest)
 
 
-def shard_links(fps: np.ndarray) -> np.ndarray:
-    """Pairs (a, b) of a spanning forest of all links among distinct fingerprints."""
-    forest = _Forest(len(fps))
+def shard_links(fps: np.ndarray, radius: int = RADIUS, sketches: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of places (a, b) of a spanning forest of all links among the fingerprints of a shard."""
+    forest = _Forest(len(fps), radius, sketches)
     _within(fps, np.arange(len(fps)), forest)
-    return fps[np.array(forest.links, int).reshape(-1, 2)]
+    return np.array(forest.links, int).reshape(-1, 2)
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard; the rows of one shard are held at a time."""
-    key, held = None, []
+def _linker(radius: int, sketched: bool):
+    """A function for mapInArrow.  Rows (tree, ring, part, id, fp, sketch) come sorted by shard; one shard is held at a time."""
 
-    def out(parts: list) -> Iterator[pa.RecordBatch]:
-        fps = np.concatenate(parts).view(np.uint64)
-        if len(fps) > 1 and len(found := shard_links(fps).view(np.int64)):
-            yield pa.RecordBatch.from_pydict({"a": found[:, 0], "b": found[:, 1]})
-
-    for batch in batches:
-        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
-        fps = batch.column(3).to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if b <= a:
+    def out(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts)
+        if rows.num_rows < 2:
+            return
+        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS) if sketched else None
+        found = shard_links(rows.column("fp").to_numpy().view(np.uint64), radius, sketches)
+        if len(found):
+            ids = rows.column("id").to_numpy()
+            yield pa.RecordBatch.from_pydict({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            if held and tuple(keys[a]) != key:
-                yield from out(held)
-                held = []
-            key = tuple(keys[a])
-            held.append(fps[a:b])
-    if held:
-        yield from out(held)
-
-
-def links(fps: DataFrame, n: int) -> DataFrame:
-    """(a, b): links that connect all of fps (fp, distinct) that a chain of close pairs connects."""
-    rows = shards(fps, n).select("tree", "ring", "part", "fp")
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and tuple(keys[a]) != key:
+                    yield from out(held)
+                    held = []
+                key = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from out(held)
+
+    return link
+
+
+def links(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """(a, b): ids of links that connect all nodes (id, fp, sketch if there is one) that a chain of close pairs connects."""
+    sketched = "sketch" in nodes.columns
     keys = ["tree", "ring", "part"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_links, "a long, b long")
+    rows = shards(nodes, n, radius).select(*keys, *nodes.columns)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linker(radius, sketched), "a long, b long")
+
+
+def _least(links_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, least: for every node (id, least) the smallest least of its component."""
+    roots = connected_components(links_).withColumnRenamed("node", "id")
+    linked = checkpoint(roots.join(nodes.select("id", "least"), "id"))
+    best = linked.groupBy("root").agg(F.min("least").alias("best"))
+    moved = linked.join(best, "root").select("id", "best")
+    # written, so that a join with it shuffles both sides plainly and Spark can split a hot node's rows
+    return checkpoint(nodes.join(moved, "id", "left").select("id", F.coalesce("best", "least").alias("least")))
 
 
 def components(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, fp, ...) with component_id, the smallest doc_id that is reachable."""
-    fps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(fps.select("fp"), fps.count())).withColumnRenamed("node", "fp")
-    linked = checkpoint(roots.join(fps, "fp"))
-    best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(best, "root").select("fp", "component_id")
-    # written, so that the join below shuffles both sides plainly and Spark can split a hot fingerprint's rows
-    of_fp = checkpoint(fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return rows.join(of_fp, "fp")
+    """rows (doc_id, fp) with component_id, the smallest doc_id that is reachable."""
+    fps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("fp")))
+    found = _least(links(fps.select("id", "fp"), fps.count()), fps)
+    return rows.join(found.select(F.col("id").alias("fp"), F.col("least").alias("component_id")), "fp")
 
 
 def clusters(docs: DataFrame) -> DataFrame:
@@ -240,17 +294,24 @@ def clusters(docs: DataFrame) -> DataFrame:
 
 
 def near_deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near copies: of a component the row with the smallest doc_id stays.
+    """The rows of docs without near copies: of each group the row with the smallest doc_id stays.
 
-    Of rows that share that doc_id the one with the smallest hash of its text stays; if
-    a component has no doc_id at all, the same holds for its rows without one.
+    Texts are near copies if their fingerprints differ in NEAR_RADIUS bits at most and
+    the likeness of their five-word shingles, by a sketch of BINS bins, is
+    NEAR_SIMILARITY or more; groups are the components of these links.  Equal texts are
+    one node.  Of rows that share the smallest doc_id the one with the smallest hash of
+    its text stays; if a group has no doc_id at all, that holds for all its rows.
     """
     key = F.sha2(text_of(), 256)
-    found = components(fingerprints(docs, key.alias("key")))
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("keep"), F.count("*").alias("n")).where("n > 1")
-    judged = found.join(best.withColumnRenamed("component_id", "c"), F.col("component_id").eqNullSafe(F.col("c")))
-    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("key") == F.col("keep.key"))
-    judged = judged.select("doc_id", "key", stays.alias("repeated"))
-    # a row that stays is in the list only where others are its equals
-    equals = judged.where("repeated").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key", F.lit(True).alias("repeated"))
-    return drop_rows(docs, checkpoint(judged.where("NOT repeated").unionByName(equals)), key)
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", key.alias("key"), text_of().alias("text")).mapInArrow(_sketches, f"doc_id {kind}, key string, fp long, sketch binary")
+    rows = checkpoint(rows.withColumn("id", F.xxhash64("key")))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
+    nodes = checkpoint(rows.groupBy("id").agg(F.min(order).alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.count("*").alias("n")))
+    kept = _least(links(nodes.select("id", "fp", "sketch"), nodes.count(), NEAR_RADIUS), nodes.select("id", "least"))
+    judged = rows.select("doc_id", "key", "id").join(kept, "id")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))
+    gone = judged.where(~stays).select("doc_id", "key", F.lit(False).alias("repeated"))
+    # a row that stays is listed only where others are its equals
+    equals = judged.where(stays).groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key", F.lit(True).alias("repeated"))
+    return drop_rows(docs, checkpoint(gone.unionByName(equals)), key)

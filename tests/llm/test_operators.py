@@ -426,7 +426,7 @@ def test_shard_links(dense):
             fps.add(f)
     fps = sorted(fps)
     want = brute_components(fps)
-    found = simhash.shard_links(np.array(fps, np.uint64)).tolist()
+    found = [(fps[a], fps[b]) for a, b in simhash.shard_links(np.array(fps, np.uint64)).tolist()]
     root = {f: f for f in fps}
 
     def top(f):
@@ -459,6 +459,33 @@ def test_trees_lose_no_pair(spark, monkeypatch):
     assert [got[i] for i in range(len(fps))] == brute_components(fps)
 
 
+def test_near_dedup_by_five_words(spark):
+    r = random.Random(16)
+    texts, want = [], []
+    for _ in range(40):
+        w = words_of(r, r.randint(300, 500), 5000).split()
+        group = [w]
+        for _ in range(r.choice([0, 1, 3])):
+            c = list(w)
+            c[r.randrange(len(c))] = f"z{r.randrange(9999)}"
+            group.append(c)
+        want.append(len(texts))
+        texts += [" ".join(g) for g in group]
+    other = list(" ".join(words_of(r, 200, 5000).split()).split())
+    half = other[:100] + words_of(r, 100, 5000).split()  # half of the words are others: no near copy
+    want += [len(texts), len(texts) + 1]
+    texts += [" ".join(other), " ".join(half)]
+    assert sorted(x["doc_id"] for x in simhash.near_deduplicated(docs_of(spark, texts)).collect()) == want
+
+
+def test_sketch_estimates_jaccard():
+    r = random.Random(17)
+    a = [f"w{r.randrange(10**6)}" for _ in range(800)]
+    b = a[:720] + [f"v{r.randrange(10**6)}" for _ in range(80)]
+    x, y = (np.frombuffer(simhash.sketch(" ".join(t).encode()), np.uint8) for t in (a, b))
+    assert abs((x == y).mean() - 716 / 876) < 0.12 and len(simhash.sketch(b"")) == simhash.BINS
+
+
 def test_connected_components(spark):
     r = random.Random(15)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(50)] + [(7, 7), (7, 8)]
