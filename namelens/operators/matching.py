@@ -55,7 +55,7 @@ def _sized(terms: DataFrame) -> tuple[DataFrame, bool]:
     return terms, terms.count() <= BROADCAST_TERMS
 
 
-def _join(left: DataFrame, right: DataFrame, on: str, small: bool) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, on: str | list[str], small: bool) -> DataFrame:
     return left.join(F.broadcast(right) if small else right, on)
 
 
@@ -89,14 +89,41 @@ def fuzzy_pairs(labels: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(labels: DataFrame, terms: DataFrame) -> DataFrame:
-    """(domain, term, kind, distance): of several kinds the first of exact, substring, fuzzy."""
-    tagged = lambda df, n, kind, distance: df.select("domain", "term", F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), distance.cast("int").alias("distance")).alias("hit"))
-    every = (
-        tagged(exact_pairs(labels, terms), 1, "exact_token", F.lit(0))
-        .unionByName(tagged(substring_pairs(labels, terms), 2, "substring", F.lit(0)))
-        .unionByName(tagged(fuzzy_pairs(labels, terms), 3, "edit_distance", F.col("distance")))
-    )
-    return every.groupBy("domain", "term").agg(F.min("hit").alias("hit")).select("domain", "term", "hit.kind", "hit.distance")
+    """(domain, term, kind, distance): of several kinds the first of exact, substring, fuzzy.
+
+    One pass over the labels and one join: a label gives keys of all three kinds, and so
+    does a term; what meets under a key is verified by its kind.
+    """
+    terms, small = _sized(terms)
+    length = F.length("term")
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    none = F.array().cast("array<struct<kind:string,key:string>>")
+    term_keys = terms.select("term", F.explode(F.concat(
+        F.array(key("exact_token", F.col("term"))),
+        F.when((length >= _SEED) & ~F.col("term").isin(*C.TOKEN_ONLY_TERMS), F.array(key("substring", F.substring("term", 1, _SEED)))).otherwise(none),
+        F.when(length >= C.FUZZY_LENGTH, F.transform(edit.neighbourhood(F.col("term")), lambda k: key("edit_distance", k))).otherwise(none),
+    )).alias("k")).select("term", "k.kind", "k.key")
+    longest = terms.agg(F.max(length)).first()[0] or 0
+
+    probe = lambda kind, k, p: F.struct(F.lit(kind).alias("kind"), k.alias("key"), p.alias("probe"))
+    parts = F.array_distinct(F.concat(F.array("flat"), "tokens"))
+    starts = F.when(F.length("flat") >= _SEED, F.sequence(F.lit(1), F.length("flat") - _SEED + 1)).otherwise(F.array().cast("array<int>"))
+    seeds = F.array_distinct(F.transform(starts, lambda i: F.substring("flat", i, F.lit(_SEED))))
+    close = F.filter(parts, lambda p: F.length(p).between(C.FUZZY_LENGTH - C.MAX_DISTANCE, longest + C.MAX_DISTANCE) & ~p.isin(*C.STOP_PROBES))
+    probes = labels.select("domain", F.explode(F.concat(
+        F.transform(parts, lambda p: probe("exact_token", p, p)),
+        F.transform(seeds, lambda s: probe("substring", s, F.col("flat"))),
+        F.flatten(F.transform(close, lambda p: F.transform(edit.neighbourhood(p), lambda k: probe("edit_distance", k, p)))),
+    )).alias("k")).select("domain", "k.kind", "k.key", "k.probe")
+    met = _join(probes, term_keys, ["kind", "key"], small)
+    fits = F.when(F.col("kind") == "substring", F.contains("probe", "term")).when(F.col("kind") == "edit_distance", F.abs(F.length("probe") - length) <= C.MAX_DISTANCE).otherwise(F.lit(True))
+    met = met.where(fits).select("domain", "term", "kind", "probe").distinct()
+    fuzzy = F.col("kind") == "edit_distance"
+    distance = F.when(fuzzy, edit.osa_within_two(F.when(fuzzy, F.col("probe")), F.when(fuzzy, F.col("term")))).otherwise(F.lit(0))
+    order = F.when(F.col("kind") == "exact_token", 1).when(F.col("kind") == "substring", 2).otherwise(3)
+    hits = met.withColumn("distance", distance).where(~fuzzy | F.col("distance").between(1, C.MAX_DISTANCE))
+    best = hits.groupBy("domain", "term").agg(F.min(F.struct(order.alias("n"), "distance", "kind")).alias("hit"))
+    return best.select("domain", "term", "hit.kind", "hit.distance")
 
 
 def upgraded(kind: Column, fold: Column, keywords: Column) -> Column:
