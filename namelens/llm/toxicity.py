@@ -150,15 +150,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
     if not counts:
         return model
     token, y1, y = (np.array([r[i] for r in counts], np.int64) for i in range(3))
-    toxic = sets.where("label = 1").select("tokens").collect()  # of most rows at most
     z = _log_odds(y1, y - y1, n1, n0)[1]
-    place = {int(t): i for i, t in enumerate(token)}
+    held = docs.sparkSession.createDataFrame([(int(t), i) for i, t in enumerate(token)], "token long, i int")  # LEXICON rows at most
+    pairs = sets.where("label = 1").select("doc_id", F.explode("tokens").alias("token")).join(F.broadcast(held), "token").select("doc_id", "i").collect()
+    number = {d: n for n, d in enumerate(sorted({p["doc_id"] for p in pairs}))}
     having: list[list[int]] = [[] for _ in token]
-    for d, row in enumerate(toxic):
-        for t in row["tokens"]:
-            if t in place:
-                having[place[t]].append(d)
-    explained, chosen = np.zeros(len(toxic)), []
+    for p in pairs:
+        having[p["i"]].append(number[p["doc_id"]])
+    explained, chosen = np.zeros(len(number)), []
     for i in np.argsort(-z, kind="stable").tolist():
         alone = float((0.5 ** explained[having[i]]).sum())  # documents that stronger tokens explain count less
         odds, own_z = _log_odds(float(y1[i]), float(y[i] - y1[i]), n1, n0, alone)
