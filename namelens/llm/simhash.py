@@ -48,6 +48,8 @@ NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS, BINS = 5, 0.8, 8, 128
 SHARD, CHUNK = 512, 32_768
 #: Fingerprints that are compared pair by pair at the bottom of a tree in a shard.
 LEAF = 192
+#: Rows of a block of comparisons, of four times as many columns; all of a block may be links.
+BLOCK = 192
 
 
 def _hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -92,9 +94,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.as_py() for t in batch.column("text").cast(pa.large_binary())]
-        found = np.array([fingerprint(t) for t in texts], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found.view(np.int64)), pa.array([sketch(t) for t in texts], pa.binary())], names=["doc_id", "key", "fp", "sketch"])
+        found, sketches = np.zeros(batch.num_rows, np.uint64), []
+        for i, t in enumerate(batch.column("text")):
+            text = t.as_py().encode()
+            found[i] = fingerprint(text)
+            sketches.append(sketch(text))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found.view(np.int64)), pa.array(sketches, pa.binary())], names=["doc_id", "key", "fp", "sketch"])
 
 
 def _vantage_points(n: int) -> list[int]:
@@ -155,7 +160,7 @@ class _Forest:
         new = x != y
         if self.sketches is not None and new.any():
             at = np.flatnonzero(new)
-            same = np.concatenate([(self.sketches[a[c]] == self.sketches[b[c]]).mean(axis=1) for c in np.array_split(at, len(at) // 50_000 + 1)])
+            same = np.concatenate([(self.sketches[a[c]] == self.sketches[b[c]]).mean(axis=1) for c in np.array_split(at, len(at) // 20_000 + 1)])
             new[at] = (same - 1 / 256) / (1 - 1 / 256) >= NEAR_SIMILARITY
         if not new.any():
             return
@@ -178,9 +183,12 @@ class _Forest:
 
 
 def _compare(fps: np.ndarray, a: np.ndarray, b: np.ndarray, forest: _Forest) -> None:
-    for at in range(0, len(a), 512):
-        for on in range(0, len(b), 4096):
-            i, j = np.nonzero(np.bitwise_count(fps[a[at : at + 512], None] ^ fps[b[None, on : on + 4096]]) <= forest.radius)
+    for at in range(0, len(a), BLOCK):
+        for on in range(0, len(b), 4 * BLOCK):
+            roots = forest.root[a[at : at + BLOCK]], forest.root[b[on : on + 4 * BLOCK]]
+            if min(map(np.min, roots)) == max(map(np.max, roots)):
+                continue  # one component already
+            i, j = np.nonzero(np.bitwise_count(fps[a[at : at + BLOCK], None] ^ fps[b[None, on : on + 4 * BLOCK]]) <= forest.radius)
             if len(i):
                 forest.add(a[at + i], b[on + j])
 
