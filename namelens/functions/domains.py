@@ -93,15 +93,12 @@ def has_non_ascii(x: Column) -> Column:
 
 def keyword_hits(tokens: Column, keywords=C.KEYWORDS) -> Column:
     """Keywords that a token, or its singular, is; distinct and in order of their first token."""
-    known = lits(keywords)
+    known = lambda t: t.isin(*keywords)  # noqa: E731  a hash lookup
     without = lambda t, n: F.substring(t, F.lit(1), F.length(t) - n)
 
     def canonical(t: Column) -> Column:
-        return (
-            F.when(F.array_contains(known, t), t)
-            .when(F.endswith(t, F.lit("s")) & F.array_contains(known, without(t, 1)), without(t, 1))
-            .when(F.endswith(t, F.lit("es")) & F.array_contains(known, without(t, 2)), without(t, 2))
-        )
+        plural = F.when(known(without(t, 1)), without(t, 1)).when(F.endswith(t, F.lit("es")) & known(without(t, 2)), without(t, 2))
+        return F.when(known(t), t).when(F.endswith(t, F.lit("s")), plural)
 
     return F.array_distinct(F.filter(F.transform(tokens, canonical), lambda k: k.isNotNull()))
 

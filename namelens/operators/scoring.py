@@ -25,7 +25,7 @@ def days_between(later: Column, earlier: Column) -> Column:
 
 
 def is_free_issuer(issuer: Column) -> Column:
-    return F.exists(domains.lits(C.FREE_ISSUERS), lambda name: F.contains(F.lower(issuer), name))
+    return domains.let(F.lower(issuer), lambda low: F.exists(domains.lits(C.FREE_ISSUERS), lambda name: F.contains(low, name)))
 
 
 def _signal(key: str, when: Column) -> Column:
