@@ -42,8 +42,10 @@ from namelens.llm.exactdedup import drop_rows
 
 RADIUS = 3
 SHINGLE = 3
-#: Words, similarity and bits of the stage that drops near copies; bins of the sketch that verifies its links.
+#: Words, similarity and bits of the stage that drops near copies; bins of the sketch that picks candidates within these bits.
 NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS, BINS = 5, 0.8, 8, 128
+#: Bands of that stage, and the least hashes a band: of pairs with likeness 0.8 all but (1 - 0.8 ** 5) ** 20 = 0.04 % share a band.
+BANDS, BAND_HASHES = 20, 5
 #: Fingerprints that a shard should have, and those above which it is cut into chunks.
 SHARD, CHUNK = 512, 32_768
 #: Fingerprints that are compared pair by pair at the bottom of a tree in a shard.
@@ -69,9 +71,28 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+_ODD = np.random.default_rng(128).integers(1, 1 << 63, BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct hashes of the five-word shingles, sorted."""
+    return np.unique(_hashes(text.lower().split(), NEAR_SHINGLE))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each of BANDS bands, of BAND_HASHES least hashes under multipliers of their own."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[at : at + 2048, None] * _ODD).min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, -1))], np.uint64)
+
+
 def sketch(text: bytes) -> bytes:
     """A byte for each of BINS bins of the five-word shingles: the least hash of a bin, or that of the next filled bin."""
-    hashes = np.sort(_hashes(text.lower().split(), NEAR_SHINGLE))
+    return _sketch(shingle_set(text))
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
     bins = (hashes >> np.uint64(57)).astype(int)
     first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
     filled = bins[first]
@@ -94,12 +115,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found, sketches = np.zeros(batch.num_rows, np.uint64), []
+        found, sketches, keys = np.zeros(batch.num_rows, np.uint64), [], []
         for i, t in enumerate(batch.column("text")):
             text = t.as_py().encode()
             found[i] = fingerprint(text)
-            sketches.append(sketch(text))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found.view(np.int64)), pa.array(sketches, pa.binary())], names=["doc_id", "key", "fp", "sketch"])
+            hashes = shingle_set(text)
+            sketches.append(_sketch(hashes))
+            keys.append(bands(hashes).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found.view(np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "fp", "sketch", "bands"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t.as_py().encode()).view(np.int64) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
 def _vantage_points(n: int) -> list[int]:
@@ -301,22 +330,57 @@ def clusters(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a likeness of NEAR_SIMILARITY or more."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    return checkpoint(both.where(small / large >= NEAR_SIMILARITY).where(common / (small + large - common) >= NEAR_SIMILARITY).select("a", "b"))
+
+
+def _near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that connect the nodes (id, fp, sketch, bands) as all candidates of NEAR_SIMILARITY do; texts has id, text.
+
+    Candidates are the links of the trees and all pairs that share a band.  Every link is
+    verified on the sets of shingles, which only nodes with a candidate get.  A band's nodes are
+    first compared with their least one; the other pairs follow where that leaves them unconnected.
+    """
+    posted = nodes.select("id", F.explode("bands").alias("band"))
+    shared = posted.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("id").alias("a")).where("n > 1")
+    # bands with the same nodes count once
+    groups = checkpoint(shared.groupBy("n", "x", "y", "a").agg(F.min("band").alias("band")).select("band", "a"))
+    members = checkpoint(posted.join(groups, "band").select("band", "a", "id"))
+    close = checkpoint(links(nodes.select("id", "fp", "sketch"), nodes.count(), NEAR_RADIUS))
+    first = members.where("a < id").select("a", F.col("id").alias("b")).unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    named = checkpoint(members.select("id").unionByName(close.select(F.col("a").alias("id"))).unionByName(close.select(F.col("b").alias("id"))).distinct())
+    sets = checkpoint(texts.join(named, "id", "left_semi").mapInArrow(_shingle_sets, "id long, shingles array<long>").dropDuplicates(["id"]))
+    found = _alike(first, sets)
+    roots = connected_components(found).withColumnRenamed("node", "id")
+    rooted = checkpoint(members.where("a <> id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
+    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    open_ = checkpoint(rooted.join(several, "band", "left_semi"))
+    left, right = (open_.select("band", F.col("id").alias(i), F.col("root").alias(r)) for i, r in (("a", "ra"), ("b", "rb")))
+    rest = left.join(right, "band").where("a < b AND ra <> rb").select("a", "b").distinct()
+    return found.unionByName(_alike(rest, sets))
+
+
 def near_deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each group the row with the smallest doc_id stays.
 
-    Texts are near copies if their fingerprints differ in NEAR_RADIUS bits at most and
-    the likeness of their five-word shingles, by a sketch of BINS bins, is
-    NEAR_SIMILARITY or more; groups are the components of these links.  Equal texts are
-    one node.  Of rows that share the smallest doc_id the one with the smallest hash of
+    Texts are near copies if the likeness (Jaccard) of their sets of five-word shingles is
+    NEAR_SIMILARITY or more; candidates are found by fingerprints that differ in NEAR_RADIUS
+    bits at most and by bands, and verified; groups are the components of these links.  Equal
+    texts are one node.  Of rows that share the smallest doc_id the one with the smallest hash of
     its text stays; if a group has no doc_id at all, that holds for all its rows.
     """
     key = F.sha2(text_of(), 256)
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", key.alias("key"), text_of().alias("text")).mapInArrow(_sketches, f"doc_id {kind}, key string, fp long, sketch binary")
+    rows = docs.select("doc_id", key.alias("key"), text_of().alias("text")).mapInArrow(_sketches, f"doc_id {kind}, key string, fp long, sketch binary, bands array<long>")
     rows = checkpoint(rows.withColumn("id", F.xxhash64("key")))
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
-    nodes = checkpoint(rows.groupBy("id").agg(F.min(order).alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.count("*").alias("n")))
-    kept = _least(links(nodes.select("id", "fp", "sketch"), nodes.count(), NEAR_RADIUS), nodes.select("id", "least"))
+    nodes = checkpoint(rows.groupBy("id").agg(F.min(order).alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+    texts = docs.select(F.xxhash64(key).alias("id"), text_of().alias("text"))
+    kept = _least(_near_links(nodes, texts), nodes.select("id", "least"))
     judged = rows.select("doc_id", "key", "id").join(kept, "id")
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))
     gone = judged.where(~stays).select("doc_id", "key", F.lit(False).alias("repeated"))

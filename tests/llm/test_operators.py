@@ -478,6 +478,28 @@ def test_near_dedup_by_five_words(spark):
     assert sorted(x["doc_id"] for x in simhash.near_deduplicated(docs_of(spark, texts)).collect()) == want
 
 
+def test_near_dedup_by_exact_likeness(spark):
+    """Pairs just above a likeness of 0.8 lose one, pairs just below it keep both; also where a band holds several groups."""
+    r = random.Random(18)
+    texts = []
+    for i in range(80):
+        w = words_of(r, 230, 5000).split()
+        texts.append(" ".join(w))
+        for _ in range(1 + 3 * (i % 4 == 0)):
+            c = list(w)
+            for at in r.sample(range(5, 225, 10), r.choice([4, 5, 6])):  # each takes five of 226 shingles: 0.84, 0.80 or 0.77
+                c[at] = f"z{r.randrange(10**6)}"
+            texts.append(" ".join(c))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+            a, b = sorted((root[i], root[j]))
+            root = [a if x == b else x for x in root]
+    got = sorted(x["doc_id"] for x in simhash.near_deduplicated(docs_of(spark, texts)).collect())
+    assert got == sorted(set(root)) and 80 < len(got) < len(texts)
+
+
 def test_sketch_estimates_jaccard():
     r = random.Random(17)
     a = [f"w{r.randrange(10**6)}" for _ in range(800)]
