@@ -40,8 +40,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 #: Tags whose content is never main text.
 SKIP = frozenset("head title nav footer aside form button iframe object audio video canvas menu dialog header".split())
-#: An element whose class, id or role has one of these words isn't main text.
-_BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumb\w*|sidebar|side|footer|header|masthead|cookie\w*|consent|notice|newsletter|subscribe|signup|login|share|social|related|recommend\w*|comment\w*|disqus|replies|popup|modal|widget|pagination|pager|copyright|legal|search|complementary)(?:$|[\s_-])", re.I)
+#: An element with a class, id or role that is, starts or ends with one of these words isn't main text, an article or main excepted.
+_WORDS = r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumb\w*|sidebar|side|footer|header|masthead|cookie\w*|consent|notice|newsletter|subscribe|signup|login|share|social|related|recommend\w*|comment\w*|disqus|replies|popup|modal|widget|pagination|pager|copyright|legal|search|complementary)"
+_BOILERPLATE = re.compile(rf"(?:^|\s){_WORDS}(?=$|[\s_-])(?!\S*[_-](?:open|closed|legal)(?:$|\s))|(?:^|\s)(?!(?:has|no|not|with|without)[_-])\S+[_-](?!legal\b){_WORDS}(?:$|\s)", re.I)
+#: Words beyond which a block is prose.
+PROSE = 8
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that can be a container.
 CONTAINER = frozenset("article main section div td body".split())
 #: A new one ends an open one of the same tag.
@@ -53,7 +57,8 @@ DEPTH = 12
 class Page:
     """Blocks of a page in order: (path of element numbers, text, words in links)."""
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, by_class: bool = True) -> None:
+        self.by_class = by_class
         self.paths: list[str] = [""]
         self.tags: list[str] = [""]
         self.skipped: list[bool] = [False]
@@ -115,7 +120,7 @@ class Page:
         self.tags.append(tag)
         above = self.paths[up] if self.paths[up].count("/") < DEPTH else self.paths[up][self.paths[up].index("/", 1) :]
         self.paths.append(f"{above}/{tag}" + ("." + _DIGITS.sub("0", ".".join(named.lower().split())) if named else ""))
-        self.skipped.append(self.skipped[up] or skip or bool(named and tag != "body" and _BOILERPLATE.search(named)))
+        self.skipped.append(self.skipped[up] or skip or bool(self.by_class and named and tag not in ("body", "article", "main") and _BOILERPLATE.search(named)))
         self.parent.append(up)
         stack.append(len(self.tags) - 1)
 
@@ -124,7 +129,7 @@ class Page:
         score: dict[int, float] = defaultdict(float)
         for owner, words, linked in self.blocks:
             n = words.count(" ") + 1
-            weight = n - 3.0 * linked + (2.0 if n > 8 else 0.0) + 0.5 * words.count(",")
+            weight = n - 3.0 * linked + (2.0 if n > PROSE else 0.0) + 0.5 * words.count(",")
             e, share = owner, 1.0
             while e:
                 if self.tags[e] in CONTAINER:
@@ -134,7 +139,31 @@ class Page:
         if not score:
             return "", 0.0
         top = max(score, key=lambda e: (score[e], e))
-        return self.paths[top], max(0.0, score[top])
+        return self.paths[self._climb(top)], max(0.0, score[top])
+
+    def _climb(self, e: int) -> int:
+        """The outermost container above e to which most words of each step's further blocks are prose, headings or own paragraphs."""
+        at = e
+        while at := self.parent[at]:
+            if self.tags[at] not in CONTAINER:
+                continue
+            words = good = links = 0
+            for owner, text, linked in self.blocks:
+                up = owner
+                while up > at and up != e:
+                    up = self.parent[up]
+                if up == at:
+                    n = text.count(" ") + 1
+                    words, links = words + n, links + linked
+                    good += n * (n > PROSE or self.tags[owner] in _HEADINGS or (self.tags[owner] == "p" and self.parent[owner] == at))
+            if words and (2 * good < words or 5 * links > words):
+                break
+            if words:
+                e = at
+        return e
+
+    def prose(self) -> bool:
+        return any(words.count(" ") >= PROSE for _, words, _ in self.blocks)
 
     def text(self, path: str) -> str:
         """All blocks below the elements of the path, in page order; of the best container if there is none."""
@@ -146,11 +175,19 @@ class Page:
         return " ".join(words for owner, words, _ in self.blocks if inside[owner] or not path)
 
 
+def read(html: str) -> Page:
+    """The page; without the rule on classes if that leaves no prose and there is some."""
+    page = Page(html)
+    if not page.prose() and (whole := Page(html, by_class=False)).prose():
+        return whole
+    return page
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         votes: dict[tuple[str, str], float] = defaultdict(float)
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-            path, score = Page(html.as_py()).best()
+            path, score = read(html.as_py()).best()
             if score > 0:
                 votes[host, path] += score
         yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in votes], pa.string()), "path": pa.array([k[1] for k in votes], pa.string()), "score": pa.array(list(votes.values()), pa.float64())})
@@ -158,7 +195,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [Page(html.as_py()).text(path.as_py() or "") for html, path in zip(batch.column("html"), batch.column("path"), strict=True)]
+        found = [read(html.as_py()).text(path.as_py() or "") for html, path in zip(batch.column("html"), batch.column("path"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string())], names=["page_id", "url", "text"])
 
 

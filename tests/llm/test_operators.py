@@ -222,6 +222,22 @@ def test_html_text(spark):
     assert all(x["n_chars"] == len(x["text"]) for x in rows)
 
 
+def test_html_layouts():
+    prose = "<p>" + "word " * 300 + "</p>"
+    text = lambda body: (lambda page: page.text(page.best()[0]))(htmlmain.read(f"<html><body>{body}</body></html>"))
+    words = ("word " * 300).strip()
+    menu = "<ul><li><a href=/>Home page</a><li><a href=/a>About</a></ul>"
+    assert text(f"{menu}<div class=post><h1>The title</h1><p>A lead</p><div class=entry>{prose}</div></div>") == f"The title A lead {words}"
+    end = "the last section has a dozen words and it belongs here too"
+    assert text(f"{menu}<div class=post><div class=entry>{prose}</div><section class=end><p>{end}</p></section></div>") == f"{words} {end}"
+    for tag, named in (("main", "site-main no-sidebar"), ("div", "content has-sidebar"), ("article", "post comments-open"), ("div", "comments-open"), ("main", "search"), ("div", "widget")):
+        assert text(f"<{tag} class='{named}'>{prose}</{tag}>") == words
+    for named in ("site-footer", "sidebar-left", "x comments", "nav"):
+        assert text(f"<div class=post>{prose}<div class='{named}'>{prose}</div></div>") == words
+    for named in ("no-sidebar", "has-sidebar", "comments-open"):
+        assert text(f"<div class=post>{prose}<div class='{named}'>{prose}</div></div>") == f"{words} {words}"
+
+
 def test_host_consensus(spark):
     body = "<body><div class='x{n}'><p>" + "word " * 30 + "</p></div><div class='side{n}'><p>" + "other " * 5 + "</p></div></body>"
     odd = "<body><div class='x9'><p>short one</p></div><div class='y'><p>" + "noise " * 20 + "</p></div></body>"
