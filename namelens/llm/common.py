@@ -29,19 +29,18 @@ def text_of(name: str = "text") -> Column:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder of spark.checkpoint.dir, which all executors share.
 
-    Only a session without that setting, as in tests, gets a folder of its own.
+    Only a local session without that setting, as in tests, gets a folder of its own;
+    on a cluster, where executors couldn't share it, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without nulls: text i is bytes[offsets[i]:offsets[i + 1]]."""
     column = column.cast(pa.large_string())

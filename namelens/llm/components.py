@@ -11,13 +11,14 @@ from namelens.llm.common import checkpoint
 def _large(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours go to the smallest of its neighbours and itself."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    # written, here and below, so that both sides of the join are plainly shuffled and Spark can split a star's centre
+    least = checkpoint(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the smallest of them.  Links have a > b."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = checkpoint(links.groupBy("a").agg(F.min("b").alias("m")))
     moved = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -25,9 +26,10 @@ def _small(links: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the smallest node that it reaches.
 
-    Links may repeat and may join a node to itself.  Each round keeps at most one
-    row a link and is written to the checkpoint folder; the number of rounds grows
-    as the logarithm of the longest chain.
+    Links may repeat and may join a node to itself; links with a null end are left out;
+    without any link there are no rows.  Each round keeps at most one row a link and is
+    written to the checkpoint folder; the number of rounds grows as the logarithm of the
+    longest chain.
     """
     links = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
@@ -36,4 +38,4 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = now
-        links = checkpoint(_small(_large(links)))
+        links = checkpoint(_small(checkpoint(_large(links))))

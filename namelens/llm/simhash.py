@@ -42,8 +42,8 @@ from namelens.llm.exactdedup import drop_rows
 
 RADIUS = 3
 SHINGLE = 3
-#: Words, similarity and bits of the stage that drops near copies; bins of the sketch that picks candidates within these bits.
-NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS, BINS = 5, 0.8, 8, 128
+#: Words and likeness of the stage that drops near copies.
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 #: Bands of that stage, and the least hashes a band: of pairs with likeness 0.8 all but (1 - 0.8 ** 5) ** 20 = 0.04 % share a band.
 BANDS, BAND_HASHES = 20, 5
 #: Fingerprints that a shard should have, and those above which it is cut into chunks.
@@ -87,19 +87,6 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, -1))], np.uint64)
 
 
-def sketch(text: bytes) -> bytes:
-    """A byte for each of BINS bins of the five-word shingles: the least hash of a bin, or that of the next filled bin."""
-    return _sketch(shingle_set(text))
-
-
-def _sketch(hashes: np.ndarray) -> bytes:
-    bins = (hashes >> np.uint64(57)).astype(int)
-    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
-    filled = bins[first]
-    of = np.searchsorted(filled, np.arange(BINS)) % len(filled)
-    return (hashes[first[of]] & np.uint64(255)).astype(np.uint8).tobytes()
-
-
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").cast(pa.large_binary())
@@ -113,16 +100,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return checkpoint(docs.select("doc_id", text_of().alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long"))
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found, sketches, keys = np.zeros(batch.num_rows, np.uint64), [], []
+        found, sizes, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
         for i, t in enumerate(batch.column("text")):
             text = t.as_py().encode()
             found[i] = fingerprint(text)
             hashes = shingle_set(text)
-            sketches.append(_sketch(hashes))
+            sizes[i] = len(hashes)
             keys.append(bands(hashes).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found.view(np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "fp", "sketch", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found.view(np.int64)), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "fp", "size", "bands"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,26 +122,20 @@ def _vantage_points(n: int) -> list[int]:
     return [int(v) for v in np.random.default_rng(64).integers(0, 1 << 63, n, dtype=np.int64)]
 
 
-def _blocks(radius: int) -> tuple[list[int], int]:
-    """(masks of the bits of every tree's blocks, bits of each): radius changed bits leave one tree's bits as they are.
-
-    Five blocks, of which a tree has two, for the radius of 3; radius + 1 blocks, of which
-    it has one, for larger ones.
-    """
-    n, kept = (radius + 2, 2) if radius <= RADIUS else (radius + 1, 1)
+def _blocks() -> tuple[list[int], int]:
+    """(masks of the bits of every tree's two blocks, bits of each): RADIUS changed bits leave one tree's bits as they are."""
+    n = RADIUS + 2
     edges = [64 * i // n for i in range(n + 1)]
     blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    masks = [sum(c) for c in combinations(blocks, kept)]
-    return [m - ((m >> 63) << 64) for m in masks], kept * (64 // n)
+    masks = [sum(c) for c in combinations(blocks, 2)]
+    return [m - ((m >> 63) << 64) for m in masks], 2 * (64 // n)
 
 
-def shards(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """tree, ring (the distances from the tree's vantage points), part and the columns of nodes (fp and others):
-
-    a row a tree, more for chunks of a large shard.
-    """
-    masks, bits = _blocks(radius)
-    levels = min(8, max(1, math.ceil(math.log(max(2, n / SHARD), 9))), max(1, bits // 2))
+def shards(fps: DataFrame, n: int) -> DataFrame:
+    """tree, ring (the distances from the tree's vantage points), part, fp: a row a tree for each of the n
+    distinct fingerprints, more for chunks of a large shard."""
+    masks, bits = _blocks()
+    levels = min(8, max(1, math.ceil(math.log(max(2, n / SHARD), 9))), bits // 2)
     points = _vantage_points(levels)
     keys = []
     for tree, mask in enumerate(masks):
@@ -162,35 +143,27 @@ def shards(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
         for v in points:
             ring = ring * 32 + F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(mask)))
         keys.append(F.struct(F.lit(tree).alias("tree"), ring.alias("ring")))
-    kept = nodes.columns
-    rows = nodes.select(*kept, F.explode(F.array(*keys)).alias("k")).select("k.tree", "k.ring", *kept)
+    rows = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.tree", "k.ring", "fp")
     if n <= CHUNK:
-        return rows.withColumn("part", F.lit(0))
+        return rows.select("tree", "ring", F.lit(0).alias("part"), "fp")
     large = checkpoint(rows.groupBy("tree", "ring").count().where(F.col("count") > CHUNK).select("tree", "ring", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")))
     if large.isEmpty():
-        return rows.withColumn("part", F.lit(0))
+        return rows.select("tree", "ring", F.lit(0).alias("part"), "fp")
     # chunk pairs (i, j) with i <= j; a row of chunk c is in those that name c
     cut = rows.join(large, ["tree", "ring"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    cut = cut.withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return cut.select("tree", "ring", *kept, (F.least("c", "other") * F.col("chunks") + F.greatest("c", "other")).alias("part"))
+    cut = cut.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return cut.select("tree", "ring", (F.least("c", "other") * F.col("chunks") + F.greatest("c", "other")).alias("part"), "fp")
 
 
 class _Forest:
-    """Components of the items of one shard; keeps one link for each merge.
-
-    sketches: a row of bytes for each item; then only items whose sketches are alike are linked.
-    """
+    """Components of the items of one shard; keeps one link for each merge."""
 
-    def __init__(self, n: int, radius: int = RADIUS, sketches: np.ndarray | None = None) -> None:
-        self.root, self.links, self.radius, self.sketches = np.arange(n), [], radius, sketches
+    def __init__(self, n: int, radius: int = RADIUS) -> None:
+        self.root, self.links, self.radius = np.arange(n), [], radius
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         x, y = self.root[a], self.root[b]
         new = x != y
-        if self.sketches is not None and new.any():
-            at = np.flatnonzero(new)
-            same = np.concatenate([(self.sketches[a[c]] == self.sketches[b[c]]).mean(axis=1) for c in np.array_split(at, len(at) // 20_000 + 1)])
-            new[at] = (same - 1 / 256) / (1 - 1 / 256) >= NEAR_SIMILARITY
         if not new.any():
             return
         up: dict[int, int] = {}
@@ -260,51 +233,42 @@ def _within(fps: np.ndarray, a: np.ndarray, forest: _Forest, depth: int = 0) ->
     _across(fps, a[near & (d > edge - forest.radius)], a[~near & (d <= edge + forest.radius)], forest)
 
 
-def shard_links(fps: np.ndarray, radius: int = RADIUS, sketches: np.ndarray | None = None) -> np.ndarray:
+def shard_links(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Pairs of places (a, b) of a spanning forest of all links among the fingerprints of a shard."""
-    forest = _Forest(len(fps), radius, sketches)
+    forest = _Forest(len(fps), radius)
     _within(fps, np.arange(len(fps)), forest)
     return np.array(forest.links, int).reshape(-1, 2)
 
 
-def _linker(radius: int, sketched: bool):
-    """A function for mapInArrow.  Rows (tree, ring, part, id, fp, sketch) come sorted by shard; one shard is held at a time."""
+def _linked(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fps = np.concatenate([p.column("fp").to_numpy() for p in parts]).view(np.uint64)
+    if len(fps) > 1 and len(found := shard_links(fps)):
+        ids = fps.view(np.int64)
+        yield pa.RecordBatch.from_pydict({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
 
-    def out(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(parts)
-        if rows.num_rows < 2:
-            return
-        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS) if sketched else None
-        found = shard_links(rows.column("fp").to_numpy().view(np.uint64), radius, sketches)
-        if len(found):
-            ids = rows.column("id").to_numpy()
-            yield pa.RecordBatch.from_pydict({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
-            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if held and tuple(keys[a]) != key:
-                    yield from out(held)
-                    held = []
-                key = tuple(keys[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from out(held)
-
-    return link
-
-
-def links(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """(a, b): ids of links that connect all nodes (id, fp, sketch if there is one) that a chain of close pairs connects."""
-    sketched = "sketch" in nodes.columns
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tree, ring, part, fp) come sorted by shard; one shard is held at a time."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and tuple(keys[a]) != key:
+                yield from _linked(held)
+                held = []
+            key = tuple(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from _linked(held)
+
+
+def links(fps: DataFrame, n: int) -> DataFrame:
+    """(a, b): links that connect all of the n distinct fingerprints (fp) that a chain of close pairs connects."""
     keys = ["tree", "ring", "part"]
-    rows = shards(nodes, n, radius).select(*keys, *nodes.columns)
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linker(radius, sketched), "a long, b long")
+    return shards(fps, n).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link, "a long, b long")
 
 
 def _least(links_: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -319,8 +283,8 @@ def _least(links_: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def components(rows: DataFrame) -> DataFrame:
     """rows (doc_id, fp) with component_id, the smallest doc_id that is reachable."""
-    fps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("fp")))
-    found = _least(links(fps.select("id", "fp"), fps.count()), fps)
+    fps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = _least(links(fps.select("fp"), fps.count()), fps.withColumnRenamed("fp", "id"))
     return rows.join(found.select(F.col("id").alias("fp"), F.col("least").alias("component_id")), "fp")
 
 
@@ -330,37 +294,67 @@ def clusters(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _comparable(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, m, b, n) of nodes with their numbers of shingles, each once and in order, whose sizes allow NEAR_SIMILARITY."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("m", "n").alias("m"), F.greatest("m", "n").alias("n"))
+    return pairs.where(F.col("m") >= NEAR_SIMILARITY * F.col("n")).distinct()
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have a likeness of NEAR_SIMILARITY or more."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     common = F.size(F.array_intersect("x", "y"))
-    return checkpoint(both.where(small / large >= NEAR_SIMILARITY).where(common / (small + large - common) >= NEAR_SIMILARITY).select("a", "b"))
+    return checkpoint(both.where(common / (F.col("m") + F.col("n") - common) >= NEAR_SIMILARITY).select("a", "b"))
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of the bands that the links found leave in several components, with the root of theirs."""
+    roots = connected_components(found).withColumnRenamed("node", "id")
+    rooted = checkpoint(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    return checkpoint(rooted.join(several, "band", "left_semi"))
+
+
+def _with_pivot(members: DataFrame, by: str) -> DataFrame:
+    """members with p: of each band's nodes the one that has the largest ``by``."""
+    pivots = members.groupBy("band").agg(F.max(F.struct(by, *[c for c in ("id", "size", "root") if c in members.columns])).alias("p"))
+    return members.join(checkpoint(pivots), "band")
 
 
 def _near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links that connect the nodes (id, fp, sketch, bands) as all candidates of NEAR_SIMILARITY do; texts has id, text.
+    """(a, b): links that connect the nodes (id, key, fp, size, bands) as all candidates of NEAR_SIMILARITY do; texts has key, text.
 
-    Candidates are the links of the trees and all pairs that share a band.  Every link is
-    verified on the sets of shingles, which only nodes with a candidate get.  A band's nodes are
-    first compared with their least one; the other pairs follow where that leaves them unconnected.
+    Candidates are the links of the trees and all pairs that share a band.  Every link is verified on the whole
+    sets of shingles, which only nodes with a candidate get.  A band's nodes are first compared with one of them,
+    that with the most neighbours in all bands (of near copies of one text this tends to be the text itself); then,
+    where nodes are left in several components, with another; what is still apart then is compared pair by pair.
     """
-    posted = nodes.select("id", F.explode("bands").alias("band"))
-    shared = posted.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("id").alias("a")).where("n > 1")
+    posted = nodes.select("id", "size", F.explode("bands").alias("band"))
+    shared = posted.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("id").alias("least")).where("n > 1")
     # bands with the same nodes count once
-    groups = checkpoint(shared.groupBy("n", "x", "y", "a").agg(F.min("band").alias("band")).select("band", "a"))
-    members = checkpoint(posted.join(groups, "band").select("band", "a", "id"))
-    close = checkpoint(links(nodes.select("id", "fp", "sketch"), nodes.count(), NEAR_RADIUS))
-    first = members.where("a < id").select("a", F.col("id").alias("b")).unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    named = checkpoint(members.select("id").unionByName(close.select(F.col("a").alias("id"))).unionByName(close.select(F.col("b").alias("id"))).distinct())
-    sets = checkpoint(texts.join(named, "id", "left_semi").mapInArrow(_shingle_sets, "id long, shingles array<long>").dropDuplicates(["id"]))
+    groups = checkpoint(shared.groupBy("n", "x", "y", "least").agg(F.min("band").alias("band")).select("band", "n"))
+    members = checkpoint(posted.join(groups, "band"))
+    weights = checkpoint(members.groupBy("id").agg(F.sum("n").alias("weight")))
+    members = checkpoint(members.drop("n").join(weights, "id").withColumn("turn", F.xxhash64("id")))
+
+    # one node stands for all of a fingerprint; the others are linked to it
+    stands = checkpoint(nodes.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("s"), F.count("*").alias("many")).select("fp", "s.id", "s.size", "many"))
+    end = lambda fp, i, n: stands.select(F.col("fp").alias(fp), F.col("id").alias(i), F.col("size").alias(n))
+    close = links(stands.select("fp"), stands.count()).withColumnsRenamed({"a": "x", "b": "y"}).join(end("x", "a", "m"), "x").join(end("y", "b", "n"), "y").select("a", "m", "b", "n")
+    same = checkpoint(stands.where("many > 1").select("fp", F.col("id").alias("a"), F.col("size").alias("m")))
+    same = nodes.select("fp", F.col("id").alias("b"), F.col("size").alias("n")).join(same, "fp").select("a", "m", "b", "n")
+
+    star = lambda rows: rows.select(F.col("p.id").alias("a"), F.col("p.size").alias("m"), F.col("id").alias("b"), F.col("size").alias("n"))
+    first = checkpoint(_comparable(star(_with_pivot(members, "weight")).unionByName(close).unionByName(same)))
+    named = checkpoint(members.select("id").unionByName(first.select(F.col("a").alias("id"))).unionByName(first.select(F.col("b").alias("id"))).distinct().join(nodes.select("id", "key"), "id"))
+    whole = texts.join(named, "key").groupBy("id").agg(F.first("text").alias("text"))
+    sets = checkpoint(whole.mapInArrow(_shingle_sets, "id long, shingles array<long>"))
     found = _alike(first, sets)
-    roots = connected_components(found).withColumnRenamed("node", "id")
-    rooted = checkpoint(members.where("a <> id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
-    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    open_ = checkpoint(rooted.join(several, "band", "left_semi"))
-    left, right = (open_.select("band", F.col("id").alias(i), F.col("root").alias(r)) for i, r in (("a", "ra"), ("b", "rb")))
-    rest = left.join(right, "band").where("a < b AND ra <> rb").select("a", "b").distinct()
+    second = _comparable(star(_with_pivot(_open(members, found), "turn").where("p.root <> root")))
+    found = checkpoint(found.unionByName(_alike(second, sets)))
+    apart = _open(members, found)
+    end = lambda i, n, r: apart.select("band", F.col("id").alias(i), F.col("size").alias(n), F.col("root").alias(r))
+    rest = _comparable(end("a", "m", "x").join(end("b", "n", "y"), "band").where("a < b AND x <> y"))
     return found.unionByName(_alike(rest, sets))
 
 
@@ -368,20 +362,21 @@ def near_deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each group the row with the smallest doc_id stays.
 
     Texts are near copies if the likeness (Jaccard) of their sets of five-word shingles is
-    NEAR_SIMILARITY or more; candidates are found by fingerprints that differ in NEAR_RADIUS
-    bits at most and by bands, and verified; groups are the components of these links.  Equal
-    texts are one node.  Of rows that share the smallest doc_id the one with the smallest hash of
-    its text stays; if a group has no doc_id at all, that holds for all its rows.
+    NEAR_SIMILARITY or more; candidates are found by fingerprints that differ in RADIUS bits at
+    most and by bands, and verified; groups are the components of these links.  Rows with one
+    SHA-256 of their text are one node, which has a number of its own.  Of rows that share the
+    smallest doc_id the one with the smallest SHA-256 stays; if a group has no doc_id at all, that
+    holds for all its rows; of rows equal in doc_id and text one stays.
     """
     key = F.sha2(text_of(), 256)
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", key.alias("key"), text_of().alias("text")).mapInArrow(_sketches, f"doc_id {kind}, key string, fp long, sketch binary, bands array<long>")
-    rows = checkpoint(rows.withColumn("id", F.xxhash64("key")))
+    rows = checkpoint(docs.select("doc_id", key.alias("key"), text_of().alias("text")).mapInArrow(_marks, f"doc_id {kind}, key string, fp long, size long, bands array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
-    nodes = checkpoint(rows.groupBy("id").agg(F.min(order).alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.count("*").alias("n")))
-    texts = docs.select(F.xxhash64(key).alias("id"), text_of().alias("text"))
-    kept = _least(_near_links(nodes, texts), nodes.select("id", "least"))
-    judged = rows.select("doc_id", "key", "id").join(kept, "id")
+    nodes = rows.groupBy("key").agg(F.min(order).alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = checkpoint(nodes.withColumn("id", F.monotonically_increasing_id()))
+    kept = _least(_near_links(nodes, docs.select(key.alias("key"), text_of().alias("text"))), nodes.select("id", "least"))
+    kept = checkpoint(kept.join(nodes.select("id", "key"), "id").select("key", "least"))
+    judged = rows.select("doc_id", "key").join(kept, "key")
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))
     gone = judged.where(~stays).select("doc_id", "key", F.lit(False).alias("repeated"))
     # a row that stays is listed only where others are its equals

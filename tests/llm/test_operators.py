@@ -516,12 +516,64 @@ def test_near_dedup_by_exact_likeness(spark):
     assert got == sorted(set(root)) and 80 < len(got) < len(texts)
 
 
-def test_sketch_estimates_jaccard():
-    r = random.Random(17)
-    a = [f"w{r.randrange(10**6)}" for _ in range(800)]
-    b = a[:720] + [f"v{r.randrange(10**6)}" for _ in range(80)]
-    x, y = (np.frombuffer(simhash.sketch(" ".join(t).encode()), np.uint8) for t in (a, b))
-    assert abs((x == y).mean() - 716 / 876) < 0.12 and len(simhash.sketch(b"")) == simhash.BINS
+def test_near_dedup_finds_all_pairs_of_a_table(spark):
+    """All pairs of five-word likeness 0.8 or more in sf0.1, by an index of rare shingles; the stage keeps just what they leave."""
+    docs = spark.read.parquet(f"{data_dir('sf0.1')}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
+    first, sets = {}, {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    for t, i in first.items():
+        sets[i] = set(simhash.shingle_set(t.encode()).tolist())
+    having = collections.Counter(h for s in sets.values() for h in s)
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    # two sets with likeness 0.8 share one of the rarest (1 - 0.8) n + 1 shingles of each
+    posted, pairs = collections.defaultdict(list), 0
+    for i, s in sorted(sets.items()):
+        rare = sorted(s, key=lambda h: (having[h], h))[: len(s) - -(-4 * len(s) // 5) + 1]
+        for j in {j for h in rare for j in posted[h]}:
+            if len(s & sets[j]) >= 0.8 * len(s | sets[j]):
+                pairs += 1
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+        for h in rare:
+            posted[h].append(i)
+    assert pairs >= 40
+    got = sorted(r["doc_id"] for r in simhash.near_deduplicated(docs).select("doc_id").collect())
+    want = sorted({top(i) for i in sets})
+    assert len(set(want) ^ set(got)) <= 0.02 * pairs  # a pair of 0.8 shares no band in 0.04 % of cases
+
+
+def test_large_group_of_near_copies_is_compared_with_its_centre(spark, monkeypatch):
+    """Copies of one text that aren't near to each other: comparisons grow with the group, not with its square."""
+    r = random.Random(19)
+    compared = []
+    plain = simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, sets: compared.append(pairs.count()) or plain(pairs, sets))
+    w = words_of(r, 230, 5000).split()
+    texts = []
+    for _ in range(300):
+        c = list(w)
+        for at in r.sample(range(5, 225, 10), 4):  # 0.84 to the text, 0.7 to another copy
+            c[at] = f"z{r.randrange(10**6)}"
+        texts.append(" ".join(c))
+    texts.insert(200, " ".join(w))
+    assert [x["doc_id"] for x in simhash.near_deduplicated(docs_of(spark, texts)).collect()] == [0]
+    assert sum(compared) < 10 * len(texts)
+
+
+def test_shards_grow_with_the_fingerprints(spark):
+    largest = {}
+    for n in (4_000, 64_000):
+        rows = simhash.shards(spark.range(n).select(F.xxhash64("id").alias("fp")), n)
+        largest[n] = rows.groupBy("tree", "ring").count().agg(F.max("count")).first()[0]
+    assert largest[64_000] < 4 * largest[4_000]
 
 
 def test_connected_components(spark):
