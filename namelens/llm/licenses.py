@@ -4,11 +4,16 @@ Every text's words give rolling k-gram hashes.  Spark joins all of them to the
 positions of the same hashes in the license templates; a match votes for the
 diagonal (place in the text less place in the template).  Votes are added per
 diagonal, neighbouring diagonals that overlap merge into a span (words that were
-put in or left out shift the diagonal), and a span with enough votes is verified
-word by word in its text.  Phrases that name a license are found beside that.
+put in or left out shift the diagonal), and a span with the votes that a notice
+needs at least is verified in its text: windows of twice the template's length go
+over the whole span, each the template's length further, and a window that has
+COVER of the template's words in order is a notice.  Of overlapping notices the
+one with the larger share of its template stays, then the one with more words.  Phrases that name a license are
+found beside that.
 
 The join works on distinct texts, so copies vote once; every row gets its
-text's result.  Templates are the fixed list below: a few hundred positions.
+text's result.  Templates are the fixed list below: some nine hundred positions;
+a license that is in none of them gives no label.
 
 Defined results: a null text counts as empty and has no words and no labels;
 repeated rows give repeated rows; an empty table gives no rows.
@@ -16,6 +21,8 @@ repeated rows give repeated rows; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +37,8 @@ K = 3
 SHIFT, GAP = 3, 8
 #: Share of a template's words that a verified span must have, in order.
 COVER = 0.7
-#: Texts with spans up to which their table is broadcast (about 200 bytes each).
-BROADCAST_TEXTS = 50_000
+#: Spans up to which their table is broadcast (about 100 bytes each).
+BROADCAST_SPANS = 100_000
 
 #: Phrases whose places are the base, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -46,9 +53,27 @@ TEMPLATES = (
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by", "Licensed under CC BY 4.0."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("reserved", "All rights reserved."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("boost", "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt"),
 )
 
 _TABLE = np.where(WORD[LOWER], LOWER, np.uint8(32)).astype(np.uint8).tobytes()
@@ -59,6 +84,10 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+_PHRASES = [(p.encode().split(), label) for p, label in PHRASES]
+_TEMPLATE_WORDS = [words(t.encode()) for _, t in TEMPLATES]
+
+
 def _grams(column: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every k-gram, number of the first gram of every text and their total)."""
     data, offsets = text_buffer(column)
@@ -107,22 +136,39 @@ def spans(docs: DataFrame) -> DataFrame:
         .withColumn("group", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("key", "template", "group").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"))
     )
-    least = F.element_at(F.array(*[F.lit(max(1, int((len(words(t.encode())) - K + 1) * COVER * COVER))) for _, t in TEMPLATES]), F.col("template") + 1)
+    # a word that is changed or left out takes K grams at most
+    least = F.element_at(F.array(*[F.lit(max(1, math.ceil(len(w) - K + 1 - K * (1 - COVER) * len(w)))) for w in _TEMPLATE_WORDS]), F.col("template") + 1)
     return checkpoint(merged.where(F.col("votes") >= least).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("template", "first", "last", "votes"))).alias("spans")))
 
 
-def _in_order(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence of words."""
-    row = [0] * (len(b) + 1)
-    for x in a:
+def _in_order(template: list[bytes], window: list[bytes]) -> tuple[int, int, int]:
+    """(length of the longest common subsequence of words, first word and end of its first place in the window)."""
+    if not set(template) & set(window):
+        return 0, 0, 0
+    m = len(window) + 1
+    row = [0] * m  # length * m + place of the first word: of equal lengths the later start is larger
+    for x in template:
         diagonal = 0
-        for j, y in enumerate(b, 1):
-            row[j], diagonal = (diagonal + 1 if x == y else max(row[j], row[j - 1])), row[j]
-    return row[-1]
-
-
-_PHRASES = [(p.encode().split(), label) for p, label in PHRASES]
-_TEMPLATE_WORDS = [words(t.encode()) for _, t in TEMPLATES]
+        for j, y in enumerate(window, 1):
+            up = row[j]
+            row[j] = max(up, row[j - 1], (diagonal + m if diagonal else m + j - 1) if x == y else 0)
+            diagonal = up
+    length = row[-1] // m
+    end = next(j for j, v in enumerate(row) if v // m == length)
+    return length, row[end] % m, end
+
+
+def notices(found: list[bytes], template: int, first: int, last: int) -> Iterator[tuple[float, int, int, int]]:
+    """(share, words, first word, end) of every place between two words that has COVER of the template's words in order."""
+    wanted = _TEMPLATE_WORDS[template]
+    at = max(0, first - K)
+    while at <= last:
+        length, start, end = _in_order(wanted, found[at : at + 2 * len(wanted) + 2 * GAP])
+        if length >= COVER * len(wanted):
+            yield length / len(wanted), length, at + start, at + end
+            at += end
+        else:
+            at += len(wanted)
 
 
 def scan(text: bytes, candidates: list[dict]) -> tuple:
@@ -137,16 +183,15 @@ def scan(text: bytes, candidates: list[dict]) -> tuple:
                     if at >= 0 and found[at : i + 1] == phrase:
                         base.append((at, label))
     base_labels = sorted({label for _, label in base})
-    verified, score = [], 1.0 if base else 0.0
-    for c in candidates:
-        template = _TEMPLATE_WORDS[c["template"]]
-        first = max(0, c["first"] - K)
-        window = found[first : c["last"] + 1 + K]
-        # a window can't need more words than the template and the shifts between its diagonals
-        share = _in_order(template, window[: 4 * len(template) + 4 * GAP]) / len(template)
-        if share >= COVER:
-            verified.append((TEMPLATES[c["template"]][0], int(c["first"]), int(c["last"]) + 1))
-            score = max(score, share)
+    places = [(*place, TEMPLATES[c["template"]][0]) for c in candidates for place in notices(found, c["template"], c["first"], c["last"])]
+    verified, taken = [], []
+    for _, _, start, end, label in sorted(places, key=lambda x: (-x[0], -x[1], x[2:])):
+        i = bisect_left(taken, (start, end))
+        if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
+            taken.insert(i, (start, end))
+            verified.append((label, start, end))
+    verified.sort(key=lambda x: (x[1], x[2]))
+    score = max([1.0 if base else 0.0, *(x[0] for x in places)])
     labels = sorted({*base_labels, *(v[0] for v in verified)})
     starts = [i for i, _ in base]
     return len(found), len(base), min(starts, default=None), max(starts, default=None), ",".join(base_labels), ",".join(labels), score, ",".join(f"{a}:{b}:{c}" for a, b, c in verified)
@@ -169,6 +214,7 @@ def scans(docs: DataFrame) -> DataFrame:
     """doc_id and the columns of OUT for every row of docs."""
     found = spans(docs)
     rows = docs.select("doc_id", text_of().alias("text"), F.xxhash64(text_of()).alias("key"))
-    joined = rows.join(F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found, "key", "left").select("doc_id", "text", "spans")
+    n = found.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    joined = rows.join(F.broadcast(found) if n <= BROADCAST_SPANS else found, "key", "left").select("doc_id", "text", "spans")
     kind = dict(docs.dtypes)["doc_id"]
     return joined.mapInArrow(_scans, f"doc_id {kind}, {OUT}")

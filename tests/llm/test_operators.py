@@ -286,6 +286,14 @@ def test_licenses(spark):
         assert set(filter(None, x["base_labels"].split(","))) <= set(x["labels"].split(",")) and 0 <= x["score"] <= 1
     assert [got[i]["labels"] for i in (1, 2, 3, 6)] == ["mit", "mit", "", ""]
     assert got[8]["spans"].count("mit:") == 2
+    r = random.Random(20)
+    fewer = full.split()
+    for i in r.sample(range(len(fewer)), len(fewer) // 4):
+        fewer[i] = "other"
+    texts = ["licensed under cc " * 25 + "Licensed under CC BY-NC 4.0.", " ".join(fewer), "All rights reserved. " * 3, "Licensed under CC BY 4.0. Licensed under the Apache License, Version 2.0."]
+    got = {x["doc_id"]: x for x in licenses.scans(docs_of(spark, texts)).collect()}
+    assert [got[i]["labels"] for i in range(4)] == ["cc-by-nc", "mit", "reserved", "apache,cc-by"]
+    assert got[0]["spans"] == "cc-by-nc:75:82" and got[2]["spans"] == "reserved:0:3,reserved:3:6,reserved:6:9"
 
 
 # --- 8 personal data
