@@ -31,7 +31,7 @@ BROADCAST_HOSTS = 200_000
 #: Copies of the winners' table that a hot host's pages are dealt over, beyond that bound.
 SALT = 32
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>", re.S | re.I)
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
@@ -39,9 +39,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Tags that start a block of their own.
 BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 #: Tags whose content is never main text.
-SKIP = frozenset("head title nav footer aside form button iframe object audio video canvas menu dialog header".split())
+SKIP = frozenset("head title nav footer aside form button iframe object audio video canvas menu dialog header noscript template svg textarea select".split())
 #: An element with a class, id or role that is, starts or ends with one of these words isn't main text, an article or main excepted.
-_WORDS = r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumb\w*|sidebar|side|footer|header|masthead|cookie\w*|consent|notice|newsletter|subscribe|signup|login|share|social|related|recommend\w*|comment\w*|disqus|replies|popup|modal|widget|pagination|pager|copyright|legal|search|complementary)"
+_WORDS = r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumb\w*|sidebar|side|footer|header|masthead|cookie\w*|consent|notice|newsletter|subscribe|signup|login|share|social|related|recommend\w*|comment\w*|disqus|replies|reply|respond|responses|reactions|popup|modal|widget|pagination|pager|copyright|legal|search|complementary)"
 _BOILERPLATE = re.compile(rf"(?:^|\s){_WORDS}(?=$|[\s_-])(?!\S*[_-](?:open|closed|legal)(?:$|\s))|(?:^|\s)(?!(?:has|no|not|with|without)[_-])\S+[_-](?!legal\b){_WORDS}(?:$|\s)", re.I)
 #: Words beyond which a block is prose.
 PROSE = 8
@@ -65,6 +65,7 @@ class Page:
         self.parent: list[int] = [0]
         self.blocks: list[tuple[int, str, int]] = []
         stack, text, linked, in_link, at = [0], [], 0, 0, 0
+        open_: dict[str, int] = defaultdict(int)  # elements of a tag on the stack
 
         def flush(owner: int) -> None:
             nonlocal linked
@@ -94,10 +95,12 @@ class Page:
                     in_link = max(0, in_link - 1)
                 elif tag in BLOCK or tag in SKIP:
                     flush(stack[-1])
-                    open_tags = [self.tags[e] for e in stack]
-                    if tag in open_tags[1:]:
-                        del stack[len(open_tags) - 1 - open_tags[::-1].index(tag) :]
+                    if open_[tag]:
                         in_link = 0
+                        closed = ""
+                        while closed != tag:
+                            closed = self.tags[stack.pop()]
+                            open_[closed] -= 1
                 continue
             if tag == "a":
                 in_link += 1
@@ -106,17 +109,19 @@ class Page:
                 flush(owner)
                 if tag in _CLOSED_BY_SELF and self.tags[owner] == tag:
                     stack.pop()
-                if tag in VOID:
+                    open_[tag] -= 1
+                if tag in VOID or (tag == "svg" and (m[4] or "").endswith("/")):
                     continue
-                self._open(tag, m[4] or "", stack)
+                self._open(tag, m[4] or "", stack, open_["article"] + open_["main"] > 0)
+                open_[tag] += 1
         put(html[at:])
         flush(stack[-1])
 
-    def _open(self, tag: str, attributes: str, stack: list[int]) -> None:
+    def _open(self, tag: str, attributes: str, stack: list[int], in_article: bool) -> None:
         up = stack[-1]
         named = " ".join(x for found in _CLASS.findall(attributes) for x in found if x) if "=" in attributes else ""
         # a heading of the article may sit in its own header element
-        skip = tag in SKIP and not (tag == "header" and any(self.tags[e] in ("article", "main") for e in stack))
+        skip = tag in SKIP and not (tag == "header" and in_article)
         self.tags.append(tag)
         above = self.paths[up] if self.paths[up].count("/") < DEPTH else self.paths[up][self.paths[up].index("/", 1) :]
         self.paths.append(f"{above}/{tag}" + ("." + _DIGITS.sub("0", ".".join(named.lower().split())) if named else ""))
@@ -131,7 +136,7 @@ class Page:
             n = words.count(" ") + 1
             weight = n - 3.0 * linked + (2.0 if n > PROSE else 0.0) + 0.5 * words.count(",")
             e, share = owner, 1.0
-            while e:
+            while e and share > 1e-3:
                 if self.tags[e] in CONTAINER:
                     score[e] += weight * share * (1.5 if self.tags[e] in ("article", "main") else 1.0)
                     share *= 0.8
@@ -143,23 +148,30 @@ class Page:
 
     def _climb(self, e: int) -> int:
         """The outermost container above e to which most words of each step's further blocks are prose, headings or own paragraphs."""
-        at = e
-        while at := self.parent[at]:
+        above: list[int] = []
+        while e and (not above or above[-1]):
+            above.append(self.parent[above[-1] if above else e])
+        # of every element the nearest one among those above e, and what each of these has outside the one below it
+        step = {at: i for i, at in enumerate(above)}
+        nearest = [0] * len(self.tags)
+        sums = [[0, 0, 0] for _ in above]
+        for x in range(len(self.tags)):
+            nearest[x] = -1 if x == e else step.get(x, nearest[self.parent[x]])
+        for owner, text, linked in self.blocks:
+            if nearest[owner] >= 0:
+                n, at = text.count(" ") + 1, above[nearest[owner]]
+                good = n > PROSE or self.tags[owner] in _HEADINGS or (self.tags[owner] == "p" and self.parent[owner] == at)
+                sums[nearest[owner]] = [a + b for a, b in zip(sums[nearest[owner]], (n, n * good, linked), strict=True)]
+        words = good = links = 0
+        for at, found in zip(above[:-1], sums, strict=False):
+            words, good, links = words + found[0], good + found[1], links + found[2]
             if self.tags[at] not in CONTAINER:
                 continue
-            words = good = links = 0
-            for owner, text, linked in self.blocks:
-                up = owner
-                while up > at and up != e:
-                    up = self.parent[up]
-                if up == at:
-                    n = text.count(" ") + 1
-                    words, links = words + n, links + linked
-                    good += n * (n > PROSE or self.tags[owner] in _HEADINGS or (self.tags[owner] == "p" and self.parent[owner] == at))
             if words and (2 * good < words or 5 * links > words):
                 break
             if words:
                 e = at
+                words = good = links = 0
         return e
 
     def prose(self) -> bool:

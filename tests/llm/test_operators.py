@@ -238,6 +238,41 @@ def test_html_layouts():
         assert text(f"<div class=post>{prose}<div class='{named}'>{prose}</div></div>") == f"{words} {words}"
 
 
+def test_html_keeps_text_around_odd_tags():
+    text = lambda body: (lambda page: page.text(page.best()[0]))(htmlmain.read(f"<html><body>{body}</body></html>"))
+    prose = "Main text of the page that is long enough to be prose for sure."
+    assert text(f'<p>Intro <svg class="i"/> icon</p><p>{prose}</p>') == f"Intro icon {prose}"
+    for tag in ("select", "template", "noscript", "textarea", "svg"):
+        assert text(f"<div><p>Intro <{tag}><b>hidden</b></p></div><p>{prose}</p>") == f"Intro {prose}"
+        assert text(f"<p>Intro <{tag}><b>hidden</b></{tag}> here</p><p>{prose}</p>") == f"Intro here {prose}"
+    for named in ("respond", "responses", "reply-list"):
+        assert text(f"<article><p>{prose}</p><section id='{named}'><p>{prose}</p></section></article>") == prose
+
+
+def test_html_of_generated_pages(spark):
+    """Pages of a few site layouts, whose main text is known when they are made."""
+    r = random.Random(21)
+    sentence = lambda n: " ".join(r.choice("lorem ipsum dolor sit amet elit sed do".split()) for _ in range(n)) + "."
+    pages, want = [], {}
+    for site in range(12):
+        wrap = r.choice(["<article>{}</article>", "<main><div class='c{n}'>{}</div></main>", "<div id='post-{n}' class='entry'>{}</div>", "<div class='page'><div class='text'>{}</div></div>"])
+        around = [
+            (r.choice(["<nav>{}</nav>", "<ul class='menu'>{}</ul>", "<div class='top-nav'>{}</div>"]), ""), ("", r.choice(["<aside>{}</aside>", "<div class='sidebar'>{}</div>", "<div class='widget ad'>{}</div>"])),
+            ("", r.choice(["<footer>{}</footer>", "<div class='site-footer'>{}</div>"])), ("", r.choice(["<div class='comments'>{}</div>", "<section id='respond'>{}</section>"])),
+        ]
+        links = "".join(f"<li><a href='/{i}'>{sentence(2)}</a></li>" for i in range(6))
+        for i in range(6):
+            blocks = [f"Title {site} {i} &amp; more"] + [sentence(r.randint(12, 60)) for _ in range(r.randint(2, 6))]
+            main = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b.replace('dolor', '<b>dolor</b>')}</p>" for b in blocks[1:])
+            before = "".join(b.format(links) for b, _ in around if b)
+            after = "".join(a.format(f"<p>{sentence(20)}</p>{links}") for _, a in around if a)
+            body = before + wrap.replace("{n}", str(i)).format(main) + after
+            pages.append((site * 6 + i, f"http://h{site}.org/{i}", f"<html><head><title>x</title></head><body>{body}<script>var a = '<p>';</script></body></html>"))
+            want[site * 6 + i] = " ".join(blocks).replace("&amp;", "&")
+    got = {x["page_id"]: x["text"] for x in htmlmain.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_host_consensus(spark):
     body = "<body><div class='x{n}'><p>" + "word " * 30 + "</p></div><div class='side{n}'><p>" + "other " * 5 + "</p></div></body>"
     odd = "<body><div class='x9'><p>short one</p></div><div class='y'><p>" + "noise " * 20 + "</p></div></body>"
