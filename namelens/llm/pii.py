@@ -1,19 +1,23 @@
 """Personal data: a semi-Markov conditional random field over whole-span candidates.
 
 Base spans come from fixed patterns.  Beside them, regions of a text that could hold
-a card, phone, address or mailbox give candidate segments: runs of neighbouring digit
-groups, and mailboxes that spell out their signs.  Features of a whole segment (digit
-count, checksum, grouping, separators, signs around it, words before it) score every
-kind, and a dynamic program over segments of bounded length chooses boundaries and
-kinds of a region together.  Its spans are added where they touch no base span.
-
-The field is fitted by gradient steps on its conditional likelihood, on the base
-spans of a bounded sample of rows (``TRAIN``) and on variants of them: other
-separators, no plus sign, signs spelled out, digits that fail the checksum.  The
-weights, a few hundred numbers, go to the workers with the function.
-
-Defined results: a null text counts as empty and has no spans; without any base
-span in the sample the field adds nothing; repeated rows give repeated rows.
+a card, phone, address, mailbox or secret give candidate segments: runs of neighbouring
+digit groups, mailboxes that spell out their signs, and long tokens of letters and
+digits.  Features of a whole segment (digit count, checksum, grouping, separators, kinds
+of characters, entropy, signs around it, words before it) score every kind, and a
+dynamic program over segments of bounded length chooses boundaries and kinds of a
+region together.  Its spans are added where they touch no base span.
+
+The field is fitted by gradient steps on its conditional likelihood: on the base spans of
+a bounded sample, on secrets that a word like token names, and on variants of both (other
+separators, no plus sign, signs spelled out, other quotes and names, digits that fail the
+checksum, letters only).  The sample is ``EXCERPTS`` excerpts at most, from about ``TRAIN``
+rows at most, both by hash; every excerpt counts in full, and equal ones once.  The weights,
+a few hundred numbers, go to the workers with the function.
+
+Defined results: a null text counts as empty and has no spans; without any example in the
+sample the field adds nothing; repeated rows give repeated rows; a token of more than
+``TOKEN`` characters is no secret.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,11 +36,15 @@ from pyspark.sql import functions as F
 
 from namelens.llm.common import text_of
 
+#: The kinds of base spans, and the one that only the field finds.
 KINDS = ("email", "ip", "card", "phone")
-#: Rows whose base spans the field is fitted on at most.
-TRAIN = 3000
+ALL_KINDS = (*KINDS, "secret")
+#: Rows that the sample is taken from, and excerpts in it, at most.
+TRAIN, EXCERPTS = 24_000, 1_500
 #: Digit groups and code points that a segment has at most.
 GROUPS, LONGEST = 8, 48
+#: Characters that a token has at least and at most to be a candidate for a secret.
+SHORTEST, TOKEN = 16, 256
 #: Log-odds that a segment must have over being no entity.
 MARGIN = 2.0
 
@@ -47,7 +56,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _REGION = re.compile(r"[+(]?[0-9][0-9\x20().+-]*[0-9]\)?")
 _GROUP = re.compile(r"[0-9]+")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,40}\x20?(?:[\[(]at[\])]|\x20at\x20)\x20?[A-Za-z0-9-]{1,40}(?:\x20?(?:\.|[\[(]dot[\])]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,20}){1,3}(?![A-Za-z0-9-])")
-_CUES = ("call", "phone", "tel", "fax", "mobile", "card", "visa", "pay", "credit", "ip", "host", "server", "mail", "contact", "account", "id", "date", "version", "isbn", "no", "token", "order")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|credential|bearer)[\x20\"']*[=:]?[\x20\"']*\Z")
+_CUES = ("secret", "key", "password", "passwd", "apikey", "bearer", "hash", "commit", "sha", "call", "phone", "tel", "fax", "mobile", "card", "visa", "pay", "credit", "ip", "host", "server", "mail", "contact", "account", "id", "date", "version", "isbn", "no", "token", "order")
 
 
 def luhn(digits: str) -> bool:
@@ -112,11 +123,27 @@ def regions(text: str) -> Iterator[list[tuple[int, int]]]:
         for m in _SPELLED.finditer(text):
             if "dot" in m[0].lower() or "(at)" in m[0].lower() or "[at]" in m[0].lower():
                 yield [(m.start(), m.end())]
+    for m in _TOKEN.finditer(text):
+        if m.end() - m.start() <= TOKEN and not m[0].isdigit():
+            yield [(m.start(), m.end())]
+
+
+def _of_token(s: str, text: str, start: int, end: int) -> list[str]:
+    """Names of the features of a long token."""
+    n, digits, upper = len(s), sum(c.isdigit() for c in s), sum(c.isupper() for c in s)
+    entropy = -sum(k / n * math.log2(k / n) for k in map(s.count, set(s)))
+    quoted = text[start - 1 : start] in ("'", '"') and text[end : end + 1] == text[start - 1 : start]
+    named = _NAMED.search(text[max(0, start - 32) : start]) is not None
+    kinds = "hex" if all(c in "0123456789abcdef" for c in s) else "words" if not digits else "mixed" if upper and upper + digits < n else "plain"
+    words = re.findall(r"[A-Za-z]+", text[max(0, start - 24) : start].lower())
+    return ["token", f"token{kinds}", f"long{min(n // 8, 8)}", f"share{int(5 * digits / n)}", f"bits{int(2 * entropy)}", f"quoted{quoted}", f"named{named}", *(f"cue{w}" for w in words[-2:] if w in _CUES)]
 
 
 def features(text: str, start: int, end: int) -> list[str]:
     """Names of the features of a whole segment."""
     s = text[start:end]
+    if len(s) >= SHORTEST and _TOKEN.fullmatch(s) and not s.replace("-", "").isdigit():
+        return _of_token(s, text, start, end)
     d = _digits(s)
     groups = _GROUP.findall(s)
     seps = "".join(sorted({c for c in s if not c.isalnum()}))
@@ -163,7 +190,7 @@ class Field:
         for j in range(1, len(places)):
             top[j] = top[j - 1]
             for i, s, names in ending[j]:
-                for kind in range(len(KINDS)):
+                for kind in range(len(ALL_KINDS)):
                     gain = top[i] + self.score(kind, names) - MARGIN
                     if gain > top[j]:
                         top[j], back[j] = gain, (i, kind, s)
@@ -183,14 +210,14 @@ class Field:
         ready = []
         for text, segments, gold in examples:
             places, edges = self._lattice(segments)
-            ready.append((len(places), [(i, j, features(text, *s), {k for k in range(len(KINDS)) if (k, *s) in gold}) for s, (i, j) in zip(segments, edges, strict=True)]))
+            ready.append((len(places), [(i, j, features(text, *s), {k for k in range(len(ALL_KINDS)) if (k, *s) in gold}) for s, (i, j) in zip(segments, edges, strict=True)]))
         for step in range(rounds):
             r.shuffle(ready)
             now = rate / (1 + step)
             for n, segments in ready:
                 ending, starting = defaultdict(list), defaultdict(list)
                 for i, j, names, gold in segments:
-                    for kind in range(len(KINDS)):
+                    for kind in range(len(ALL_KINDS)):
                         item = (i, j, kind, names, kind in gold, self.score(kind, names))
                         ending[j].append(item)
                         starting[i].append(item)
@@ -233,74 +260,112 @@ def _variant(kind: int, s: str, r: random.Random) -> tuple[int | None, str]:
     return 3, s
 
 
-def examples_of(text: str, r: random.Random) -> list[tuple[str, list[tuple[int, int]], set[tuple[int, int, int]]]]:
-    """Training regions of a text: as it is, and with its base spans written in another way."""
-    out = []
+Example = tuple[str, list[tuple[int, int]], set[tuple[int, int, int]]]
+
+
+def _example(left: str, s: str, right: str, kind: int | None) -> Iterator[Example]:
+    """The regions of left + s + right that meet s, which is a span of the kind, or none."""
+    around, a, b = left + s + right, len(left), len(left) + len(s)
+    gold = {(kind, a, b)} if kind is not None else set()
+    if kind == 2 and s.count(" ") == 1 and len(_digits(s)) >= 32:  # two cards side by side
+        half = a + len(s) // 2
+        gold = {(2, a, half), (2, half + 1, b)}
+    for segments in regions(around):
+        if any(y > a and x < b for x, y in segments):
+            yield around, segments, gold
+
+
+def _secret_examples(left: str, s: str, right: str, r: random.Random) -> Iterator[Example]:
+    """A named secret as it is, with other characters and another name, and tokens that are none."""
+    yield from _example(left, s, right, 4)
+    letters = r.choice(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"])
+    other = "".join(r.choice(letters) for _ in range(r.choice([20, 24, 32, 40, 64])))
+    name, quote = r.choice(["password", "secret", "api_key", "token", "access_key"]), r.choice(['"', "'", ""])
+    yield from _example(f"{left[:12]} {name}{r.choice([' = ', ': ', '='])}{quote}", other, f"{quote} {right[-8:]}", 4)
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(16, 40)))
+    yield from _example(left[:12] + " ", r.choice([word, f"{word[:9]}-{word[9:]}", f"{word[:8]}/{word[8:]}/{r.randrange(99)}", "-" * len(word), "_" * len(word)]), f" {right[-8:]}", None)
+    yield from _example(f"{left[:12]} {r.choice(['commit', 'hash', 'sha', 'id'])} ", "".join(r.choice("0123456789abcdef") for _ in range(40)), f" {right[-8:]}", None)
+
+
+def examples_of(text: str, r: random.Random) -> Iterator[Example]:
+    """Training regions of an excerpt: as it is, and with its spans written in another way."""
     base = base_spans(text)
-    for kind, start, end in base[:20]:
+    known = list(base)
+    for kind, start, end in base:
         left, right = text[max(0, start - 30) : start], text[end : end + 20]
-        for changed in (None, *(_variant(kind, text[start:end], r) for _ in range(2))):
-            now, s = (kind, text[start:end]) if changed is None else changed
-            around = left + s + right
-            for segments in regions(around):
-                inside = [x for x in segments if x[1] > len(left) and x[0] < len(left) + len(s)]
-                if inside:
-                    gold = {(now, len(left), len(left) + len(s))} if now is not None else set()
-                    if now == 2 and s.count(" ") == 1 and len(_digits(s)) >= 32:
-                        half = len(left) + len(s) // 2
-                        gold = {(2, len(left), half), (2, half + 1, len(left) + len(s))}
-                    out.append((around, segments, gold))
+        yield from _example(left, text[start:end], right, kind)
+        for _ in range(2):
+            other, s = _variant(kind, text[start:end], r)
+            yield from _example(left, s, right, other)
+    for m in _TOKEN.finditer(text):
+        if m.end() - m.start() <= TOKEN and any(c.isdigit() for c in m[0]) and not m[0].isdigit() and _NAMED.search(text[max(0, m.start() - 32) : m.start()]):
+            known.append((4, m.start(), m.end()))
+            yield from _secret_examples(text[max(0, m.start() - 30) : m.start()], m[0], text[m.end() : m.end() + 20], r)
     for segments in regions(text):
-        if len(segments) <= 200 and not any(a < e and s < b for a, b in segments for _, s, e in base):
-            out.append((text[max(0, segments[0][0] - 30) : segments[-1][1] + 20], [(a - max(0, segments[0][0] - 30), b - max(0, segments[0][0] - 30)) for a, b in segments], set()))
-            if len(out) > 60:
-                break
-    return out
+        if not any(a < e and s < b for a, b in segments for _, s, e in known):
+            at = max(0, segments[0][0] - 30)
+            yield text[at : segments[-1][1] + 20], [(a - at, b - at) for a, b in segments], set()
 
 
-def fit(docs: DataFrame, most: int = TRAIN) -> Field:
-    """Fit on excerpts around digits and signs from about ``8 * most`` rows, chosen by the hash of their text."""
-    share = min(1.0, 8 * most / max(1, docs.count()))
-    h = F.xxhash64(F.lit("pii"), "text")
-    some = docs.select(text_of().alias("text")).select(h.alias("h"), "text").where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
-    excerpt = F.regexp_extract_all("text", F.lit(r"(?s)(.{0,40}(?:@|[0-9]{4}|[0-9]\.[0-9]).{0,60})"), 1)
-    rows = some.where(F.col("text").rlike(r"@|[0-9]{4}|[0-9]\.[0-9]")).select("h", F.slice(excerpt, 1, 6).alias("parts")).collect()
+def fit(docs: DataFrame, rows: int = TRAIN, most: int = EXCERPTS) -> Field:
+    """Fit on ``most`` excerpts around digits, signs and long tokens at most, from about ``rows`` rows, both chosen by hash."""
+    share = min(1.0, rows / max(1, docs.count()))
+    some = docs.select(text_of().alias("text")).where(F.pmod(F.xxhash64(F.lit("pii"), "text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    excerpts = F.regexp_extract_all("text", F.lit(r"(?s)(.{0,40}(?:@|[0-9]{4}|[0-9]\.[0-9]|[A-Za-z0-9+/_-]{20,200}).{0,60})"), 1)
+    parts = some.select(F.explode(excerpts).alias("part")).distinct().orderBy(F.xxhash64("part"), "part").limit(most).collect()
     r = random.Random(1)
-    parts = {row["h"]: row["parts"] for row in rows}  # copies of a text count once
-    examples = [x for h in sorted(parts) for part in parts[h] for x in examples_of(part, r)]
-    return Field().learn(examples[: 2 * most])
+    return Field().learn([x for row in parts for x in examples_of(row["part"], r)])
 
 
 def find(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans), each by kind and start."""
     base = sorted(base_spans(text))
+    # the places that base spans take, as intervals that don't overlap, in order
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted((s, e) for _, s, e in base):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_left(starts, b) - 1
+        return i < 0 or ends[i] <= a
+
     more = []
     for segments in regions(text):
-        free = [(a, b) for a, b in segments if not any(a < e and s < b for _, s, e in base)] if base else segments
-        if free:
-            more += field.best(text, free)
-    return base, sorted({*base, *more})
+        left = [x for x in segments if free(*x)] if base else segments
+        if left:
+            more += field.best(text, left)
+    # a token and a run of digits in it are regions of their own: the earlier and longer one stays
+    out, last = [], 0
+    for kind, start, end in sorted(more, key=lambda x: (x[1], -x[2])):
+        if start >= last:
+            out.append((kind, start, end))
+            last = end
+    return base, sorted({*base, *out})
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
 def scans(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all) for every row of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_secret, n_spans (all) for every row of docs."""
     field = field or fit(docs)
+    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_secret", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, found = [[] for _ in KINDS], [], []
+            rows = []
             for t in batch.column("text"):
                 base, every = find(t.as_py(), field)
-                for k, c in enumerate(counts):
-                    c.append(sum(x[0] == k for x in base))
-                digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
-                found.append(joined(every))
-            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(found, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                kinds = [x[0] for x in base]
+                rows.append((*(kinds.count(k) for k in range(len(KINDS))), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), sum(x[0] == len(KINDS) for x in every), len(every)))
+            columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64() if n.startswith("n_") else pa.string()) for n, c in zip(names, columns, strict=True))], names=["doc_id", *names])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {'long' if n.startswith('n_') else 'string'}" for n in names))
