@@ -113,11 +113,10 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = N
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
             (F.xxhash64(text_of()) if cluster is None else cluster).alias("cluster"),
-            F.regexp_count(text_of(), F.lit(NOT_SPACE)).cast("long").alias("size"),
+            F.regexp_count(text_of(), F.lit(NOT_SPACE)).cast("long").alias("size"), F.monotonically_increasing_id().alias("number"),
         )
     )
     n = max(1, -(-rows.count() // SHARD))
-    # only rows without a doc_id can be many under one hash; rows is written, so their salt stays the same in a retry
-    salt = F.when(F.col("doc_id").isNull(), F.rand(9)).otherwise(F.lit(0.0))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", salt), F.lit(n)).cast("long"))
+    # rows is written, so that a row's number stays the same in a retry; it keeps repeated rows apart
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "number"), F.lit(n)).cast("long"))
     return dealt.groupBy("shard").applyInArrow(_packer(capacity, separate_sources), PACKED)

@@ -4,12 +4,12 @@ Fingerprints of whole texts are built in Arrow batches.  Distinct fingerprints
 are then searched for pairs that differ in at most ``RADIUS`` bits, through two
 levels of vantage-point trees:
 
-* Trees of shards, in Spark.  The bits are cut into five blocks; three changed
-  bits leave two blocks as they are, so each of the ten pairs of blocks has a
-  tree of its own (for a larger radius r there are r + 1 blocks and as many trees), over the Hamming distance on those two blocks alone.  In one
-  of the ten trees a linked pair has distance zero, so by the triangle bound it
-  has the same distance from every vantage point: all rings but one are pruned,
-  and a fingerprint goes to one shard a tree.
+* Trees of shards, in Spark.  What prunes here is a rule on blocks of bits: the bits
+  are cut into five blocks; three changed bits leave two blocks as they are, so each of
+  the ten pairs of blocks has a tree of its own, over the Hamming distance on those two
+  blocks alone.  In one of the ten trees a linked pair has distance zero, so by the
+  triangle bound it has the same distance from every vantage point: all rings but one are
+  pruned, and a fingerprint goes to one shard a tree; no shard overlaps another.
 * Inside a shard a tree over the full distance: the median distance from a
   vantage point parts the fingerprints, and pairs across the boundary are sought
   only among those within ``RADIUS`` of it.
@@ -46,6 +46,8 @@ SHINGLE = 3
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 #: Bands of that stage, and the least hashes a band: of pairs with likeness 0.8 all but (1 - 0.8 ** 5) ** 20 = 0.04 % share a band.
 BANDS, BAND_HASHES = 20, 5
+#: One-bit MinHashes of a sketch, and how many may differ in a pair that is verified: 3.9 standard deviations above 10 %, the mean at likeness 0.8.
+SKETCH, DIFFER = 512, 78
 #: Fingerprints that a shard should have, and those above which it is cut into chunks.
 SHARD, CHUNK = 512, 32_768
 #: Fingerprints that are compared pair by pair at the bottom of a tree in a shard.
@@ -72,6 +74,16 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
 
 
 _ODD = np.random.default_rng(128).integers(1, 1 << 63, BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH_ODD = np.random.default_rng(512).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def least_hashes(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """The least of the hashes, which are random themselves, under each multiplier."""
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, 200_000 // len(odd))
+    for at in range(0, len(hashes), step):
+        np.minimum(least, (hashes[at : at + step, None] * odd).min(axis=0), out=least)
+    return least
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -81,10 +93,7 @@ def shingle_set(text: bytes) -> np.ndarray:
 
 def bands(hashes: np.ndarray) -> np.ndarray:
     """A key for each of BANDS bands, of BAND_HASHES least hashes under multipliers of their own."""
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        np.minimum(least, (hashes[at : at + 2048, None] * _ODD).min(axis=0), out=least)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, -1))], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least_hashes(hashes, _ODD).reshape(BANDS, -1))], np.uint64)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,27 +316,24 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpoint(both.where(common / (F.col("m") + F.col("n") - common) >= NEAR_SIMILARITY).select("a", "b"))
 
 
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of the bands that the links found leave in several components, with the root of theirs."""
-    roots = connected_components(found).withColumnRenamed("node", "id")
-    rooted = checkpoint(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    return checkpoint(rooted.join(several, "band", "left_semi"))
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH bits in eight numbers: bit 17 of the least hash under each multiplier."""
+    return np.packbits((least_hashes(hashes, _SKETCH_ODD) >> np.uint64(17)) & np.uint64(1) == 1).view(np.int64)
 
 
-def _with_pivot(members: DataFrame, by: str) -> DataFrame:
-    """members with p: of each band's nodes the one that has the largest ``by``."""
-    pivots = members.groupBy("band").agg(F.max(F.struct(by, *[c for c in ("id", "size", "root") if c in members.columns])).alias("p"))
-    return members.join(checkpoint(pivots), "band")
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = [sketch(np.asarray(s.values.to_numpy(zero_copy_only=False)).view(np.uint64)) for s in batch.column("shingles")]
+        parts = np.stack(marks) if marks else np.zeros((0, SKETCH // 64), np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(parts[:, i]) for i in range(SKETCH // 64))], names=["id", *(f"s{i}" for i in range(SKETCH // 64))])
 
 
-def _near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links that connect the nodes (id, key, fp, size, bands) as all candidates of NEAR_SIMILARITY do; texts has key, text.
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, first) of the nodes (id, fp, size, bands).
 
-    Candidates are the links of the trees and all pairs that share a band.  Every link is verified on the whole
-    sets of shingles, which only nodes with a candidate get.  A band's nodes are first compared with one of them,
-    that with the most neighbours in all bands (of near copies of one text this tends to be the text itself); then,
-    where nodes are left in several components, with another; what is still apart then is compared pair by pair.
+    members: band, id, size, weight of every band that several nodes share.  first: the pairs to look at first, which
+    are the links of the trees, and in each band its nodes with the one that has the most neighbours in all bands (of
+    near copies of one text this tends to be the text itself).
     """
     posted = nodes.select("id", "size", F.explode("bands").alias("band"))
     shared = posted.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("id").alias("least")).where("n > 1")
@@ -335,27 +341,52 @@ def _near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     groups = checkpoint(shared.groupBy("n", "x", "y", "least").agg(F.min("band").alias("band")).select("band", "n"))
     members = checkpoint(posted.join(groups, "band"))
     weights = checkpoint(members.groupBy("id").agg(F.sum("n").alias("weight")))
-    members = checkpoint(members.drop("n").join(weights, "id").withColumn("turn", F.xxhash64("id")))
-
+    members = checkpoint(members.drop("n").join(weights, "id"))
+    centres = checkpoint(members.groupBy("band").agg(F.max(F.struct("weight", "id", "size")).alias("c")))
+    star = members.join(centres, "band").select(F.col("c.id").alias("a"), F.col("c.size").alias("m"), F.col("id").alias("b"), F.col("size").alias("n"))
     # one node stands for all of a fingerprint; the others are linked to it
     stands = checkpoint(nodes.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("s"), F.count("*").alias("many")).select("fp", "s.id", "s.size", "many"))
     end = lambda fp, i, n: stands.select(F.col("fp").alias(fp), F.col("id").alias(i), F.col("size").alias(n))
     close = links(stands.select("fp"), stands.count()).withColumnsRenamed({"a": "x", "b": "y"}).join(end("x", "a", "m"), "x").join(end("y", "b", "n"), "y").select("a", "m", "b", "n")
-    same = checkpoint(stands.where("many > 1").select("fp", F.col("id").alias("a"), F.col("size").alias("m")))
+    same = stands.where("many > 1").select("fp", F.col("id").alias("a"), F.col("size").alias("m"))
     same = nodes.select("fp", F.col("id").alias("b"), F.col("size").alias("n")).join(same, "fp").select("a", "m", "b", "n")
+    return members, checkpoint(_comparable(star.unionByName(close).unionByName(same)))
 
-    star = lambda rows: rows.select(F.col("p.id").alias("a"), F.col("p.size").alias("m"), F.col("id").alias("b"), F.col("size").alias("n"))
-    first = checkpoint(_comparable(star(_with_pivot(members, "weight")).unionByName(close).unionByName(same)))
-    named = checkpoint(members.select("id").unionByName(first.select(F.col("a").alias("id"))).unionByName(first.select(F.col("b").alias("id"))).distinct().join(nodes.select("id", "key"), "id"))
+
+def _near_roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, root of every node (id, key, fp, size, bands): nodes that chains of near copies connect have one root; texts has key, text.
+
+    Candidates are the links of the trees and all pairs that share a band.  Every link is verified on the whole
+    sets of shingles, which only nodes with a candidate get.  What the first pairs (see _candidates) leave in several
+    components of one band is compared by sketches in the join, and verified where these are alike; a pair of likeness
+    0.8 fails there with a probability of 0.005 %.
+    """
+    members, first = _candidates(nodes)
+    named = members.select("id").unionByName(first.select(F.col("a").alias("id"))).unionByName(first.select(F.col("b").alias("id"))).distinct()
+    named = checkpoint(named.join(nodes.select("id", "key"), "id"))
     whole = texts.join(named, "key").groupBy("id").agg(F.first("text").alias("text"))
     sets = checkpoint(whole.mapInArrow(_shingle_sets, "id long, shingles array<long>"))
-    found = _alike(first, sets)
-    second = _comparable(star(_with_pivot(_open(members, found), "turn").where("p.root <> root")))
-    found = checkpoint(found.unionByName(_alike(second, sets)))
-    apart = _open(members, found)
-    end = lambda i, n, r: apart.select("band", F.col("id").alias(i), F.col("size").alias(n), F.col("root").alias(r))
-    rest = _comparable(end("a", "m", "x").join(end("b", "n", "y"), "band").where("a < b AND x <> y"))
-    return found.unionByName(_alike(rest, sets))
+    roots = connected_components(_alike(first, sets)).withColumnRenamed("node", "id")
+    roots = checkpoint(nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+
+    rooted = checkpoint(members.select("band", "id", "size").join(roots, "id"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    apart = checkpoint(rooted.join(several, "band", "left_semi"))
+    parts = [f"s{i}" for i in range(SKETCH // 64)]
+    marks = sets.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_sketches, "id long, " + ", ".join(f"{p} long" for p in parts))
+    apart = checkpoint(apart.join(marks, "id"))
+    left, right = (apart.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "root", *parts)]) for side in "ab")
+    differ = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in parts[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    fits = (F.least("size_a", "size_b") >= NEAR_SIMILARITY * F.greatest("size_a", "size_b")) & (differ <= DIFFER)
+    rest = left.join(right, (left["band"] == right["band"]) & (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & fits)
+    rest = rest.select(F.col("id_a").alias("a"), F.least("size_a", "size_b").alias("m"), F.col("id_b").alias("b"), F.greatest("size_a", "size_b").alias("n")).distinct()
+    more = _alike(rest, sets)
+    if more.isEmpty():
+        return roots
+    end = lambda i, r: roots.select(F.col("id").alias(i), F.col("root").alias(r))
+    above = connected_components(more.join(end("a", "x"), "a").join(end("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    above = checkpoint(above.select(F.col("node").alias("root"), F.col("root").alias("top")))
+    return checkpoint(roots.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root")))
 
 
 def near_deduplicated(docs: DataFrame) -> DataFrame:
@@ -363,7 +394,7 @@ def near_deduplicated(docs: DataFrame) -> DataFrame:
 
     Texts are near copies if the likeness (Jaccard) of their sets of five-word shingles is
     NEAR_SIMILARITY or more; candidates are found by fingerprints that differ in RADIUS bits at
-    most and by bands, and verified; groups are the components of these links.  Rows with one
+    most and by bands, and verified (see _near_roots); groups are the components of these links.  Rows with one
     SHA-256 of their text are one node, which has a number of its own.  Of rows that share the
     smallest doc_id the one with the smallest SHA-256 stays; if a group has no doc_id at all, that
     holds for all its rows; of rows equal in doc_id and text one stays.
@@ -374,8 +405,9 @@ def near_deduplicated(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
     nodes = rows.groupBy("key").agg(F.min(order).alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = checkpoint(nodes.withColumn("id", F.monotonically_increasing_id()))
-    kept = _least(_near_links(nodes, docs.select(key.alias("key"), text_of().alias("text"))), nodes.select("id", "least"))
-    kept = checkpoint(kept.join(nodes.select("id", "key"), "id").select("key", "least"))
+    rooted = checkpoint(_near_roots(nodes, docs.select(key.alias("key"), text_of().alias("text"))).join(nodes.select("id", "key", "least"), "id"))
+    best = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("least")))
+    kept = checkpoint(rooted.select("root", "key").join(best, "root").select("key", "least"))
     judged = rows.select("doc_id", "key").join(kept, "key")
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))
     gone = judged.where(~stays).select("doc_id", "key", F.lit(False).alias("repeated"))

@@ -10,8 +10,9 @@ K n exp(-lambda s) by chance; the evidence of a document is the sum of the
 significant segments' logarithms of that; a logistic curve of the evidence and of
 the tokens that carry it, fitted on the sample, gives the score.
 
-The model is fitted on a bounded sample of labelled rows (``TRAIN``); the lexicon
-has ``LEXICON`` entries at most and goes to the workers with the function.
+The model is fitted on a bounded sample of labelled rows (``TRAIN``), whole texts of it;
+the lexicon has every token of the sample whose z value and log-odds are high enough, and
+goes to the workers with the function.
 
 Defined results: null and empty texts have no segment, and a score as well;
 without labels of both kinds no text has evidence.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namelens.llm.common import LOWER, WORD, checkpoint, span_hashes, steps, text_buffer, text_of, word_spans
@@ -32,7 +33,6 @@ from namelens.llm.labelled import held_out, labelled_sample
 
 #: Labelled rows that the model is fitted on at most.
 TRAIN = 12_000
-LEXICON = 20_000
 #: Bytes of the prefixes that count beside a word.
 PREFIXES = (3, 4, 5, 7)
 #: Weight of the prior, in documents; lowest z and log-odds of a lexicon entry; cost of any other token.
@@ -137,28 +137,35 @@ def _log_odds(y1, y0, n1: float, n0: float, alone=None) -> tuple[np.ndarray, np.
     return delta, delta / np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
 
 
+def _odds_columns(y1: Column, y0: Column, n1: float, n0: float) -> tuple[Column, Column]:
+    """The same for columns, all toxic documents counting."""
+    prior = F.lit(PRIOR) * (y1 + y0) / F.lit(n1 + n0)
+    odds = lambda y, n: F.log((y + prior) / (F.lit(n + PRIOR) - y - prior))
+    delta = odds(y1, n1) - odds(y0, n0)
+    return delta, delta / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
     model = Model()
-    sample = labelled_sample(docs, labels, "toxic", most).select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
+    sample = checkpoint(labelled_sample(docs, labels, "toxic", most).select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text"))
     sets = checkpoint(sample.mapInArrow(_token_sets, "doc_id long, label int, n long, tokens array<long>"))
     total = sets.agg(F.sum("label"), F.count("*"), F.sum(F.when(F.col("label") == 0, F.col("n")))).first()
     n1, n0 = float(total[0] or 0), float(total[1] - (total[0] or 0))
     if not n1 or not n0:
         return model
-    counts = sets.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("label").alias("y1"), F.count("*").alias("n"))
-    counts = counts.where((F.col("y1") >= 4) & (F.col("y1") / n1 > 2 * (F.col("n") - F.col("y1")) / n0)).orderBy(F.desc("y1"), "token").limit(LEXICON).collect()
+    counts = sets.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("label").alias("y1"), F.count("*").alias("y")).where("y1 >= 4")
+    delta, z = _odds_columns(F.col("y1"), F.col("y") - F.col("y1"), n1, n0)
+    # what stronger tokens explain only lowers these two, so no other token can be chosen
+    held = checkpoint(counts.withColumns({"delta": delta, "z": z}).where((F.col("delta") >= ODDS_LEAST) & (F.col("z") >= Z_LEAST)))
+    pairs = sets.where("label = 1").select("doc_id", F.explode("tokens").alias("token")).join(held, "token").groupBy("token", "y1", "y", "z").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    counts = sorted(pairs.collect(), key=lambda r: (-r["z"], r["token"]))  # of sampled toxic documents only
     if not counts:
         return model
-    token, y1, y = (np.array([r[i] for r in counts], np.int64) for i in range(3))
-    z = _log_odds(y1, y - y1, n1, n0)[1]
-    held = docs.sparkSession.createDataFrame([(int(t), i) for i, t in enumerate(token)], "token long, i int")  # LEXICON rows at most
-    pairs = sets.where("label = 1").select("doc_id", F.explode("tokens").alias("token")).join(F.broadcast(held), "token").select("doc_id", "i").collect()
-    number = {d: n for n, d in enumerate(sorted({p["doc_id"] for p in pairs}))}
-    having: list[list[int]] = [[] for _ in token]
-    for p in pairs:
-        having[p["i"]].append(number[p["doc_id"]])
+    token, y1, y = (np.array([r[c] for r in counts], np.int64) for c in ("token", "y1", "y"))
+    number = {d: n for n, d in enumerate(sorted({d for r in counts for d in r["docs"]}))}
+    having = [[number[d] for d in r["docs"]] for r in counts]
     explained, chosen = np.zeros(len(number)), []
-    for i in np.argsort(-z, kind="stable").tolist():
+    for i in range(len(counts)):
         alone = float((0.5 ** explained[having[i]]).sum())  # documents that stronger tokens explain count less
         odds, own_z = _log_odds(float(y1[i]), float(y[i] - y1[i]), n1, n0, alone)
         if own_z >= Z_LEAST and odds >= ODDS_LEAST:

@@ -622,7 +622,7 @@ def test_near_dedup_finds_all_pairs_of_a_table(spark):
 
 
 def test_large_group_of_near_copies_is_compared_with_its_centre(spark, monkeypatch):
-    """Copies of one text that aren't near to each other: comparisons grow with the group, not with its square."""
+    """Copies of one text that aren't near to each other: verified pairs grow with the group, not with its square."""
     r = random.Random(19)
     compared = []
     plain = simhash._alike
@@ -634,11 +634,24 @@ def test_large_group_of_near_copies_is_compared_with_its_centre(spark, monkeypat
         for at in r.sample(range(5, 225, 10), 4):  # 0.84 to the text, 0.7 to another copy
             c[at] = f"z{r.randrange(10**6)}"
         texts.append(" ".join(c))
-    texts.insert(200, " ".join(w))
+    texts.insert(100, " ".join(w))
     assert [x["doc_id"] for x in simhash.near_deduplicated(docs_of(spark, texts)).collect()] == [0]
     assert sum(compared) < 10 * len(texts)
 
 
+def test_sketch_tells_likeness():
+    r = random.Random(23)
+    for n in (40, 400):
+        for like, least in ((0.8, 0.0), (0.5, 0.99)):
+            missed = 0
+            for _ in range(100):
+                shared, own = round(2 * n * like / (1 + like)), n - round(2 * n * like / (1 + like))
+                h = np.array([r.getrandbits(64) for _ in range(shared + 2 * own)], np.uint64)
+                x, y = simhash.sketch(h[: shared + own]), simhash.sketch(np.r_[h[:shared], h[shared + own :]])
+                missed += int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) > simhash.DIFFER
+            assert missed <= 2 if not least else missed >= 100 * least
+
+
 def test_shards_grow_with_the_fingerprints(spark):
     largest = {}
     for n in (4_000, 64_000):
