@@ -46,8 +46,8 @@ SHINGLE = 3
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 #: Bands of that stage, and the least hashes a band: of pairs with likeness 0.8 all but (1 - 0.8 ** 5) ** 20 = 0.04 % share a band.
 BANDS, BAND_HASHES = 20, 5
-#: One-bit MinHashes of a sketch, and how many may differ in a pair that is verified: 3.9 standard deviations above 10 %, the mean at likeness 0.8.
-SKETCH, DIFFER = 512, 78
+#: One-bit MinHashes of a sketch, and how many may differ in a pair that is verified: 3.9 standard deviations above 102, the mean at likeness 0.8.
+SKETCH, DIFFER = 1024, 140
 #: Fingerprints that a shard should have, and those above which it is cut into chunks.
 SHARD, CHUNK = 512, 32_768
 #: Fingerprints that are compared pair by pair at the bottom of a tree in a shard.
@@ -74,7 +74,7 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
 
 
 _ODD = np.random.default_rng(128).integers(1, 1 << 63, BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCH_ODD = np.random.default_rng(512).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH_ODD = np.random.default_rng(1024).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def least_hashes(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
@@ -317,7 +317,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """SKETCH bits in eight numbers: bit 17 of the least hash under each multiplier."""
+    """SKETCH bits, 64 a number: bit 17 of the least hash under each multiplier."""
     return np.packbits((least_hashes(hashes, _SKETCH_ODD) >> np.uint64(17)) & np.uint64(1) == 1).view(np.int64)
 
 
