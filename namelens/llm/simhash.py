@@ -46,8 +46,8 @@ SHINGLE = 3
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 #: Bands of that stage, and the least hashes a band: of pairs with likeness 0.8 all but (1 - 0.8 ** 5) ** 20 = 0.04 % share a band.
 BANDS, BAND_HASHES = 20, 5
-#: One-bit MinHashes of a sketch, and how many may differ in a pair that is verified: 3.9 standard deviations above 102, the mean at likeness 0.8.
-SKETCH, DIFFER = 1024, 140
+#: One-bit MinHashes of a sketch, and how many may differ in a pair that is verified: 3.9 standard deviations above 205, the mean at likeness 0.8.
+SKETCH, DIFFER = 2048, 258
 #: Fingerprints that a shard should have, and those above which it is cut into chunks.
 SHARD, CHUNK = 512, 32_768
 #: Fingerprints that are compared pair by pair at the bottom of a tree in a shard.
@@ -74,7 +74,7 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
 
 
 _ODD = np.random.default_rng(128).integers(1, 1 << 63, BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCH_ODD = np.random.default_rng(1024).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH_ODD = np.random.default_rng(2048).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def least_hashes(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
@@ -374,12 +374,15 @@ def _near_roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     apart = checkpoint(rooted.join(several, "band", "left_semi"))
     parts = [f"s{i}" for i in range(SKETCH // 64)]
     marks = sets.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_sketches, "id long, " + ", ".join(f"{p} long" for p in parts))
-    apart = checkpoint(apart.join(marks, "id"))
-    left, right = (apart.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "root", *parts)]) for side in "ab")
+    held = apart.groupBy("id").agg(F.collect_list("band").alias("bands"))  # BANDS at most
+    apart = checkpoint(apart.join(checkpoint(marks.join(held, "id")), "id"))
+    left, right = (apart.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "root", "bands", *parts)]) for side in "ab")
     differ = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in parts[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
     fits = (F.least("size_a", "size_b") >= NEAR_SIMILARITY * F.greatest("size_a", "size_b")) & (differ <= DIFFER)
-    rest = left.join(right, (left["band"] == right["band"]) & (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & fits)
-    rest = rest.select(F.col("id_a").alias("a"), F.least("size_a", "size_b").alias("m"), F.col("id_b").alias("b"), F.greatest("size_a", "size_b").alias("n")).distinct()
+    # a pair counts in one of the bands that it shares
+    once = left["band"] == F.array_min(F.array_intersect("bands_a", "bands_b"))
+    rest = left.join(right, (left["band"] == right["band"]) & (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & fits & once)
+    rest = rest.select(F.col("id_a").alias("a"), F.least("size_a", "size_b").alias("m"), F.col("id_b").alias("b"), F.greatest("size_a", "size_b").alias("n"))
     more = _alike(rest, sets)
     if more.isEmpty():
         return roots
