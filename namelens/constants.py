@@ -43,6 +43,17 @@ CREDENTIAL_MARKERS = (
     "internet banking", "otp", "one time password", "cvv", "card number", "aadhaar", "aadhar", "upi pin", "debit card", "credit card",
     "account number",
 )
+
+# --- fixed values: patterns of forms and titles, the entities of a title, and the points of a page (parked: the most that a parked one has) ---
+PASSWORD = r"""(?i)<input[^>]+type\s*=\s*["']?password["']?"""
+PASSWORDISH = r"""(?i)<input[^>]+(?:name|id)\s*=\s*["']?[^"'>]*(?:pass|pwd|pin|mpin|otp|cvv)[^"'>]*["']?"""
+FORM_ACTION = r"""(?i)<form[^>]+action\s*=\s*["']([^"']+)["']"""
+TITLE = r"(?is)<title[^>]*>(.{0,300}?)</title>"
+#: In this order, so that an escaped entity is decoded twice.
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
+PAGE_POINTS = {"password": 40, "brand": 25, "both": 20, "offsite": 10, "words": 5, "parked": 10}
+
+# --- fixed values: parts of the names of issuers without charge ---
 FREE_ISSUERS = ("let's encrypt", "zerossl", "google trust services", "buypass", "actalis", "ssl.com", "cloudflare inc ecc ca")
 
 # --- fixed values: bounds of matching ---
@@ -71,9 +82,11 @@ MIN_CATEGORIES = 2
 # --- fixed values: hours between rechecks, and rechecks without an address before a candidate retires ---
 RECHECK_HOURS = {"new": 1, "active": 6, "quiet": 48, "dormant": 24}
 RETIRE_AFTER = 14
+#: Characters of the reason that clearing a candidate needs.
+REASON_LENGTH = 3
 PAGE_SIZE, MAX_PAGE_SIZE, MAX_OFFSET = 50, 200, 10_000
 
-# --- fixed values: characters that look like an ASCII one, by that one ---
+# --- fixed values: characters that look like an ASCII one, by that one; those that NFKC turns into ASCII can't occur any more and are left out ---
 LOOKALIKES = {
     "a": "аАәӓαΑᾳ", "b": "вВЬьЪΒβƅɓ", "c": "сСϲᴄϹ", "d": "ԁԀđðⅾ", "e": "еЕёЁєЄэԑѐΕεέ", "f": "ғƒ", "g": "ԍɡցǥ", "h": "һҺнНΗհħ",
     "i": "іІїЇӏӀıΙιίⅰ", "j": "јЈ", "k": "кКⱪΚκƙ", "l": "ⅼłǀ", "m": "мМΜⅿ", "n": "пИиηΝոպ", "o": "оОөӨӧᴏΟοόσΘθօøơ", "p": "рРΡρքƥ",

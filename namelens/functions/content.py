@@ -12,20 +12,12 @@ from pyspark.sql import functions as F
 from namelens import constants as C
 from namelens.functions.domains import let, lits
 
-_PASSWORD = r"""(?i)<input[^>]+type\s*=\s*["']?password["']?"""
-_PASSWORDISH = r"""(?i)<input[^>]+(?:name|id)\s*=\s*["']?[^"'>]*(?:pass|pwd|pin|mpin|otp|cvv)[^"'>]*["']?"""
-_ACTION = r"""(?i)<form[^>]+action\s*=\s*["']([^"']+)["']"""
-_TITLE = r"(?is)<title[^>]*>(.{0,300}?)</title>"
-#: In this order, so that an escaped entity is decoded twice.
-_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
-
-
 def _page(html: Column) -> Column:
     return F.coalesce(html, F.lit(""))
 
 
 def has_password_field(html: Column) -> Column:
-    return _page(html).rlike(_PASSWORD) | _page(html).rlike(_PASSWORDISH)
+    return _page(html).rlike(C.PASSWORD) | _page(html).rlike(C.PASSWORDISH)
 
 
 def brand_terms_on_page(html: Column, terms: Column) -> Column:
@@ -35,15 +27,15 @@ def brand_terms_on_page(html: Column, terms: Column) -> Column:
 
 def title(html: Column) -> Column:
     """The first title: entities decoded, white space squeezed, 200 characters; null without one."""
-    found = F.regexp_extract(_page(html), _TITLE, 1)
-    for entity, char in _ENTITIES:
+    found = F.regexp_extract(_page(html), C.TITLE, 1)
+    for entity, char in C.ENTITIES:
         found = F.replace(found, F.lit(entity), F.lit(char))
-    return F.when(_page(html).rlike(_TITLE), F.substring(F.trim(F.regexp_replace(found, r"\s+", " ")), 1, 200))
+    return F.when(_page(html).rlike(C.TITLE), F.substring(F.trim(F.regexp_replace(found, r"\s+", " ")), 1, 200))
 
 
 def offsite_hosts(html: Column, domain: Column) -> Column:
     """Hosts of absolute form targets that are neither the domain nor below it."""
-    actions = F.filter(F.regexp_extract_all(_page(html), F.lit(_ACTION), 1), lambda a: a.rlike("(?i)^https?://"))
+    actions = F.filter(F.regexp_extract_all(_page(html), F.lit(C.FORM_ACTION), 1), lambda a: a.rlike("(?i)^https?://"))
     hosts = F.transform(actions, lambda a: F.lower(F.try_parse_url(a, F.lit("HOST"))))
     return F.filter(hosts, lambda h: h.isNotNull() & (h != domain) & ~F.endswith(h, F.concat(F.lit("."), domain)))
 
@@ -65,8 +57,9 @@ def credential_words(html: Column) -> Column:
 def content_score(password: Column, brands: Column, offsite: Column, words: Column, parked: Column) -> Column:
     """The page's own score, 0 to 100; a parked page has 10 at most."""
     yes = lambda c, n: F.when(c, n).otherwise(0)
-    total = yes(password, 40) + yes(brands, 25) + yes(password & brands, 20) + yes(offsite, 10) + yes(words >= 3, 5)
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.when(parked, F.least(total, F.lit(10))).otherwise(total)))
+    p = C.PAGE_POINTS
+    total = yes(password, p["password"]) + yes(brands, p["brand"]) + yes(password & brands, p["both"]) + yes(offsite, p["offsite"]) + yes(words >= 3, p["words"])
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.when(parked, F.least(total, F.lit(p["parked"]))).otherwise(total)))
 
 
 def analyse(html: Column, domain: Column, terms: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,3 +58,12 @@ def neighbourhood(x: Column, most: int = 2) -> Column:
     if most > 1:
         every = F.concat(every, F.flatten(F.transform(one, deletions)))
     return F.array_distinct(every)
+
+
+def close_pairs(left: DataFrame, right: DataFrame, text: str, most: int = C.MAX_DISTANCE) -> DataFrame:
+    """Pairs of rows whose texts are within ``most`` (1 or 2) edits, swaps not counted as one: the columns of left with the
+    suffix _a, those of right with _b, and distance.  They meet under a deletion of both and are then measured."""
+    keyed = lambda df, end: df.select(*[F.col(c).alias(c + end) for c in df.columns]).withColumn("key", F.explode(neighbourhood(F.col(text + end), most)))
+    a, b = f"{text}_a", f"{text}_b"
+    met = keyed(left, "_a").join(keyed(right, "_b"), "key").where(F.abs(F.length(a) - F.length(b)) <= most).drop("key").distinct()
+    return met.withColumn("distance", levenshtein(F.col(a), F.col(b), most)).where(F.col("distance") <= most)

@@ -1,4 +1,9 @@
-"""Latest rows, queues, rotation and round robin: orderings with explicit ties."""
+"""Latest rows, queues, rotation and round robin: orderings with explicit ties.
+
+Defined results: null keys and groups are keys like any other; rows without a time are the
+last; of rows equal in all that orders them Spark takes any; empty tables give no rows.
+Columns of the input keep their values, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -13,10 +18,18 @@ def latest_per_key(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     return history(df, key, at, tie, 1)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def history(df: DataFrame, key: str, at: str, tie: str, n: int = 20) -> DataFrame:
     """The n latest rows of each key.  Spark keeps n rows a key and task before the shuffle."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(at), F.desc(tie)))
-    return df.withColumn("_n", place).where(F.col("_n") <= n).drop("_n")
+    place = free(df, "place")
+    rows = df.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(at), F.desc(tie))))
+    return rows.where(F.col(place) <= n).drop(place)
 
 
 def earliest_in_batch(df: DataFrame, keys: list[str], at: str, ordinal: str) -> DataFrame:
@@ -35,6 +48,19 @@ def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = C.PAG
     return df.orderBy(*order).offset(clamp(offset, 0, C.MAX_OFFSET)).limit(clamp(limit, 1, C.MAX_PAGE_SIZE))
 
 
+def page_with_total(df: DataFrame, order: list[Column], offset: int = 0, limit: int = C.PAGE_SIZE) -> DataFrame:
+    """A page of the table, each row with ``total``, the exact number of rows of the whole table.
+
+    The total is a scalar subquery, so that the page stays a top-k.
+    """
+    return page(df, order, offset, limit).select("*", df.agg(F.count("*")).scalar().alias(free(df, "total")))
+
+
+def brand_listing(brands: DataFrame) -> DataFrame:
+    """Active brands by category and name."""
+    return brands.where("active").orderBy("category", "name")
+
+
 def clamp(value: float, low: int, high: int) -> int:
     """The value rounded down and held between low and high; low for anything that isn't a number."""
     if value != value or value in (float("inf"), float("-inf")):
@@ -63,12 +89,16 @@ def least_recent(df: DataFrame, at: str, ordinal: str, n: int) -> DataFrame:
 
 
 def round_robin(df: DataFrame, group: str, ordinal: str, n: int | None = None) -> DataFrame:
-    """One row of each group in turn, groups in order of their first row.
+    """One row of each group in turn, groups in order of their first row; rows without a group are a group.
 
-    Adds depth (the row's turn in its group) and group_ord; the place of a group is
-    an aggregate that is joined, so a large group is sorted but never held whole.
+    Adds depth (the row's turn in its group) and group_ord, in place of columns of these names.
+    With n no row deeper than n can be among the first n, so Spark keeps n rows a group and task
+    before the shuffle; the place of a group is an aggregate that is joined.
     """
-    depth = F.row_number().over(Window.partitionBy(group).orderBy(ordinal))
-    groups = df.groupBy(group).agg(F.min(ordinal).alias("group_ord"))
-    rows = df.withColumn("depth", depth).join(groups, group).orderBy("depth", "group_ord")
+    rows = df.withColumn("depth", F.row_number().over(Window.partitionBy(group).orderBy(ordinal)))
+    if n is not None:
+        rows = rows.where(F.col("depth") <= n)
+    of = free(df, "of")
+    groups = df.groupBy(F.col(group).alias(of)).agg(F.min(ordinal).alias("group_ord"))
+    rows = rows.drop("group_ord").join(groups, F.col(group).eqNullSafe(F.col(of))).drop(of).orderBy("depth", "group_ord")
     return rows if n is None else rows.limit(n)

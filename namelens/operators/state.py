@@ -2,6 +2,10 @@
 
 Every function takes the old snapshot and a delta and returns rows; nothing is
 written in place.  Times come in as ``as_of``.
+
+Defined results: a null key is no key (it is inserted, and never met by another); keys of a
+delta are expected once each where it says so; empty tables leave the other side as it is.
+Columns of the input keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 
 from namelens import constants as C
 from namelens.operators import scoring
+from namelens.operators.ranking import free
 
 
 def insert_if_absent(state: DataFrame, delta: DataFrame, key: str) -> DataFrame:
@@ -27,10 +32,10 @@ def upsert(state: DataFrame, delta: DataFrame, key: str) -> DataFrame:
 
 
 def accumulate(state: DataFrame, delta: DataFrame, key: str, counters: list[str]) -> DataFrame:
-    """The state with the counters of delta added; keys that only delta has start from zero."""
-    added = delta.groupBy(key).agg(*[F.sum(c).alias(f"_{c}") for c in counters])
-    rows = state.join(added, key, "full")
-    return rows.select(key, *[(F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in counters])
+    """The state with the counters of delta added; its other columns stay, and are null for keys that only delta has."""
+    names = {c: free(state, f"{c}_added") for c in counters}
+    rows = state.join(delta.groupBy(key).agg(*[F.sum(c).alias(n) for c, n in names.items()]), key, "full")
+    return rows.select(*[(F.coalesce(c, F.lit(0)) + F.coalesce(names[c], F.lit(0))).alias(c) if c in names else F.col(c) for c in state.columns])
 
 
 def refresh_seen(candidates: DataFrame, sightings: DataFrame, as_of: Column, keep_known_issuer: bool = False) -> DataFrame:
@@ -38,12 +43,13 @@ def refresh_seen(candidates: DataFrame, sightings: DataFrame, as_of: Column, kee
 
     The issuer is overwritten even by null, unless ``keep_known_issuer`` is set.
     """
-    seen = sightings.select("domain", F.col("issuer").alias("_issuer"), F.col("logged_at").alias("_at"), F.lit(True).alias("_seen"))
-    issuer = F.coalesce("_issuer", "cert_issuer") if keep_known_issuer else F.col("_issuer")
-    now = lambda c, value: F.when(F.col("_seen"), value).otherwise(F.col(c))
+    new = free(candidates, "seen_now")
+    seen = sightings.select("domain", F.struct("issuer", "logged_at").alias(new))
+    issuer = F.coalesce(F.col(new)["issuer"], "cert_issuer") if keep_known_issuer else F.col(new)["issuer"]
+    now = lambda c, value: F.when(F.col(new).isNotNull(), value).otherwise(F.col(c))
     return candidates.join(seen, "domain", "left").withColumns({
         "last_seen_at": now("last_seen_at", as_of), "times_seen": now("times_seen", F.col("times_seen") + 1),
-        "cert_issuer": now("cert_issuer", issuer), "cert_issued_at": now("cert_issued_at", F.col("_at")),
+        "cert_issuer": now("cert_issuer", issuer), "cert_issued_at": now("cert_issued_at", F.col(new)["logged_at"]),
     }).select(*candidates.columns)
 
 
@@ -75,42 +81,68 @@ def after_recheck(rows: DataFrame, as_of: Column, sticky_review: bool = False) -
     })
 
 
+def checked_decisions(decisions: DataFrame) -> DataFrame:
+    """Decisions with ``accepted``: a known action, and to clear a candidate a reason of three characters or more."""
+    good = F.col("action").isin("publish", "hide") | ((F.col("action") == "clear") & (F.length(F.trim("note")) >= C.REASON_LENGTH))
+    return decisions.withColumn("accepted", F.coalesce(good, F.lit(False)))
+
+
 def review(candidates: DataFrame, decisions: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(candidates after the decisions, allowlist rows of those that were cleared).
 
     decisions: id, action (publish, clear or hide), note, reviewer; a row an id at most.
+    Those that ``checked_decisions`` refuses change nothing.
     """
-    made = decisions.select("id", F.col("action").alias("_action"), F.col("note").alias("_note"), F.col("reviewer").alias("_reviewer"))
-    rows = candidates.join(made, "id", "left")
-    to = F.when(F.col("_action") == "publish", "published").when(F.col("_action") == "clear", "cleared").when(F.col("_action") == "hide", "hidden")
+    made = free(candidates, "decision")
+    rows = candidates.join(checked_decisions(decisions).where("accepted").select("id", F.struct("action", "note", "reviewer").alias(made)), "id", "left")
+    action, note = F.col(made)["action"], F.col(made)["note"]
+    to = F.when(action == "publish", "published").when(action == "clear", "cleared").when(action == "hide", "hidden")
     after = rows.withColumns({
         "publish_state": F.coalesce(to, "publish_state"), "status": F.when(to == "cleared", "retired").otherwise(F.col("status")),
-        "reviewed_at": F.when(to.isNotNull(), as_of).otherwise(F.col("reviewed_at")), "reviewed_note": F.when(to.isNotNull(), F.col("_note")).otherwise(F.col("reviewed_note")),
+        "reviewed_at": F.when(to.isNotNull(), as_of).otherwise(F.col("reviewed_at")), "reviewed_note": F.when(to.isNotNull(), note).otherwise(F.col("reviewed_note")),
     })
-    allowed = after.where("_action = 'clear'").select("domain", F.col("matched_brand_id").alias("brand_id"), F.col("_note").alias("reason"), F.col("_reviewer").alias("added_by"), as_of.alias("added_at"))
+    allowed = after.where(action == "clear").select("domain", F.col("matched_brand_id").alias("brand_id"), note.alias("reason"), F.col(made)["reviewer"].alias("added_by"), as_of.alias("added_at"))
     return after.select(*candidates.columns), allowed
 
 
 def resolve_reports(reports: DataFrame, cleared: DataFrame, as_of: Column, resolution: str = "cleared") -> DataFrame:
     """Reports with the open ones of cleared candidates (id) resolved."""
-    rows = reports.join(cleared.select(F.col("id").alias("candidate_id"), F.lit(True).alias("_done")), "candidate_id", "left")
-    done = F.col("_done") & (F.col("status") == "open")
+    done = free(reports, "done")
+    rows = reports.join(cleared.select(F.col("id").alias("candidate_id"), F.lit(True).alias(done)).distinct(), "candidate_id", "left")
+    now = F.col(done) & (F.col("status") == "open")
     return rows.withColumns({
-        "status": F.when(done, "resolved").otherwise(F.col("status")), "resolved_at": F.when(done, as_of).otherwise(F.col("resolved_at")),
-        "resolution": F.when(done, F.lit(resolution)).otherwise(F.col("resolution")),
+        "status": F.when(now, "resolved").otherwise(F.col("status")), "resolved_at": F.when(now, as_of).otherwise(F.col("resolved_at")),
+        "resolution": F.when(now, F.lit(resolution)).otherwise(F.col("resolution")),
     }).select(*reports.columns)
 
 
+def resolved_count(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: how many open reports of ``before`` ``after`` has resolved (both by id)."""
+    was, now = before.where("status = 'open'").select("id"), after.where("status = 'resolved'").select("id")
+    return was.join(now, "id", "left_semi").agg(F.count("*").alias("resolved"))
+
+
 def prune(candidates: DataFrame, matches: DataFrame, as_of: Column, note: str = "no longer matches the watchlist") -> DataFrame:
     """Candidates with those hidden that are shown or pending and that no term matches any more."""
-    rows = candidates.join(matches.select("domain", F.lit(True).alias("_match")).distinct(), "domain", "left")
-    stale = F.col("publish_state").isin("published", "pending_review") & F.col("_match").isNull()
+    match = free(candidates, "match")
+    rows = candidates.join(matches.select("domain", F.lit(True).alias(match)).distinct(), "domain", "left")
+    stale = F.col("publish_state").isin("published", "pending_review") & F.col(match).isNull()
     return rows.withColumns({
         "publish_state": F.when(stale, "hidden").otherwise(F.col("publish_state")), "reviewed_at": F.when(stale, as_of).otherwise(F.col("reviewed_at")),
         "reviewed_note": F.when(stale, F.lit(note)).otherwise(F.col("reviewed_note")),
     }).select(*candidates.columns)
 
 
+def with_prefix(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """The rows whose column starts with the prefix, to the letter."""
+    return rows.where(F.startswith(column, F.lit(prefix)))
+
+
+def without_prefix(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """The rows that stay when those that start with the prefix are deleted; nulls stay."""
+    return rows.where(~F.coalesce(F.startswith(column, F.lit(prefix)), F.lit(False)))
+
+
 def checked_reports(reports: DataFrame) -> DataFrame:
     """Reports (kind, note, contact) with ``accepted``: a known kind, 10 to 4000 characters of note, 200 of contact at most."""
     note, contact = F.length(F.trim("note")), F.length(F.trim("contact"))

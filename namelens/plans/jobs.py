@@ -31,11 +31,26 @@ def scan_outcome(results: DataFrame) -> DataFrame:
     failed = F.count_if(F.col("error").isNotNull())
     return results.agg(
         F.count("*").alias("logs"), failed.alias("failures"), F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"), F.coalesce(F.sum("names"), F.lit(0)).alias("names"),
-        F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"), F.round(F.try_divide(F.sum("names") * F.lit(100.0), F.sum("entries")), 4).alias("hit_rate"),
+        F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"), hit_rate(F.sum("names"), F.sum("entries")).alias("hit_rate"),
         ((F.count("*") == 0) | (failed < F.count("*"))).alias("ok"),
     )
 
 
+def hit_rate(found: Column, read: Column) -> Column:
+    """Found of a hundred read, to four decimals; null if nothing was read."""
+    return F.round(F.try_divide(found.cast("double"), read) * 100, 4)
+
+
+def source_health(answers: DataFrame, source: str, term: str, rows: str) -> DataFrame:
+    """By source: terms queried, those with rows, the ones without any (in order), whether the source is degraded, and the rate.
+
+    answers has a row a query; a source is degraded if it was queried and no term had rows.
+    """
+    hits = F.count_if(F.col(rows) > 0)
+    empty = F.array_sort(F.collect_set(F.when(F.col(rows) > 0, None).otherwise(F.col(term))))
+    return answers.groupBy(source).agg(F.count("*").alias("queried"), hits.alias("with_rows"), (hits == 0).alias("degraded"), hit_rate(hits, F.count("*")).alias("hit_rate"), empty.alias("empty_terms"))
+
+
 def with_cursors(logs: DataFrame, cursors: DataFrame) -> DataFrame:
     """Logs (url, ...) with last_index (0 for new ones), those that were scanned longest ago first."""
     rows = logs.join(cursors.select("url", "last_index", "last_scanned_at"), "url", "left").withColumn("last_index", F.coalesce("last_index", F.lit(0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from namelens import constants as C
 from namelens.functions import domains
 from namelens.operators import matching, ranking, scoring, state
 
@@ -43,16 +44,27 @@ def counters(sightings: DataFrame, matches: DataFrame, candidates: DataFrame, al
     return seen.join(skipped, how="inner").join(found, how="inner")
 
 
+def with_brands(due: DataFrame, brands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates whose brand is known, an error row (id, domain, error) for each other one)."""
+    known = brands.select(F.col("id").alias("matched_brand_id"))
+    lost = due.join(known, "matched_brand_id", "left_anti").select("id", "domain", F.lit("brand not found").alias("error"))
+    return due.join(known, "matched_brand_id", "left_semi").select(*due.columns), lost
+
+
 def recheck(due: DataFrame, verifications: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(candidates after the check, rows for risk_scores).  verifications: a row a candidate of this run."""
-    checked = verifications.select(F.col("candidate_id").alias("id"), *[c for c in verifications.columns if c in scoring.INPUT])
+    checked = verifications.select(F.col("candidate_id").alias("id"), *([F.col("id").alias("verification_id")] if "id" in verifications.columns else [F.lit(None).cast("string").alias("verification_id")]), *[c for c in verifications.columns if c in scoring.INPUT])
     rows = due.withColumn("mixed_script", F.col("homoglyph_detail.mixed_script")).join(checked, "id")
     rows = scoring.scored(rows, notes=True)
-    scores = rows.select(F.sha2(F.concat_ws("|", "id", as_of.cast("string")), 256).alias("id"), F.col("id").alias("candidate_id"), "score", "tier", F.col("signals").alias("contributing_signals"), as_of.alias("computed_at"))
+    scores = rows.select(
+        F.sha2(F.concat_ws("|", "id", as_of.cast("string")), 256).alias("id"), F.col("id").alias("candidate_id"), "verification_id", "score", "tier", F.col("signals").alias("contributing_signals"),
+        F.lit(C.WEIGHTS_VERSION).alias("weights_version"), as_of.alias("computed_at"),
+    )
     return state.after_recheck(rows, as_of).select(*due.columns), scores
 
 
-def recheck_counters(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: due, checked, published, queued for review."""
+def recheck_counters(before: DataFrame, after: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """One row: due, checked, published, queued for review, errors."""
     done = after.agg(F.count("*").alias("checked"), F.count_if(F.col("publish_state") == "published").alias("published"), F.count_if(F.col("publish_state") == "pending_review").alias("queued"))
-    return before.agg(F.count("*").alias("due")).join(done, how="inner")
+    lost = errors.agg(F.count("*")).scalar() if errors is not None else F.lit(0).cast("long")
+    return done.select(before.agg(F.count("*")).scalar().alias("due"), "*", lost.alias("errors"))

@@ -79,6 +79,11 @@ def with_reports(candidates: DataFrame, reports: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("disputed"), "id")
 
 
+def orphan_reports(reports: DataFrame) -> DataFrame:
+    """Open reports that name no candidate, oldest first."""
+    return reports.where("status = 'open' AND candidate_id IS NULL").orderBy("created_at", "id")
+
+
 def visible_to(role: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables as a role sees them: the service role all, anyone else visible candidates and what belongs to them."""
     if role == "service":

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from namelens import constants as C
 from namelens.functions import content, domains, edit, folding
 from namelens.operators import matching, prefilter, ranking, scoring, state
-from namelens.plans import screening, views
+from namelens.plans import jobs, screening, views
 from namelens.sources import lookups, watchlist
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,7 +75,7 @@ DOMAIN = f"CASE WHEN name = '' OR len({LABELS}) < 2 THEN NULL WHEN len({LABELS})
 PARTS = "string_split(domain, '.')"
 SUFFIX = f"CASE WHEN len({PARTS}) >= 3 AND {TAIL(3, PARTS)} IN ({SUFFIXES}) THEN {TAIL(3, PARTS)} WHEN len({PARTS}) >= 2 AND {TAIL(2, PARTS)} IN ({SUFFIXES}) THEN {TAIL(2, PARTS)} ELSE {TAIL(1, PARTS)} END"
 LABEL = f"left(domain, length(domain) - length({SUFFIX}) - 1)"
-FOLDED = "translate(lower(label), '013547', 'oleast')"
+FOLDED = "translate(lower(label), '013547', 'olesat')"
 TOKENS = "list_filter(regexp_split_to_array(folded, '[^a-z0-9]+'), lambda x: x <> '')"
 FLAT = "regexp_replace(folded, '[^a-z0-9]', '', 'g')"
 IGNORED = " OR ".join(f"domain = '{s}' OR ends_with(domain, '.{s}')" for s in C.IGNORED_SUFFIXES)
@@ -164,19 +164,35 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("domain", "brand_slug", "matched_term", "match_kind", "edit_distance")
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, CAST(least(levenshtein(a.n_name, b.n_name), 3) AS INTEGER) AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, CAST(levenshtein(a.n_name, b.n_name) AS INTEGER) AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND levenshtein(a.n_name, b.n_name) <= 2")
 def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x")), n.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", edit.levenshtein(F.col("x"), F.col("y")).alias("distance"))
+    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return edit.close_pairs(n, n, "n_name").where("n_nationkey_a < n_nationkey_b").select(F.col("n_nationkey_a").alias("a"), F.col("n_nationkey_b").alias("b"), "distance")
 
 
-@query("SELECT p_partkey, 1.0::DOUBLE - damerau_levenshtein(p_name, 'red widget') / greatest(length(p_name), 10)::DOUBLE AS similarity FROM part WHERE p_partkey % 7 = 0")
+@query("SELECT p_partkey, 1.0::DOUBLE - damerau_levenshtein(p_name, 'red widget') / greatest(length(p_name), 10)::DOUBLE AS similarity FROM part")
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").where("p_partkey % 7 = 0").select("p_partkey", edit.similarity(F.col("p_name"), F.lit("red widget")).alias("similarity"))
+    return read(spark, sf_dir, "part").select("p_partkey", edit.similarity(F.col("p_name"), F.lit("red widget")).alias("similarity"))
 
 
-@query()
+_LIST = lambda terms: sql_list(terms) if terms else "[]::VARCHAR[]"
+_USABLE = sorted({t for _, _, every in WATCHLIST for t in every if len(t) >= C.TERM_LENGTH})
+_LONG, _SHORT, _FUZZY = ([t for t in _USABLE if len(t) >= C.SUBSTRING_LENGTH], [t for t in _USABLE if len(t) < C.SUBSTRING_LENGTH], [t for t in _USABLE if len(t) >= C.FUZZY_LENGTH])
+_DELETED = lambda x: f"list_transform(range(1, length({x}) + 1), lambda i: {x}[:i - 1] || {x}[i + 1:])"
+_AROUND = {1: lambda x: f"list_append({_DELETED(x)}, {x})", 2: lambda x: f"list_concat(list_append({_DELETED(x)}, {x}), flatten(list_transform({_DELETED(x)}, lambda d: list_transform(range(1, length(d) + 1), lambda j: d[:j - 1] || d[j + 1:]))))"}
+
+
+def _passes(mode: str, form: str, most: int) -> str:
+    low, high = min(map(len, _FUZZY)) - most, max(map(len, _FUZZY)) + most
+    flat, parts = f"regexp_replace({form}, '[^a-z0-9]', '', 'g')", f"regexp_split_to_array({form}, '[^a-z0-9]+')"
+    return f"""SELECT DISTINCT name, '{mode}' AS mode FROM (SELECT name, {flat} AS flat, list_append({parts}, {flat}) AS parts FROM names)
+    WHERE len(list_filter({_LIST(_LONG)}, lambda t: contains(flat, t))) > 0 OR len(list_intersect(parts, {_LIST(_SHORT)})) > 0
+    UNION SELECT DISTINCT name, '{mode}' FROM (SELECT name, unnest(list_append({parts}, {flat})) AS p FROM names), (SELECT unnest({_LIST(_FUZZY)}) AS t)
+    WHERE length(p) BETWEEN {low} AND {high} AND len(list_intersect({_AROUND[most]('p')}, {_AROUND[most]('t')})) > 0"""
+
+
+@query(f"""WITH names AS (SELECT DISTINCT lower(name) AS name, translate(lower(name), '013547', 'olesat') AS folded FROM {NAMES}), hits AS ({_passes('compat', 'name', 1)} UNION {_passes('sound', 'name', 2)} UNION {_passes('sound', 'folded', 2)})
+SELECT page_id, n.name, mode FROM {NAMES} n JOIN hits h ON h.name = lower(n.name)""")
 def prefilter_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = [t for _, _, every in WATCHLIST for t in every]
     names = names_of(spark, sf_dir)
@@ -194,10 +210,9 @@ def non_ascii_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(domains.has_non_ascii(F.col("text"))).alias("non_ascii"))
 
 
-@query(r"SELECT doc_id, translate(lower(strip_accents(regexp_extract(text, '^[^ \n.,]+'))), '013547', 'oleast') AS folded FROM documents WHERE NOT regexp_matches(regexp_extract(text, '^[^ \n.,]+'), 'ß')")
+@query("SELECT doc_id, translate(lower(strip_accents(text)), '013547', 'olesat') AS folded FROM documents")
 def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    word = F.regexp_extract("text", r"^[^ \n.,]+", 0)
-    return read(spark, sf_dir, "documents").where(~F.contains(word, F.lit("ß"))).select("doc_id", folding.fold(word)["folded"].alias("folded"))
+    return read(spark, sf_dir, "documents").select("doc_id", folding.fold(F.col("text"))["folded"].alias("folded"))
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -242,14 +257,58 @@ def stats_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.stats(candidates_of_orders(spark, sf_dir), brands, at(AS_OF))
 
 
-@query(f"""WITH l AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber * 1000000 + l_partkey DESC) = 1)
-SELECT c.id, b.c_name AS brand_name, c.publish_state, l.l_linenumber AS line, l.l_returnflag AS flag FROM {CANDIDATES} c JOIN customer b ON c.brand = b.c_custkey LEFT JOIN l ON l.l_orderkey = c.id WHERE publish_state <> 'hidden'""")
+def feed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Orders as candidates, customers as brands, line items as scores and as verifications."""
+    none = F.lit(None).cast("string")
+    candidates = candidates_of_orders(spark, sf_dir).withColumns({
+        "domain": F.concat(F.lit("d"), F.col("id").cast("string"), F.lit(".com")), "unicode_domain": none, "matched_brand_id": F.col("brand"), "matched_term": none, "match_kind": none,
+        "homoglyph_flag": F.lit(False), "cert_issuer": none, "cert_issued_at": F.col("first_seen_at"), "last_seen_at": F.col("first_seen_at"),
+    })
+    brands = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lower("c_name").alias("slug"), F.col("c_mktsegment").alias("category"), F.array(F.concat("c_name", F.lit(".com"))).alias("official_domains"))
+    lines = read(spark, sf_dir, "lineitem").withColumns({"id": F.col("l_linenumber") * 1_000_000 + F.col("l_partkey"), "candidate_id": F.col("l_orderkey"), "at": F.col("l_shipdate")})
+    points = F.array(F.struct(F.lit("k").alias("key"), F.col("l_linenumber").alias("points")))
+    scores = lines.where("l_quantity > 10").select("id", "candidate_id", F.col("at").alias("computed_at"), F.col("l_quantity").cast("int").alias("score"), F.when(F.col("l_quantity") > 40, "high").when(F.col("l_quantity") > 20, "medium").otherwise("low").alias("tier"), points.alias("contributing_signals"))
+    checks = lines.where("l_quantity < 30").select("id", "candidate_id", F.col("at").alias("checked_at"), (F.col("l_linestatus") == "O").alias("resolves"), F.col("l_linenumber").alias("domain_age_days"), F.col("l_returnflag").alias("registrar"), none.alias("page_title"), (F.col("l_returnflag") == "R").alias("has_password_field"), F.lit(False).alias("looks_parked"))
+    return candidates, brands, scores, checks
+
+
+def _latest(where: str) -> str:
+    return f"(SELECT * FROM lineitem WHERE {where} QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber * 1000000 + l_partkey DESC) = 1)"
+
+
+_FEED = f"""(SELECT c.id, b.c_name AS brand_name, c.publish_state, CAST(s.l_quantity AS INTEGER) AS score, CASE WHEN s.l_quantity > 40 THEN 'high' WHEN s.l_quantity > 20 THEN 'medium' WHEN s.l_quantity IS NOT NULL THEN 'low' END AS tier,
+s.l_linenumber AS points, v.l_linestatus = 'O' AS resolves, v.l_linenumber AS age, v.l_returnflag AS registrar FROM {CANDIDATES} c JOIN customer b ON c.brand = b.c_custkey
+LEFT JOIN {_latest('l_quantity > 10')} s ON s.l_orderkey = c.id LEFT JOIN {_latest('l_quantity < 30')} v ON v.l_orderkey = c.id WHERE publish_state IN ('published', 'pending_review'))"""
+
+
+@query(f"SELECT id, brand_name, publish_state, score, tier, resolves, age, registrar FROM {_FEED}")
 def feed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = candidates_of_orders(spark, sf_dir).where("publish_state <> 'hidden'").select("id", "brand", "publish_state")
-    brands = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("brand"), F.col("c_name").alias("brand_name"))
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_shipdate", F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("tie"))
-    latest = ranking.latest_per_key(lines, "id", "l_shipdate", "tie").select("id", "line", "flag")
-    return shown.join(brands, "brand").join(latest, "id", "left").select("id", "brand_name", "publish_state", "line", "flag")
+    feed = views.public_feed(*feed_tables(spark, sf_dir))
+    return feed.select("id", "brand_name", "publish_state", "score", "tier", "resolves", F.col("domain_age_days").alias("age"), "registrar")
+
+
+@query(f"""SELECT id, brand_name AS brand, brand_name || '.com' AS official_domain, coalesce(tier, 'medium') AS tier, coalesce(score, 0) AS score, CAST(points IS NOT NULL AS INTEGER) AS signals, publish_state = 'published' AND coalesce(tier, 'medium') = 'high' AS confirmed,
+CASE WHEN publish_state = 'pending_review' THEN 'unconfirmed' ELSE coalesce(tier, 'medium') END AS status FROM {_FEED}""")
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = views.feed_items(views.public_feed(*feed_tables(spark, sf_dir)))
+    return items.select("id", F.col("brand.name").alias("brand"), "brand.official_domain", "tier", "score", F.size("signals").alias("signals"), "confirmed", "status")
+
+
+@query(f"SELECT l_orderkey AS candidate_id, l_linenumber AS line, l_linestatus = 'O' AS resolves FROM {_latest('l_quantity < 30')}")
+def current_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = views.current_verifications(feed_tables(spark, sf_dir)[3])
+    return checks.select("candidate_id", F.col("domain_age_days").alias("line"), "resolves")
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100")
+def feed_page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.page_with_total(read(spark, sf_dir, "orders"), [F.desc("o_orderdate"), F.asc("o_orderkey")], 100, 50).select("o_orderkey", "total")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 0 ORDER BY c_mktsegment, c_name")
+def brand_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brands = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("category"), F.col("c_name").alias("name"), (F.col("c_acctbal") > 0).alias("active"))
+    return ranking.brand_listing(brands).select("c_custkey", F.col("category").alias("c_mktsegment"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100")
@@ -285,10 +344,10 @@ def report_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.with_reports(candidates_of_orders(spark, sf_dir), reports).select("id", F.coalesce(F.size("reports"), F.lit(0)).alias("reports"), "disputed")
 
 
-@query(f"WITH {SCREENED}, {TERMS}, {PAIRS} SELECT domain, domain NOT IN (SELECT domain FROM pairs WHERE kind IS NOT NULL AND slug = 'beta') AS stale FROM labels")
+@query(f"WITH {SCREENED}, {TERMS}, {PAIRS} SELECT domain, domain NOT IN (SELECT domain FROM pairs WHERE kind IS NOT NULL AND NOT list_contains(own, domain)) AS stale FROM labels")
 def prune_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = names_of(spark, sf_dir)
-    brands = watchlist.brands_of(spark, [b for b in WATCHLIST if b[0] == "beta"])
+    brands = watchlist.brands_of(spark, WATCHLIST)
     live = matching.screened(names).select("domain", F.lit("published").alias("publish_state"), F.lit(None).cast("timestamp").alias("reviewed_at"), F.lit(None).cast("string").alias("reviewed_note"))
     after = state.prune(live, matching.all_matches(names, brands), at(AS_OF))
     return after.select("domain", (F.col("publish_state") == "hidden").alias("stale"))
@@ -315,7 +374,7 @@ def cert_gap_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", gap.alias("gap"), F.when(gap <= 0, "same day").when(gap <= 3, "three days").otherwise("later").alias("bucket"))
 
 
-def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_lines(spark: SparkSession, sf_dir: str, notes: bool = False) -> DataFrame:
     """Line items as verified candidates, with every signal on some of them."""
     rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     kinds = list(C.KIND_RANK)
@@ -328,7 +387,7 @@ def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") > 25).alias("has_password_field"), F.when(F.col("l_discount") > 0.05, domains.lits(["brand"])).alias("brand_terms_on_page"),
         (F.col("l_tax") > 0.06).alias("form_posts_offsite"), (F.col("l_quantity") < 5).alias("looks_parked"), F.lit(None).cast("int").alias("asn_reputation_score"),
     )
-    return scoring.scored(rows)
+    return scoring.scored(rows, notes)
 
 
 _W = C.WEIGHTS
@@ -370,26 +429,25 @@ def recheck_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("l_orderkey", "l_linenumber", "recheck_count", "status", ((F.unix_timestamp("next_recheck_at") - F.unix_timestamp(at(AS_OF))) / 3600).cast("long").alias("hours"))
 
 
-@query("SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    delta = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    delta = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
     return state.insert_if_absent(held, delta, "k")
 
 
-@query("SELECT coalesce(c_custkey, o_orderkey) AS k, coalesce(o_orderstatus, c_mktsegment) AS v, c_acctbal AS w FROM customer FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) ON c_custkey = o_orderkey")
+@query("SELECT coalesce(c_custkey, o_orderkey) AS k, coalesce(o_orderstatus, c_mktsegment) AS v, c_acctbal AS w FROM customer FULL JOIN orders ON c_custkey = o_orderkey")
 def upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"), F.col("c_acctbal").alias("w"))
-    delta = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    delta = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
     return state.upsert(held, delta, "k")
 
 
-@query("SELECT c_custkey AS k, CAST(c_nationkey + coalesce(n, 0) AS BIGINT) AS seen FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+@query("SELECT coalesce(c_custkey, k) AS k, c_name AS name, CAST(coalesce(c_nationkey, 0) + coalesce(n, 0) AS BIGINT) AS seen FROM customer FULL JOIN (SELECT o_orderkey // 3 AS k, count(*) AS n FROM orders GROUP BY 1) ON k = c_custkey")
 def counter_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("seen"))
-    delta = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.lit(1).cast("long").alias("seen"))
-    known = held.select("k")
-    return state.accumulate(held, delta.join(known, "k", "left_semi"), "k", ["seen"])
+    held = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("seen"))
+    delta = read(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 3).alias("k"), F.lit(1).cast("long").alias("seen"))
+    return state.accumulate(held, delta, "k", ["seen"])
 
 
 _ACTION = "['publish', 'clear', 'hide', NULL][1 + id % 4]"
@@ -413,10 +471,11 @@ def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.counters(events.select("name"), events.select("domain").distinct(), known, spark.createDataFrame([("click",)], "domain string"))
 
 
-@query("SELECT user_id, count(*) AS queried, count(*) FILTER (WHERE value > 400) AS with_rows, count(*) FILTER (WHERE value > 400) = 0 AS degraded, round(CAST(count(*) FILTER (WHERE value > 400) AS DOUBLE) / count(*) * 100, 4) AS hit_rate FROM events GROUP BY user_id")
+@query("""SELECT user_id, count(*) AS queried, count(*) FILTER (WHERE value > 400) AS with_rows, count(*) FILTER (WHERE value > 400) = 0 AS degraded, round(CAST(count(*) FILTER (WHERE value > 400) AS DOUBLE) / count(*) * 100, 4) AS hit_rate,
+array_to_string(list_sort(list(DISTINCT event_type) FILTER (WHERE NOT coalesce(value > 400, false))), ',') AS empty_terms FROM events GROUP BY user_id""")
 def degraded_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = F.count_if(F.col("value") > 400)
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("queried"), hits.alias("with_rows"), (hits == 0).alias("degraded"), F.round(F.try_divide(hits.cast("double"), F.count("*")) * 100, 4).alias("hit_rate"))
+    answers = read(spark, sf_dir, "events").withColumn("n_rows", (F.col("value") > 400).cast("int"))
+    return jobs.source_health(answers, "user_id", "event_type", "n_rows").withColumn("empty_terms", F.array_join("empty_terms", ","))
 
 
 @query(r"""SELECT page_id, left(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.{0,300}?)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '\s+', ' ', 'g')), 200) AS page_title FROM pages""")
@@ -438,10 +497,11 @@ def jsonb_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "int").alias("k"))
 
 
-@query(f"SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 6 HOUR AND ts <= TIMESTAMP '{EVENTS_AS_OF}' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
+@query(f"SELECT min(event_id) AS event_id, 'user' || user_id || '.com' AS name FROM events WHERE ts >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 6 HOUR GROUP BY user_id")
 def lookback_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recent = read(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")).where(F.col("at").between(at(EVENTS_AS_OF) - F.make_dt_interval(hours=F.lit(6)), at(EVENTS_AS_OF)))
-    return recent.groupBy("user_id").agg(F.min("event_id").alias("event_id")).select("event_id", "user_id")
+    none = F.lit(None).cast("string")
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), none.alias("issuer_name"), F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit(".com")).alias("common_name"), none.alias("name_value"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("entry_timestamp"), none.alias("not_before"))
+    return lookups.search_sightings(rows, at(EVENTS_AS_OF), 6).select(F.col("ord").alias("event_id"), "name")
 
 
 _SECONDS = f"greatest(0, epoch(TIMESTAMP '{EVENTS_AS_OF}') - floor(epoch(ts)))"

@@ -6,6 +6,7 @@ import base64
 import binascii
 import re
 import struct
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,13 +87,16 @@ def decode_leaf(leaves: pd.Series) -> pd.DataFrame:
     return out.astype({"timestamp_ms": "Int64", "entry_type": "Int32"})
 
 
-def sightings(entries: DataFrame) -> DataFrame:
+def sightings(entries: DataFrame, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """Sightings (ord, name, issuer, not_before, logged_at, source) of log entries (log_url, idx, leaf_input).
 
-    Unreadable leaves give none; each name of a log counts once, at its first entry.
+    Unreadable leaves give none; each name of a log counts once, at its first entry.  keep: a
+    condition on the name; it is tested before names are shuffled.
     """
     rows = entries.select("log_url", "idx", decode_leaf("leaf_input").alias("leaf")).where("leaf.timestamp_ms IS NOT NULL")
     names = rows.select("log_url", "idx", "leaf.timestamp_ms", F.explode("leaf.names").alias("raw")).withColumn("name", domains.normalize(F.col("raw"))).where("name <> ''")
+    if keep is not None:
+        names = names.where(keep(F.col("name")))
     first = names.groupBy("log_url", "name").agg(F.min(F.struct("idx", "timestamp_ms")).alias("f"))
     none = F.lit(None)
     return first.select(F.col("f.idx").alias("ord"), "name", none.cast("string").alias("issuer"), none.cast("timestamp").alias("not_before"), F.timestamp_millis("f.timestamp_ms").alias("logged_at"), F.lit("ct").alias("source"))
@@ -112,6 +116,13 @@ def usable_logs(lists: DataFrame, column: str = "json") -> DataFrame:
     return rows.select((F.col("o") * 100_000 + F.col("i")).alias("ord"), url.alias("url"), F.coalesce("log.description", "log.url").alias("description"), "operator")
 
 
+def start_at(cursor: int, head: int, max_lag: int = 0) -> tuple[int, int]:
+    """The same as start_index, for a source's own cursors."""
+    at = cursor if 0 < cursor <= head else max(0, head - BACKFILL)
+    ahead = max(0, head - max_lag) if 0 < max_lag < head - at else at
+    return ahead, ahead - at
+
+
 def start_index(cursor: Column, head: Column, max_lag: Column | int = 0) -> tuple[Column, Column]:
     """(first index to read, entries skipped): a log without a valid cursor starts shortly before its head,
 

@@ -2,7 +2,10 @@
 
 A recorded log is a folder of JSON-lines files named after their first index,
 ``00000000.jsonl``, with leaf_input on each line.  Options: path (a folder of log
-folders), start, per_trigger (entries of a log per trigger) and max_lag.
+folders, mounted on the driver and all executors), start, per_trigger (entries of a log
+per trigger) and max_lag.  A file is a partition of its own, so that a large log is read
+by many tasks.  A batch whose start lies beyond the head of every log is an error.  A
+stream without ``start`` begins shortly before each head; see certificates.start_at.
 """
 
 from __future__ import annotations
@@ -14,12 +17,14 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from namelens.sources.certificates import start_at
+
 SCHEMA = "log_url string, idx long, leaf_input string"
 
 
 class LogRange(InputPartition):
-    def __init__(self, log: str, start: int, end: int) -> None:
-        self.log, self.start, self.end = log, start, end
+    def __init__(self, log: str, file: int, start: int, end: int) -> None:
+        self.log, self.file, self.start, self.end = log, file, start, end
 
 
 def _files(folder: str) -> list[tuple[int, str]]:
@@ -36,9 +41,8 @@ def _head(folder: str) -> int:
 
 
 def _entries(path: str, part: LogRange) -> Iterator[tuple]:
-    files = _files(os.path.join(path, part.log))
-    for k, (first, name) in enumerate(files):
-        if first >= part.end or (k + 1 < len(files) and files[k + 1][0] <= part.start):
+    for first, name in _files(os.path.join(path, part.log)):
+        if first != part.file:
             continue
         with open(name) as lines:
             for i, line in enumerate(x for x in lines if x.strip()):
@@ -46,12 +50,22 @@ def _entries(path: str, part: LogRange) -> Iterator[tuple]:
                     yield part.log, first + i, json.loads(line)["leaf_input"]
 
 
+def _parts(path: str, log: str, start: int, end: int) -> list[LogRange]:
+    """A part for each file with entries of the range."""
+    firsts = [first for first, _ in _files(os.path.join(path, log))]
+    edges = zip(firsts, [*firsts[1:], end], strict=True)
+    return [LogRange(log, first, start, end) for first, after in edges if first < end and after > start]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.start = options["path"], int(options.get("start", 0))
 
     def partitions(self) -> list[LogRange]:
-        return [LogRange(log, self.start, _head(os.path.join(self.path, log))) for log in sorted(os.listdir(self.path))]
+        heads = {log: _head(os.path.join(self.path, log)) for log in sorted(os.listdir(self.path))}
+        if heads and self.start and all(self.start >= head for head in heads.values()):
+            raise ValueError(f"no log has entries from {self.start} on")
+        return [part for log, head in heads.items() for part in _parts(self.path, log, self.start, head)]
 
     def read(self, partition: LogRange) -> Iterator[tuple]:
         return _entries(self.path, partition)
@@ -61,17 +75,23 @@ class _StreamReader(DataSourceStreamReader):
     """Offsets are {log: index}; a trigger takes per_trigger entries of a log, and a log too far behind jumps ahead."""
 
     def __init__(self, options: dict) -> None:
-        self.path, self.first = options["path"], int(options.get("start", 0))
+        self.path, self.first = options["path"], int(options["start"]) if "start" in options else None
         self.per_trigger, self.max_lag = int(options.get("per_trigger", 400_000)), int(options.get("max_lag", 0))
         self.at: dict[str, int] = {}
 
+    def _start(self, log: str) -> int:
+        return start_at(0, _head(os.path.join(self.path, log)))[0] if self.first is None else self.first
+
     def initialOffset(self) -> dict:
-        return {log: self.first for log in sorted(os.listdir(self.path))}
+        return {log: self._start(log) for log in sorted(os.listdir(self.path))}
 
     def latestOffset(self) -> dict:
         now = {}
         for log in sorted(os.listdir(self.path)):
-            head, at = _head(os.path.join(self.path, log)), self.at.get(log, self.first)
+            head = _head(os.path.join(self.path, log))
+            at = self.at[log] if log in self.at else self._start(log)
+            if at > head:  # the log has been cut or replaced
+                at = start_at(at, head)[0]
             now[log] = min(head, max(at, head - self.max_lag if self.max_lag else at) + self.per_trigger)
         self.at = now
         return now
@@ -80,11 +100,11 @@ class _StreamReader(DataSourceStreamReader):
         self.commit(start)  # after a restart triggers go on from there
         out = []
         for log, last in end.items():
-            first = start.get(log, self.first)
+            first = start[log] if log in start else self._start(log)
             if self.max_lag:
                 first = max(first, last - self.max_lag)
             if first < last:
-                out.append(LogRange(log, first, last))
+                out += _parts(self.path, log, first, last)
         return out
 
     def read(self, partition: LogRange) -> Iterator[tuple]:

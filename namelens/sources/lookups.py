@@ -16,6 +16,8 @@ _ENTITY = "roles:array<string>,vcardArray:string,publicIds:array<struct<type:str
 #: Entities are read two levels deep.
 REGISTRATION = f"struct<events:array<struct<eventAction:string,eventDate:string>>,status:array<string>,entities:array<struct<{_ENTITY},entities:array<struct<{_ENTITY}>>>>>"
 BOOTSTRAP = "struct<services:array<array<array<string>>>>"
+#: Suffixes up to which the table of services is broadcast (about 100 bytes each).
+BROADCAST_SERVICES = 100_000
 #: Attempts and waits of a search client, milliseconds.
 RETRIES, BACKOFF_MS = 3, 2000
 
@@ -84,7 +86,8 @@ def with_service(names: DataFrame, services: DataFrame) -> DataFrame:
     rows = names.withColumn("_suffix", domains.public_suffix(F.col("domain"))).withColumn("_tld", F.substring_index("_suffix", ".", -1))
     full = services.select(F.col("tld").alias("_suffix"), F.col("url").alias("_full"))
     last = services.select(F.col("tld").alias("_tld"), F.col("url").alias("_last"))
-    return rows.join(F.broadcast(full), "_suffix", "left").join(F.broadcast(last), "_tld", "left").select(*names.columns, F.coalesce("_full", "_last").alias("service_url"))
+    small = F.broadcast if services.count() <= BROADCAST_SERVICES else lambda table: table
+    return rows.join(small(full), "_suffix", "left").join(small(last), "_tld", "left").select(*names.columns, F.coalesce("_full", "_last").alias("service_url"))
 
 
 def name_servers(a: Column, aaaa: Column, mx: Column, ns: Column, a_code: Column, ns_code: Column) -> Column:

@@ -134,7 +134,7 @@ def test_recheck_and_counters(spark):
     checks = checks.withColumn("domain_created_at", now() - F.make_dt_interval(days=F.lit(1)))
     after, scores = screening.recheck(due, checks, now())
     assert after.first()["publish_state"] == "published" and scores.first()["tier"] == "high"
-    assert tuple(screening.recheck_counters(due, after).first()) == (1, 1, 1, 0)
+    assert tuple(screening.recheck_counters(due, after).first()) == (1, 1, 1, 0, 0)
 
 
 def test_stream_equals_batch(spark, brands, allowlist, tmp_path):
