@@ -24,8 +24,13 @@ from namelens.llm.common import NOT_SPACE, checkpoint, text_of
 
 #: Sources up to which the table of targets is broadcast (about 100 bytes a source).
 BROADCAST_SOURCES = 100_000
-#: Hex digits of the seeded hash that make a bucket: 4096 buckets a source.
-BUCKET_DIGITS = 3
+#: Rows that a source's bucket of the seeded hash should have if all rows were of that source.
+BUCKET = 65_536
+
+
+def bucket_digits(rows: int) -> int:
+    """Hex digits of the seeded hash that make a bucket: 4096 buckets a source, and more as the table grows."""
+    return next((d for d in range(3, 8) if rows <= BUCKET * 16**d), 8)
 
 
 def _size():
@@ -81,7 +86,8 @@ def mixture(rows: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), budget_ratio: f
     sizes = source_sizes(rows)
     weights = F.element_at(F.array(*[F.lit(w) for w in cycle]), (F.col("nth") % len(cycle) + 1).cast("int"))
     targets = fill_targets(sizes.withColumn("weight", weights), budget_ratio, max_epochs).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    buckets = rows.groupBy("source", F.substring("h", 1, BUCKET_DIGITS).alias("bucket")).agg(F.sum("size").alias("in_bucket"))
+    digits = bucket_digits(rows.count())
+    buckets = rows.groupBy("source", F.substring("h", 1, digits).alias("bucket")).agg(F.sum("size").alias("in_bucket"))
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     edge = (
         buckets.withColumn("upto", F.sum("in_bucket").over(along))
@@ -91,7 +97,7 @@ def mixture(rows: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), budget_ratio: f
         .select(F.col("source").alias("s"), "edge.*")
     )
     edge = checkpoint(edge)
-    inside = rows.join(F.broadcast(edge) if _small(targets) else edge, F.col("source").eqNullSafe(F.col("s")) & (F.substring("h", 1, BUCKET_DIGITS) == F.col("bucket")))
+    inside = rows.join(F.broadcast(edge) if _small(targets) else edge, F.col("source").eqNullSafe(F.col("s")) & (F.substring("h", 1, digits) == F.col("bucket")))
     by_hash = Window.partitionBy("s").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
     taken = (
         inside.withColumn("upto", F.col("before") + F.sum("size").over(by_hash))

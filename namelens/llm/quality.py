@@ -4,8 +4,10 @@ A document is a bag of passages of ``PASSAGE`` words.  Each passage is encoded
 (shares of byte classes and of their bigrams, word lengths, repeated words),
 goes through a hidden layer, and a gated attention learned from the documents'
 labels weighs the passages; the weighted representation gives the score.  The
-network is fitted with NumPy on a bounded sample of labelled rows (``TRAIN``),
-then scores every passage of every text in Arrow batches.
+network is fitted with NumPy on a bounded sample of labelled rows (``TRAIN`` rows
+and ``PASSAGES`` passages of each, evenly spread, at most), then scores every passage
+of every text in Arrow batches.  A long text is encoded in pieces of ``PIECE`` words,
+of which only the hidden vectors and weights are kept.
 
 Defined results: null and empty texts are a bag of one empty passage and get a
 score as well; without labels of both kinds every score is the share of label 1
@@ -22,12 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namelens.llm.common import SOLID, cuts, span_hashes, steps, text_buffer, word_spans
+from namelens.llm.common import SOLID, STEP_BYTES, cuts, span_hashes, steps, text_buffer, word_spans
 from namelens.llm.labelled import held_out, labelled_sample
 
 PASSAGE = 96
 #: Labelled rows that the network is fitted on at most.
 TRAIN = 4000
+#: Passages of a row that it is fitted on at most; none is left out in scoring.
+PASSAGES = 64
+#: Words of a piece of a long text.
+PIECE = 512 * PASSAGE
 THRESHOLD = 0.3
 
 _CLASSES = 12
@@ -93,11 +99,16 @@ class Network:
         self.mean, self.sd = np.zeros(d), np.ones(d)
         self.constant: float | None = None
 
-    def forward(self, x: np.ndarray, first: np.ndarray) -> tuple:
+    def hidden(self, x: np.ndarray) -> tuple:
+        """Hidden vectors of passages, both gates and the attention before it is shared out."""
         w = self.w
         h = np.tanh(x @ w["W"] + w["b"])
         t, s = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
-        e = (t * s) @ w["a"]
+        return h, t, s, (t * s) @ w["a"]
+
+    def forward(self, x: np.ndarray, first: np.ndarray) -> tuple:
+        w = self.w
+        h, t, s, e = self.hidden(x)
         of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         p = np.exp(e - np.maximum.reduceat(e, first[:-1])[of])
         p /= np.add.reduceat(p, first[:-1])[of]
@@ -110,6 +121,21 @@ class Network:
         x = np.clip((x - self.mean) / self.sd, -6, 6)
         return 1 / (1 + np.exp(-np.clip(self.forward(x, first)[-1], -30, 30)))
 
+    def score_pieces(self, data: np.ndarray) -> float:
+        """The score of one long text, by pieces."""
+        if self.constant is not None:
+            return self.constant
+        start, _, _ = word_spans(data, np.array([0, len(data)]), SOLID)
+        edges = [*start[::PIECE].tolist(), len(data)] if len(start) else [0, len(data)]
+        found = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            x, _ = passages(data[a:b], np.array([0, b - a]))
+            found.append(self.hidden(np.clip((x - self.mean) / self.sd, -6, 6)))
+        h, e = np.concatenate([f[0] for f in found]), np.concatenate([f[3] for f in found])
+        p = np.exp(e - e.max())
+        logit = (p / p.sum()) @ h @ self.w["c"] + self.w["c0"][0]
+        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+
     def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict:
         w = self.w
         h, t, s, of, p, z, logit = self.forward(x, first)
@@ -149,12 +175,13 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in steps(batch):
             x, first = passages(*text_buffer(part.column("text")))
-            rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            some = lambda a, b: np.arange(a, b) if b - a <= PASSAGES else a + (np.arange(PASSAGES) * (b - a)) // PASSAGES
+            rows = [x[some(a, b)].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "bag"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Network:
-    """Fit on the encoded passages of the sample; they come to the driver, about 3 KB for each of ``most`` rows."""
+    """Fit on the encoded passages of the sample; they come to the driver, 3 KB on average and 42 KB at most for each of ``most`` rows."""
     sample = labelled_sample(docs, labels, "quality", most).select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
     rows = sorted(sample.mapInArrow(_encode, "doc_id long, label int, bag binary").collect(), key=lambda r: (r["doc_id"], r["bag"]))
     bags = [np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, N_FEATURES).astype(float) for r in rows]
@@ -167,7 +194,10 @@ def scored(docs: DataFrame, network: Network) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("row").field("text").cast(pa.large_string()).fill_null("")
-            found = [network.score(*passages(*text_buffer(texts.slice(*cut)))) for cut in cuts(texts)]
+            found = []
+            for start, length in cuts(texts):
+                data, offsets = text_buffer(texts.slice(start, length))
+                found.append(np.array([network.score_pieces(data)]) if length == 1 and len(data) > STEP_BYTES else network.score(*passages(data, offsets)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(found or [np.zeros(0)]))], names=["row", "score"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

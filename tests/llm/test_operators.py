@@ -112,6 +112,45 @@ def test_toxicity_held_out(spark):
     assert area > 0.9 and right > 0.95
 
 
+def test_quality_score_against_a_slow_pass():
+    """Long texts by pieces, and many texts at once, score as one passage after the other does."""
+    r = random.Random(24)
+    net = quality.Network(seed=3)
+    net.w["c"] = np.random.default_rng(1).normal(size=24)
+    texts = [words_of(r, n).encode() for n in (0, 1, 95, 96, 97, 500, quality.PIECE + 700, 2 * quality.PIECE)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    x, first = quality.passages(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    got = net.score(x, first)
+    for i, t in enumerate(texts):
+        words = t.split()
+        top, bottom = np.zeros(24), 0.0
+        for at in range(0, max(1, len(words)), quality.PASSAGE):
+            # as in the text: a passage ends where the next one starts
+            part = b" ".join(words[at : at + quality.PASSAGE]) + (b" " if at + quality.PASSAGE < len(words) else b"")
+            f = np.clip(quality.passages(np.frombuffer(part, np.uint8), np.array([0, len(part)]))[0][0], -6, 6)
+            h = np.tanh(net.w["W"].T @ f + net.w["b"])
+            e = np.exp((np.tanh(net.w["V"].T @ h) / (1 + np.exp(-(net.w["U"].T @ h)))) @ net.w["a"])
+            top, bottom = top + e * h, bottom + e
+        want = 1 / (1 + np.exp(-(top / bottom @ net.w["c"])))
+        assert got[i] == pytest.approx(want, abs=1e-9)
+        if len(words) > quality.PIECE:
+            assert net.score_pieces(np.frombuffer(t, np.uint8)) == pytest.approx(want, abs=1e-9)
+
+
+def test_maximal_segments_by_definition():
+    """All segments by brute force: those whose every proper prefix and suffix sums to more than zero, and that no larger one like it holds."""
+    r = random.Random(25)
+    for _ in range(150):
+        n, drift = r.randint(1, 12), r.choice([0.5, 1.0, 2.0])
+        scores = [r.choice([0, 0, 1, 2.5, 3.25]) for _ in range(n)]
+        full = [s or -drift for s in scores]
+        total = lambda a, b: sum(full[a:b])
+        good = [(a, b) for a in range(n) for b in range(a + 1, n + 1) if all(total(a, k) > 0 for k in range(a + 1, b + 1)) and all(total(k, b) > 0 for k in range(a, b))]
+        want = sorted((a, b - 1) for a, b in good if not any(x <= a and b <= y and (x, y) != (a, b) for x, y in good))
+        at = [i for i, s in enumerate(scores) if s]
+        assert sorted((a, b) for _, a, b in toxicity.maximal_segments(at, [scores[i] for i in at], drift)) == want
+
+
 def test_network_gradients():
     r = np.random.default_rng(1)
     net = quality.Network(hidden=3, gate=2, seed=2)
@@ -301,6 +340,14 @@ def test_exact_dedup_rows(spark):
     assert sorted(x["doc_id"] for x in exactdedup.deduplicated(docs).collect()) == [2, 3, 5, 6]
 
 
+def test_exact_dedup_keeps_the_longer_spacing_of_one_doc_id(spark):
+    rows = [(1, "ab"), (1, "a b"), (1, "a b"), (2, "x"), (2, "x"), (None, "y"), (None, "y ")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, extra int")
+    got = [(r["doc_id"], r["text"], r["extra"]) for r in exactdedup.deduplicated(docs).collect()]
+    assert sorted(map(str, (g[:2] for g in got))) == sorted(map(str, [(1, "a b"), (2, "x"), (None, "y ")]))
+    assert sorted(got, key=str) == sorted(((r["doc_id"], r["text"], r["extra"]) for r in exactdedup.deduplicated(docs.repartition(5)).collect()), key=str)
+
+
 # --- 6 licenses
 
 
@@ -440,6 +487,13 @@ def test_packing(spark):
         assert len({source[x["doc_id"]] for x in held}) == len(held) and len({text[x["doc_id"]] for x in held}) == len(held)
 
 
+def test_packing_deals_repeated_rows_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 50)
+    docs = spark.createDataFrame([(7, "one text", "a")] * 400, "doc_id long, text string, source string")
+    shards = collections.Counter(x["bin_id"] >> 32 for x in packing.packed(docs).collect())
+    assert sum(shards.values()) == 400 and len(shards) > 4 and max(shards.values()) < 120
+
+
 def test_packing_takes_the_tightest_compatible_bin():
     r = random.Random(11)
     rows = [(i, r.choice("abc"), r.randrange(12), r.randint(1, 9)) for i in range(60)]
