@@ -12,11 +12,14 @@ are equal by chance (one in 16).
 Defined results: a null text counts as empty; a text without words has the
 fingerprint of the single empty shingle; likeness to a next document that is missing
 (a table of one row) is to the row itself; rows are in order of doc_id (null first),
-then text; an empty table gives no rows.
+then text; doc_id is an integer; an empty table gives no rows.  Rows of one doc_id, and those
+without any, are neighbours and so are sorted in one task.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,8 +38,8 @@ _ODD = [2 * _random.randrange(BINS // 2) + 1 for _ in range(BINS)]
 INVERSE = [pow(odd, -1, BINS) for odd in _ODD]
 #: The bins of every permutation's first steps; in a text that fills most bins one of them nearly always is.
 FIRST_STEPS = [[(START[j] + t * _ODD[j]) % BINS for j in range(BINS)] for t in range(8)]
-#: Rows that a bucket of neighbouring documents should have, and cells of the doc_id range that buckets are made of.
-BUCKET, CELLS = 1000, 8192
+#: Rows that a bucket of neighbouring documents should have, and buckets at most (their first ids are part of the plan).
+BUCKET, BUCKETS = 1000, 65_536
 
 
 def _words(text: Column) -> Column:
@@ -93,24 +96,25 @@ def _buckets(docs: DataFrame) -> DataFrame:
     """docs with bucket, whole ranges of doc_id in order, and with each bucket's first rows twice.
 
     The second copy (edge is true) goes to the end of the bucket before, or of the last
-    one, so that every row's next one is in its own bucket.  The ranges come from a
-    histogram of CELLS equal cells between the least and the largest doc_id.
+    one, so that every row's next one is in its own bucket.  The ranges start at quantiles of
+    the ids, so they hold about as many rows each wherever the ids lie.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if low is None:
-        low, high = 0, 0
-    width = max(1, -(-(high - low + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("int")
-    held = {r["cell"]: r["count"] for r in docs.groupBy(cell.alias("cell")).count().collect()}  # CELLS rows at most
-    of_cell, bucket, size = [], 0, 0
-    for c in range((high - low) // width + 1):
-        if size >= BUCKET and held.get(c):
-            bucket, size = bucket + 1, 0
-        size += held.get(c, 0)
-        of_cell.append(bucket)
-    placed = docs.withColumn("bucket", F.get(F.split(F.lit(",".join(map(str, of_cell))), ","), cell).cast("int"))
+    n, low = docs.agg(F.count("doc_id"), F.min("doc_id")).first()
+    buckets = min(BUCKETS, -(-n // BUCKET))
+    bounds: list[int] = []
+    if buckets > 1:
+        found = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0]
+        bounds = sorted({b for b in found if b > low})  # ids that occur, so that no bucket is empty
+    # the bucket of an id: the bounds up to it, counted in two steps of about the square root of them
+    step = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    upto = lambda array: F.size(F.filter(array, lambda b: b <= F.col("doc_id")))
+    heads, rest = (F.from_json(F.lit(json.dumps(x)), kind) for x, kind in (([g[0] for g in groups], "array<bigint>"), (groups, "array<array<bigint>>")))
+    placed = docs.withColumn("group", F.coalesce(upto(heads), F.lit(0)))
+    place = F.when(F.col("group") > 0, (F.col("group") - 1) * step + upto(F.get(rest, F.col("group") - 1))).otherwise(0)
+    placed = placed.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(place).cast("int")).drop("group")
     firsts = placed.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first"))
-    back = F.when(F.col("bucket") == 0, F.lit(bucket)).otherwise(F.col("bucket") - 1)
+    back = F.when(F.col("bucket") == 0, F.lit(len(bounds))).otherwise(F.col("bucket") - 1)
     known = placed.join(F.broadcast(firsts.select(F.col("bucket").alias("b"), "first.doc_id").withColumnRenamed("doc_id", "first_id")), F.col("bucket") == F.col("b")).drop("b")
     is_first = F.col("doc_id").eqNullSafe(F.col("first_id"))
     copies = F.when(is_first, F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("edge")), F.struct(back.alias("bucket"), F.lit(True).alias("edge")))).otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("edge"))))

@@ -237,6 +237,19 @@ def test_edited_fingerprints(spark):
         assert x["near_next"] == pytest.approx(max(0, (same - 1 / 16) / (15 / 16)))
 
 
+def test_neighbours_of_outlying_ids(spark, monkeypatch):
+    """Buckets hold about as many rows wherever the ids lie, and every row finds the next one."""
+    monkeypatch.setattr(minhash, "BUCKET", 10)
+    ids = [*range(100), *range(10**12, 10**12 + 100), 2**50, -(2**60), 2**62, 2**62 + 1]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    sizes = [r["count"] for r in minhash._buckets(docs).where("NOT edge").groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(ids) and max(sizes) <= 30 and len(sizes) >= 15
+    order = sorted(ids)
+    want = {i: f"text {i}"[: -(-len(f"text {i}") // 2)] + f"text {after}"[: len(f"text {i}") // 2] for i, after in zip(order, [*order[1:], order[0]], strict=True)}
+    got = {r["doc_id"]: r["edited_sha256"] for r in minhash.edited_fingerprints(docs).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
 def test_likeness_estimates_jaccard(spark):
     r = random.Random(6)
     a = [f"w{r.randrange(10**6)}" for _ in range(900)]
