@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept and returns the columns of documents; the last one returns the packed pieces.
+Nulls, empty texts, ties and repeated rows are handled as the operators' modules say;
+an empty table gives an empty table in every stage.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of close SimHash fingerprints."""
+    """Keep one document of each group of near copies (five-word likeness of 0.8 or more), found by SimHash trees and bands."""
     return simhash.near_deduplicated(docs)
 
 
