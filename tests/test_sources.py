@@ -2,6 +2,7 @@ import base64
 import json
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from namelens.sources import certificates, logs, lookups, watchlist
@@ -103,6 +104,34 @@ def test_recorded_logs(spark, tmp_path):
     assert {r["name"] for r in certificates.sightings(spark.read.parquet(str(tmp_path / "out"))).collect()} == {f"one{i}.com" for i in range(5)} | {f"two{i}.com" for i in range(3)}
 
 
+def test_recorded_logs_by_file(spark, tmp_path):
+    (tmp_path / "logs" / "one").mkdir(parents=True)
+    for first in range(0, 40, 10):
+        lines = [json.dumps({"leaf_input": leaf(certificate([f"n{i}.com"]))}) for i in range(first, first + 10)]
+        (tmp_path / "logs" / "one" / f"{first:08d}.jsonl").write_text("\n".join(lines) + "\n")
+    spark.dataSource.register(logs.RecordedLogs)
+    read = lambda start: spark.read.format("recorded_logs").option("path", str(tmp_path / "logs")).option("start", start).load()
+    assert read(0).rdd.getNumPartitions() == 4 and sorted(r["idx"] for r in read(15).collect()) == list(range(15, 40)) and read(15).rdd.getNumPartitions() == 3
+    with pytest.raises(Exception, match="no log has entries from 40 on"):
+        read(40).collect()
+    reader = logs.RecordedLogs({"path": str(tmp_path / "logs"), "per_trigger": "7"}).streamReader(None)
+    assert reader.initialOffset() == {"one": 0} and reader.latestOffset() == {"one": 7} and reader.latestOffset() == {"one": 14}
+    reader.commit({"one": 99})  # a cursor beyond the head
+    assert reader.latestOffset() == {"one": 7}
+
+
+def test_start_at_agrees_with_columns(spark):
+    rows = [(c, h, lag) for c in (0, 5, 2500, 9000) for h in (0, 100, 5000) for lag in (0, 10, 3000)]
+    at, skipped = certificates.start_index(F.col("c"), F.col("h"), F.col("lag"))
+    got = [tuple(r) for r in spark.createDataFrame(rows, "c long, h long, lag long").select(at, skipped).collect()]
+    assert got == [certificates.start_at(*r) for r in rows]
+
+
+def test_kept_names(spark):
+    entries = spark.createDataFrame([("l/", 0, leaf(certificate(["keep.com", "drop.com"])))], "log_url string, idx long, leaf_input string")
+    assert [r["name"] for r in certificates.sightings(entries, lambda n: F.startswith(n, F.lit("keep"))).collect()] == ["keep.com"]
+
+
 def test_watchlist(spark):
     rows = [(0, "HDFC Bank", "hdfc", "bank", ["hdfcbank.com"], [], ["netHDFC"], [], True), (1, "X", "x", "other", ["x.in"], None, None, None, False)]
     brands = watchlist.with_terms(spark.createDataFrame(rows, watchlist.BRAND)).withColumn("last_polled_at", F.lit(None).cast("timestamp"))

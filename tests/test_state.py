@@ -106,6 +106,49 @@ def test_round_robin(spark):
     assert [r["o"] for r in ranking.round_robin(df, "op", "o", 5).collect()] == [0, 2, 4, 1, 5]
 
 
+def test_round_robin_keeps_rows_without_group_and_columns(spark):
+    df = spark.createDataFrame([(0, None, "x"), (1, None, "y"), (2, "c", "z")], "o int, op string, of string")
+    rows = ranking.round_robin(df, "op", "o")
+    assert [(r["o"], r["of"], r["depth"]) for r in rows.collect()] == [(0, "x", 1), (2, "z", 1), (1, "y", 2)]
+    assert [r["o"] for r in ranking.round_robin(df, "op", "o", 2).collect()] == [0, 2]
+    clash = spark.createDataFrame([("k", 1, 5, 7), ("k", 2, 6, 8), (None, 3, 1, 9)], "key string, tie int, at int, place int")
+    assert sorted((r["tie"], r["place"]) for r in ranking.history(clash, "key", "at", "tie", 1).collect()) == [(2, 8), (3, 9)]
+
+
+def test_page_and_listing(spark):
+    df = spark.range(30)
+    assert [tuple(r) for r in ranking.page_with_total(df, [F.desc("id")], 2, 3).collect()] == [(27, 30), (26, 30), (25, 30)]
+    assert ranking.page_with_total(df.limit(0), [F.desc("id")]).count() == 0
+    brands = spark.createDataFrame([("b", "x", True), ("a", "y", True), ("c", "x", False)], "name string, category string, active boolean")
+    assert [r["name"] for r in ranking.brand_listing(brands).collect()] == ["b", "a"]
+
+
+def test_accumulate_keeps_columns(spark):
+    held = spark.createDataFrame([("a", 1, "x", 9), ("b", None, "y", 8)], "k string, n long, label string, n_added int")
+    got = state.accumulate(held, spark.createDataFrame([("b", 2), ("c", 3), ("b", 1)], "k string, n long"), "k", ["n"])
+    assert got.columns == held.columns and sorted(tuple(r) for r in got.collect()) == [("a", 1, "x", 9), ("b", 3, "y", 8), ("c", 3, None, None)]
+
+
+def test_clear_needs_a_reason(spark):
+    rows = spark.createDataFrame([("1", "a.com", "b", "published", "verified")], "id string, domain string, matched_brand_id string, publish_state string, status string").withColumns({"reviewed_at": F.lit(None).cast("timestamp"), "reviewed_note": F.lit(None).cast("string")})
+    for note, want in ((None, "published"), (" ab ", "published"), ("abc", "cleared")):
+        after, allowed = state.review(rows, spark.createDataFrame([("1", "clear", note, "me")], "id string, action string, note string, reviewer string"), now())
+        assert after.first()["publish_state"] == want and allowed.count() == (want == "cleared")
+    decisions = spark.createDataFrame([("publish", None), ("drop", "abc"), (None, "abc"), ("clear", "abc")], "action string, note string")
+    assert [r["accepted"] for r in state.checked_decisions(decisions).collect()] == [True, False, False, True]
+
+
+def test_prefixes_and_lost_brands(spark):
+    df = spark.createDataFrame([("test-a",), ("b",), (None,), ("test%",)], "d string")
+    assert [r["d"] for r in state.with_prefix(df, "d", "test-").collect()] == ["test-a"]
+    assert [r["d"] for r in state.without_prefix(df, "d", "test-").collect()] == ["b", None, "test%"]
+    due = spark.createDataFrame([("1", "a.com", "b1"), ("2", "b.com", "gone"), ("3", "c.com", None)], "id string, domain string, matched_brand_id string")
+    known, lost = screening.with_brands(due, spark.createDataFrame([("b1",)], "id string"))
+    assert [r["id"] for r in known.collect()] == ["1"] and sorted(r["id"] for r in lost.collect()) == ["2", "3"]
+    reports = spark.createDataFrame([(1, None, "open", 5), (2, "x", "open", 1), (3, None, "resolved", 1), (4, None, "open", 2)], "id int, candidate_id string, status string, created_at int")
+    assert [r["id"] for r in views.orphan_reports(reports).collect()] == [4, 1]
+
+
 def _tables(spark):
     c = spark.createDataFrame([("1", "published"), ("2", "hidden"), ("3", "pending_review")], "id string, publish_state string")
     for name, kind in (("domain", "string"), ("unicode_domain", "string"), ("matched_brand_id", "string"), ("matched_term", "string"), ("match_kind", "string"), ("homoglyph_flag", "boolean"), ("cert_issuer", "string"), ("cert_issued_at", "timestamp"), ("first_seen_at", "timestamp"), ("last_seen_at", "timestamp")):
