@@ -40,7 +40,7 @@ from namelens.llm.common import text_of
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
 #: Rows that the sample is taken from, and excerpts in it, at most.
-TRAIN, EXCERPTS = 24_000, 1_500
+TRAIN, EXCERPTS = 12_000, 1_500
 #: Digit groups and code points that a segment has at most.
 GROUPS, LONGEST = 8, 48
 #: Characters that a token has at least and at most to be a candidate for a secret.
@@ -311,7 +311,9 @@ def fit(docs: DataFrame, rows: int = TRAIN, most: int = EXCERPTS) -> Field:
     """Fit on ``most`` excerpts around digits, signs and long tokens at most, from about ``rows`` rows, both chosen by hash."""
     share = min(1.0, rows / max(1, docs.count()))
     some = docs.select(text_of().alias("text")).where(F.pmod(F.xxhash64(F.lit("pii"), "text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    excerpts = F.regexp_extract_all("text", F.lit(r"(?s)(.{0,40}(?:@|[0-9]{4}|[0-9]\.[0-9]|[A-Za-z0-9+/_-]{20,200}).{0,60})"), 1)
+    # pieces of 160 characters and the rest of the last word, of which those with a digit, sign or token count
+    pieces = F.regexp_extract_all("text", F.lit(r"(?s)(.{1,160}\S{0,60})"), 1)
+    excerpts = F.filter(pieces, lambda p: p.rlike(r"@|[0-9]{4}|[0-9]\.[0-9]|[A-Za-z0-9+/_-]{20}"))
     parts = some.select(F.explode(excerpts).alias("part")).distinct().orderBy(F.xxhash64("part"), "part").limit(most).collect()
     r = random.Random(1)
     return Field().learn([x for row in parts for x in examples_of(row["part"], r)])
