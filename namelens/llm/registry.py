@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namelens.llm import exactdedup, htmlmain, licenses, minhash, mixing, packing, pii, quality, simhash, toxicity
+from namelens.llm import chat, exactdedup, htmlmain, licenses, minhash, mixing, negatives, packing, pii, quality, simhash, spelling, toxicity
 from namelens.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_quality_classifier, op3_minhash_fingerprints, op4_html_main_text, op5_exact_dedup, op6_license_scan, op7_toxic_segments, op8_pii_spans, op9_best_fit_packing, op10_simhash_near_dedup)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
 
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": mixing.ORACLE_SQL, "op5_exact_dedup": exactdedup.ORACLE_SQL}
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_hostile(table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_quality_classifier, op3_minhash_fingerprints, op4_html_main_text, op5_exact_dedup, op6_license_scan, op7_toxic_segments, op8_pii_spans, op9_best_fit_packing, op10_simhash_near_dedup, op11_spelling_variants, op12_hard_negatives, op13_chat_formatting)}
+
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": mixing.ORACLE_SQL, "op5_exact_dedup": exactdedup.ORACLE_SQL, "op12_hard_negatives": negatives.ORACLE_SQL, "op13_chat_formatting": chat.ORACLE_SQL}

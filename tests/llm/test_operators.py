@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from namelens.llm import components, exactdedup, htmlmain, licenses, minhash, mixing, packing, pii, quality, registry, simhash, toxicity
 from namelens.llm.common import SOLID, WORD, span_hashes, word_spans
 
-TABLES = ("documents", "pages", "labels", "benchmark")
+TABLES = ("documents", "pages", "labels", "benchmark", "embeddings", "conversations")
 
 
 def docs_of(spark, texts, sources=None):
@@ -40,7 +40,7 @@ def test_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 # --- text buffers
