@@ -37,6 +37,8 @@ TRAIN = 12_000
 PREFIXES = (3, 4, 5, 7)
 #: Weight of the prior, in documents; lowest z and log-odds of a lexicon entry; cost of any other token.
 PRIOR, Z_LEAST, ODDS_LEAST, DRIFT = 40.0, 2.0, 3.0, 0.15
+#: Toxic documents of the sample that a lexicon entry stands in at least: fewer are mostly names and misspellings of one source.
+LEAST_DOCS = 4
 THRESHOLD = 0.5
 
 
@@ -124,7 +126,8 @@ def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batch):
             h, text = tokens(part.column("text"))
             edges = np.searchsorted(text, np.arange(part.num_rows + 1))
-            sets = [np.unique(h[:, a:b]).view(np.int64) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            sets = [np.unique(h[:, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            sets = [s[s != 0].view(np.int64) for s in sets]  # 0 stands for a prefix that a word doesn't have
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(np.diff(edges)), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "label", "n", "tokens"])
 
 
@@ -138,9 +141,9 @@ def _log_odds(y1, y0, n1: float, n0: float, alone=None) -> tuple[np.ndarray, np.
 
 
 def _odds_columns(y1: Column, y0: Column, n1: float, n0: float) -> tuple[Column, Column]:
-    """The same for columns, all toxic documents counting."""
+    """The same for columns, all toxic documents counting; null for a token that every document has, which tells nothing."""
     prior = F.lit(PRIOR) * (y1 + y0) / F.lit(n1 + n0)
-    odds = lambda y, n: F.log((y + prior) / (F.lit(n + PRIOR) - y - prior))
+    odds = lambda y, n: F.log(F.try_divide(y + prior, F.lit(n + PRIOR) - y - prior))
     delta = odds(y1, n1) - odds(y0, n0)
     return delta, delta / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
 
@@ -153,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
     n1, n0 = float(total[0] or 0), float(total[1] - (total[0] or 0))
     if not n1 or not n0:
         return model
-    counts = sets.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("label").alias("y1"), F.count("*").alias("y")).where("y1 >= 4")
+    counts = sets.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("label").alias("y1"), F.count("*").alias("y")).where((F.col("y1") >= LEAST_DOCS) & (F.col("y") < n1 + n0))
     delta, z = _odds_columns(F.col("y1"), F.col("y") - F.col("y1"), n1, n0)
     # what stronger tokens explain only lowers these two, so no other token can be chosen
     held = checkpoint(counts.withColumns({"delta": delta, "z": z}).where((F.col("delta") >= ODDS_LEAST) & (F.col("z") >= Z_LEAST)))

@@ -744,3 +744,23 @@ def test_connected_components(spark):
             x, y = top(a), top(b)
             root[max(x, y)] = min(x, y)
     assert got == {v: top(v) for v in root}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("name", ["op2_quality_classifier", "op7_toxic_segments", "op8_pii_spans"])
+def test_fitted_queries_run_on_the_small_tables(spark, name, sf):
+    got = registry.QUERIES[name](spark, data_dir(sf))
+    assert got.count() == spark.read.parquet(f"{data_dir(sf)}/documents.parquet").count()
+
+
+def test_words_of_every_text_tell_nothing(spark):
+    r = random.Random(3)
+    rows = [(i, f"common of {'vile scum filth' if i % 5 == 0 else 'nice day sun'} {words_of(r, 12)}", "en", "s", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert 0 not in model.hashes and len(model.hashes)
+    shared, _ = toxicity.tokens(toxicity.pa.array(["common of"]))
+    assert not set(shared.ravel().tolist()) & set(model.hashes.tolist())
+    found = {(r["toxic"], r["predicted"]) for r in toxicity.classify(docs, labels).join(labels, "doc_id").collect()}
+    assert found == {(1, 1), (0, 0)}
