@@ -22,19 +22,30 @@ def allowlist_of(brands: DataFrame, allowlist: DataFrame) -> DataFrame:
     return own.unionByName(allowlist.select("domain")).select(F.trim(F.lower("domain")).alias("domain")).distinct()
 
 
-def ingest(sightings: DataFrame, brands: DataFrame, allowlist: DataFrame, candidates: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(known candidates refreshed, new hidden candidates) after a batch of sightings.
+def matched(sightings: DataFrame, brands: DataFrame, allowlist: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first sightings of matched domains, their best matches) of a batch.
 
     Matching depends on the domain alone, so each distinct domain is matched once.
-    Replaying a batch inserts nothing.
     """
     first = earliest_sightings(sightings)
     matches = matching.best_matches(first.select(F.col("domain").alias("name")), brands, allowlist_of(brands, allowlist))
-    seen = first.join(matches.select("domain"), "domain", "left_semi")
+    return first.join(matches.select("domain"), "domain", "left_semi"), matches
+
+
+def merged(seen: DataFrame, matches: DataFrame, candidates: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(known candidates refreshed, new hidden candidates) after the sightings of ``matched``."""
     fresh = state.insert_if_absent(candidates, matches, "domain")
     return state.refresh_seen(candidates, seen, as_of), state.new_candidates(fresh, seen, as_of)
 
 
+def ingest(sightings: DataFrame, brands: DataFrame, allowlist: DataFrame, candidates: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(known candidates refreshed, new hidden candidates) after a batch of sightings.
+
+    Replaying a batch inserts nothing.
+    """
+    return merged(*matched(sightings, brands, allowlist), candidates, as_of)
+
+
 def counters(sightings: DataFrame, matches: DataFrame, candidates: DataFrame, allowlist: DataFrame) -> DataFrame:
     """One row: names seen, allowlisted (by the name as it came), domains matched, inserted and updated."""
     seen = sightings.agg(F.count("*").alias("seen"))

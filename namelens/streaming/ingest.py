@@ -1,19 +1,21 @@
 """Continuous screening: each micro-batch of sightings is merged into the candidates.
 
-The state is a folder of snapshots, one a batch; a batch that runs again after a
-failure reads the snapshot before its own number and writes the same one, so
-replays change nothing.
+The state is an incremental snapshot (``snapshots``) by domain: a batch reads and writes only
+the buckets of the domains that it matches.  A batch that runs again after a failure
+starts from the state before its own number and writes the same one, so replays change nothing.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from namelens.plans import screening
+from namelens.streaming.snapshots import BUCKETS, Snapshots
+
+#: The setting with which Spark merges sessions before it shuffles them.
+MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 CANDIDATE = (
     "id string, domain string, unicode_domain string, matched_brand_id string, matched_term string, match_kind string, edit_distance int, homoglyph_flag boolean, "
@@ -23,34 +25,38 @@ CANDIDATE = (
 )
 
 
-def _batches(spark: SparkSession, folder: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    found = [re.fullmatch(r"batch=(\d+)", s.getPath().getName()) for s in files.listStatus(path)]
-    done = lambda n: files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={n}/_SUCCESS"))
-    return sorted(int(m[1]) for m in found if m and done(int(m[1])))
+def candidates_in(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> Snapshots:
+    """The snapshots of candidates in a folder."""
+    return Snapshots(spark, folder, CANDIDATE, "domain", buckets)
+
+
+def merge_batch(state: Snapshots, number: int, batch: DataFrame, brands: DataFrame, allowlist: DataFrame, now) -> set[int]:
+    """Merge a batch of sightings as batch ``number`` of the state; the buckets that it wrote.
+
+    The matches of the batch are held while it runs, since they say which buckets to read.
+    """
+    seen, matches = (df.persist() for df in screening.matched(batch, brands, allowlist))
 
+    def merge(old: DataFrame) -> DataFrame:
+        known, new = screening.merged(seen, matches, old, now)
+        return known.unionByName(new)
 
-def snapshot(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """The newest snapshot, or the newest one before a batch; an empty table at the start."""
-    held = [n for n in _batches(spark, folder) if before is None or n < before]
-    return spark.read.schema(CANDIDATE).parquet(f"{folder}/batch={held[-1]}") if held else spark.createDataFrame([], CANDIDATE)
+    try:
+        return state.apply(number, matches.select("domain"), merge)
+    finally:
+        matches.unpersist()
+        seen.unpersist()
 
 
-def start(sightings: DataFrame, brands: DataFrame, allowlist: DataFrame, folder: str, checkpoint: str, as_of: str | None = None, available_now: bool = True) -> StreamingQuery:
+def start(sightings: DataFrame, brands: DataFrame, allowlist: DataFrame, folder: str, checkpoint: str, as_of: str | None = None, available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
     """Start a query that merges a stream of sightings (ord, name, issuer, not_before, logged_at, source).
 
     as_of: a fixed time, for tests; else each batch has the time at which it runs.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         now = F.to_timestamp(F.lit(as_of)) if as_of else F.current_timestamp()
-        known, new = screening.ingest(batch, brands, allowlist, snapshot(spark, folder, number), now)
-        rows = known.unionByName(new)
-        rows.select(*[F.col(f.split()[0]) for f in re.split(r", (?=\w+ (?:string|int|boolean|timestamp|struct))", CANDIDATE)]).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        merge_batch(candidates_in(batch.sparkSession, folder, buckets), number, batch, brands, allowlist, now)
 
     writer = sightings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -61,7 +67,21 @@ def distinct_names(sightings: DataFrame, delay: str = "6 hours") -> DataFrame:
     return sightings.withWatermark("logged_at", delay).dropDuplicatesWithinWatermark(["name"])
 
 
-def counts_by_window(candidates: DataFrame, width: str = "1 hour", delay: str = "6 hours") -> DataFrame:
-    """New candidates by window of their first sighting, for a batch or a stream."""
-    rows = candidates.withWatermark("first_seen_at", delay) if candidates.isStreaming else candidates
-    return rows.groupBy(F.window("first_seen_at", width)).count()
+def _timed(rows: DataFrame, at: str, delay: str) -> DataFrame:
+    """A stream waits for rows so long, and leaves out those that come later; a batch takes all."""
+    return rows.withWatermark(at, delay) if rows.isStreaming else rows
+
+
+def counts_by_window(candidates: DataFrame, width: str = "1 hour", delay: str = "6 hours", slide: str | None = None) -> DataFrame:
+    """New candidates by window of their first sighting, for a batch or a stream; with ``slide`` windows overlap."""
+    return _timed(candidates, "first_seen_at", delay).groupBy(F.window("first_seen_at", width, slide)).count()
+
+
+def sessions(rows: DataFrame, key: str, at: str, gap: str = "30 minutes", delay: str = "6 hours") -> DataFrame:
+    """key, started, last_at, n of each session: rows of a key that are less than a gap apart, for a batch or a stream.
+
+    Rows without a time are left out; a null key is a key.  Spark merges the sessions of a task before the
+    shuffle (MERGE_LOCALLY), so a hot key sends its sessions there and not its rows.
+    """
+    found = _timed(rows, at, delay).where(F.col(at).isNotNull()).groupBy(key, F.session_window(at, gap).alias("session")).agg(F.max(at).alias("last_at"), F.count("*").alias("n"))
+    return found.select(key, F.col("session.start").alias("started"), "last_at", "n")

@@ -180,18 +180,6 @@ def test_recheck_and_counters(spark):
     assert tuple(screening.recheck_counters(due, after).first()) == (1, 1, 1, 0, 0)
 
 
-def test_stream_equals_batch(spark, brands, allowlist, tmp_path):
-    r = random.Random(2)
-    rows = [(i, f"{r.choice(['hdfcbank', 'paytm', 'hdfcbnak', 'zzz'])}-{r.randint(0, 5)}.com", None, "2025-05-01") for i in range(60)]
-    for k in range(3):
-        sightings(spark, rows[20 * k : 20 * k + 20]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(SIGHTING).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    ingest.start(source, brands, allowlist, str(tmp_path / "state"), str(tmp_path / "cp"), AS_OF).awaitTermination()
-    streamed = {r["domain"]: r["matched_term"] for r in ingest.snapshot(spark, str(tmp_path / "state")).collect()}
-    _, new = screening.ingest(sightings(spark, rows), brands, allowlist, spark.createDataFrame([], ingest.CANDIDATE), now())
-    assert streamed and streamed == {r["domain"]: r["matched_term"] for r in new.collect()}
-
-
 def test_relative_time(spark):
     df = spark.createDataFrame([("2025-06-01 11:59:30",), ("2025-06-01 11:58:59",), ("2025-06-01 10:00:00",), ("2025-05-30 12:00:00",), ("2025-03-01 12:00:00",), ("2023-01-01 12:00:00",), (None,), ("2026-01-01 00:00:00",)], "t string")
     assert [r["x"] for r in df.select(views.relative_time(F.col("t").cast("timestamp"), now()).alias("x")).collect()] == ["just now", "1 minute ago", "2 hours ago", "2 days ago", "3 months ago", "2 years ago", "unknown", "just now"]
