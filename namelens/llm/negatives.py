@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from namelens.llm.common import checkpoint
 
 #: Rows and anchors of a block, dimensions of a chunk, row blocks of a grid cell (about).
-ROWS, ANCHORS, DIMS, GROUP = 1024, 512, 32, 8
+ROWS, ANCHORS, DIMS, GROUP = 1024, 128, 32, 8
 #: Positives of an anchor, negatives of a positive, and the window of their scores in percent of the positive's.
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 5, 80, 100
 #: Components are multiplied by SCALE and rounded down; LIMIT bounds the result.
@@ -68,6 +68,8 @@ def _panels(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
     dense = np.zeros((n, width), np.int32)
     dense[np.arange(width) < np.diff(np.asarray(vectors.offsets))[:, None]] = np.asarray(vectors.flatten())
     fixed = {"block": int(head["pos"].min()), "low": int(head["label"].min()), "high": int(head["label"].max()), "n": n}
+    if not dense.size or max(-int(dense.min()), int(dense.max())) < 1 << 15:
+        dense = dense.astype(np.int16)  # half the bytes to shuffle
     for chunk in range(width // DIMS):
         part = np.ascontiguousarray(dense[:, chunk * DIMS : (chunk + 1) * DIMS])
         row = fixed | {"chunk": chunk, "head": head.tobytes() if chunk == 0 else b"", "panel": part.tobytes()}
@@ -96,20 +98,25 @@ def blocks(rows: DataFrame, size: int, width: int) -> DataFrame:
     return checkpoint(dealt.mapInArrow(pack, _PANEL))
 
 
+def _panel(row: dict) -> np.ndarray:
+    return np.frombuffer(row["panel"], np.int16 if len(row["panel"]) == 2 * row["n"] * DIMS else np.int32).reshape(row["n"], DIMS)
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The int64 product of a panel of anchors and one of rows; by floating point where that is exact."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
     most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * DIMS
     if most < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    return a @ b.T
 
 
 def _multiplier(equal: bool):
     def multiply(anchors: pa.Table, rows: pa.Table) -> pa.Table:
         out: dict[str, list] = {c.split()[0]: [] for c in _TILE.split(", ")}
-        held = [(r, np.frombuffer(r["panel"], np.int32).reshape(r["n"], DIMS)) for r in rows.to_pylist()]
+        held = [(r, _panel(r)) for r in rows.to_pylist()]
         for a in anchors.to_pylist():
-            left = np.frombuffer(a["panel"], np.int32).reshape(a["n"], DIMS)
+            left = _panel(a)
             for b, right in held:
                 overlap = a["low"] <= b["high"] and b["low"] <= a["high"]
                 one = a["low"] == a["high"] == b["low"] == b["high"]
