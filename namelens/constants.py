@@ -101,3 +101,33 @@ SCRIPTS = {
     "Armenian": ((0x0530, 0x058F),), "Hebrew": ((0x0590, 0x05FF),), "Arabic": ((0x0600, 0x06FF),), "Devanagari": ((0x0900, 0x097F),),
     "Bengali": ((0x0980, 0x09FF),), "Han": ((0x4E00, 0x9FFF),), "Fullwidth": ((0xFF00, 0xFFEF),),
 }
+
+# --- fixed values: what signals say to a reader; {} is filled in by operators.scoring ---
+LABELS = {
+    "name.homoglyphNonAscii": "Uses look-alike characters from another alphabet",
+    "name.exactToken": 'Contains the exact brand name "{}"',
+    "name.exactToken/keyword_combo": 'Contains the brand name "{}"',
+    "name.editDistance1": '{} character change away from "{}"',
+    "name.editDistance2": '{} character changes away from "{}"',
+    "name.substring": 'Contains "{}" inside a longer word',
+    "name.phishingKeyword": "Combined with words used in credential-theft pages",
+    "name.mixedScript": "Mixes characters from more than one alphabet",
+    "infrastructure.resolves": "The domain is live and resolves to a server",
+    "infrastructure.hasMx": "Configured to send and receive email",
+    "registration.young": "Registered {} day{} ago",
+    "registration.ageOver1Year": "Registered over {} year{} ago, which is unusual for phishing infrastructure",
+    "content.passwordField": "The page asks visitors for a password or PIN",
+    "content.brandOnPage": "The page uses the brand's name ({})",
+    "content.passwordAndBrand": "It both impersonates the brand and asks for credentials",
+    "content.formPostsOffsite": "A form on the page sends what you type to a different website",
+    "content.looksParked": "The page is parked or for sale rather than a working site",
+    "certificate.certSameDayAsRegistration": "A TLS certificate was issued the same day the domain was registered",
+    "certificate.certWithin3Days": "A TLS certificate was issued {} day{} after registration",
+    "certificate.freeDvIssuer": "The certificate came from a free, fully automated issuer",
+    "hosting.knownAbusedAsn": "Hosted on a network with a history of abuse",
+}
+GATE_NOTES = {
+    "dead": "Held below high confidence: the domain does not currently resolve, so nobody can be reaching it yet.",
+    "few": "Held below high confidence: only {} independent kind{} of evidence ({}). High confidence needs at least {}.",
+    "weak": "Held below high confidence: nothing here is conclusive on its own. Queued for human review.",
+}

@@ -1,7 +1,8 @@
-"""Risk scores: signals with their points, the total, gates, tiers and states.
+"""Risk scores: signals with their points, labels and details, the total, gates, tiers and states.
 
 One projection of built-in expressions.  Input columns are named as in the
-candidates and verifications tables (``INPUT``); a null counts as not seen.
+candidates and verifications tables (``INPUT``); a null counts as not seen.  Those of
+``TOLD`` are only spoken of in labels and details, and may be missing.
 """
 
 from __future__ import annotations
@@ -11,12 +12,17 @@ from pyspark.sql import functions as F
 
 from namelens import constants as C
 from namelens.functions import domains
+from namelens.operators.ranking import free
 
 INPUT = (
     "domain", "match_kind", "edit_distance", "mixed_script", "resolves", "has_mx", "domain_age_days", "domain_created_at", "cert_issued_at", "cert_issuer",
     "has_password_field", "brand_terms_on_page", "form_posts_offsite", "looks_parked", "asn_reputation_score",
 )
-SIGNAL = "struct<key:string,points:int,category:string>"
+TOLD = {
+    "matched_term": "string", "brand_name": "string", "homoglyph_detail": "struct<substitutions:array<struct<from:string,to:string,codepoint:string>>,scripts:array<string>>",
+    "a_records": "array<string>", "asn": "string", "asn_org": "string",
+}
+SIGNAL = "struct<key:string,label:string,points:int,category:string,detail:string>"
 
 
 def days_between(later: Column, earlier: Column) -> Column:
@@ -28,13 +34,8 @@ def is_free_issuer(issuer: Column) -> Column:
     return domains.let(F.lower(issuer), lambda low: F.exists(domains.lits(C.FREE_ISSUERS), lambda name: F.contains(low, name)))
 
 
-def _signal(key: str, when: Column) -> Column:
-    category = "mitigating" if key in C.MITIGATING else key.partition(".")[0]
-    return F.when(when, F.struct(F.lit(key).alias("key"), F.lit(C.WEIGHTS[key]).alias("points"), F.lit(category).alias("category")))
-
-
-def signals() -> Column:
-    """The signals that a row shows, in fixed order; those without points are left out."""
+def _shown() -> list[tuple[str, Column]]:
+    """(key, condition) of every signal, in fixed order."""
     kind, age = F.col("match_kind"), F.col("domain_age_days")
     gap = days_between(F.col("cert_issued_at"), F.col("domain_created_at"))
     brand = F.size(F.coalesce("brand_terms_on_page", F.array().cast("array<string>"))) > 0
@@ -64,7 +65,69 @@ def signals() -> Column:
         ("certificate.freeDvIssuer", is_free_issuer(F.col("cert_issuer"))),
         ("hosting.knownAbusedAsn", F.col("asn_reputation_score") > 50),
     ]
-    return F.array_compact(F.array(*[_signal(k, c) for k, c in every if C.WEIGHTS[k]]))
+    return [(key, shown) for key, shown in every if C.WEIGHTS[key]]
+
+
+def _category(key: str) -> str:
+    return "mitigating" if key in C.MITIGATING else key.partition(".")[0]
+
+
+def filled(pattern: str, *values: Column) -> Column:
+    """The pattern with its places filled in; a missing value leaves its place empty."""
+    pieces = pattern.split("{}")
+    parts = [x for piece, value in zip(pieces, (*values, None), strict=True) for x in ((F.lit(piece),) if value is None else (F.lit(piece), F.coalesce(value.cast("string"), F.lit(""))))]
+    return F.concat(*parts)
+
+
+def _plural(n: Column) -> Column:
+    return F.when(n == 1, "").otherwise("s")
+
+
+def looks_like(substitutions: Column) -> Column:
+    """The changed characters beyond ASCII and what they look like, as one line; null if nothing was changed."""
+    beyond = F.filter(substitutions, lambda s: domains.has_non_ascii(s["from"]))
+    line = F.array_join(F.transform(beyond, lambda s: F.concat(s["from"], F.lit(" ("), s["codepoint"], F.lit(') looks like "'), s["to"], F.lit('"'))), "; ")
+    return F.when(F.size(substitutions) > 0, line)
+
+
+def _spoken(told: dict[str, Column]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """(labels, details) by key."""
+    age, gap = F.col("domain_age_days"), days_between(F.col("cert_issued_at"), F.col("domain_created_at"))
+    term, fold = told["matched_term"], told["homoglyph_detail"]
+    labels = {key: F.lit(text) for key, text in C.LABELS.items() if "{}" not in text}
+    labels |= {
+        "name.exactToken": F.when(F.col("match_kind") == "keyword_combo", filled(C.LABELS["name.exactToken/keyword_combo"], term)).otherwise(filled(C.LABELS["name.exactToken"], term)),
+        "name.editDistance1": filled(C.LABELS["name.editDistance1"], F.col("edit_distance"), term), "name.editDistance2": filled(C.LABELS["name.editDistance2"], F.col("edit_distance"), term),
+        "name.substring": filled(C.LABELS["name.substring"], term), "content.brandOnPage": filled(C.LABELS["content.brandOnPage"], told["brand_name"]),
+        "certificate.certWithin3Days": filled(C.LABELS["certificate.certWithin3Days"], gap, _plural(gap)),
+        "registration.ageOver1Year": filled(C.LABELS["registration.ageOver1Year"], F.floor(age / 365), F.when(age >= 730, "s").otherwise("")),
+    }
+    labels |= {key: filled(C.LABELS["registration.young"], age, _plural(age)) for key in C.WEIGHTS if key.startswith("registration.ageUnder")}
+    details = {
+        "name.homoglyphNonAscii": looks_like(fold["substitutions"]), "name.phishingKeyword": F.array_join(domains.keyword_hits(domains.tokenize(F.col("domain"))), ", "),
+        "name.mixedScript": F.array_join(fold["scripts"], " + "), "infrastructure.resolves": F.array_join(F.slice(told["a_records"], 1, 3), ", "),
+        "content.brandOnPage": F.array_join("brand_terms_on_page", ", "), "certificate.freeDvIssuer": F.col("cert_issuer"), "hosting.knownAbusedAsn": F.coalesce(told["asn_org"], told["asn"]),
+    }
+    return labels, details
+
+
+def evidence() -> Column:
+    """Key, points and category of the signals that a row shows: all that its score depends on."""
+    one = lambda key, shown: F.when(shown, F.struct(F.lit(key).alias("key"), F.lit(C.WEIGHTS[key]).alias("points"), F.lit(_category(key)).alias("category")))
+    return F.array_compact(F.array(*[one(key, shown) for key, shown in _shown()]))
+
+
+def signals(rows: DataFrame) -> Column:
+    """The signals (SIGNAL) that a row shows, in fixed order; those without points are left out."""
+    told = {name: F.col(name) if name in rows.columns else F.lit(None).cast(kind) for name, kind in TOLD.items()}
+    if "homoglyph_detail" in rows.columns:  # callers may hold less of it
+        held = rows.schema["homoglyph_detail"].dataType.fieldNames()
+        wanted = {"substitutions": "array<struct<from:string,to:string,codepoint:string>>", "scripts": "array<string>"}
+        told["homoglyph_detail"] = F.struct(*[(told["homoglyph_detail"][n] if n in held else F.lit(None)).cast(kind).alias(n) for n, kind in wanted.items()])
+    labels, details = _spoken(told)
+    none = F.lit(None).cast("string")
+    one = lambda key, shown: F.when(shown, F.struct(F.lit(key).alias("key"), labels[key].alias("label"), F.lit(C.WEIGHTS[key]).alias("points"), F.lit(_category(key)).alias("category"), details.get(key, none).alias("detail")).cast(SIGNAL))
+    return F.array_compact(F.array(*[one(key, shown) for key, shown in _shown()]))
 
 
 def total(found: Column) -> Column:
@@ -85,9 +148,10 @@ def gated(score: Column, resolves: Column, found_categories: Column, keys: Colum
     """(tier, note): a high tier falls to medium unless three conditions hold; no gate raises a tier."""
     high = tier(score) == "high"
     dead = ~F.coalesce(resolves, F.lit(False))
-    few = F.size(found_categories) < C.MIN_CATEGORIES
+    kinds = F.size(found_categories)
     weak = ~F.arrays_overlap(keys, domains.lits(C.STRONG_SIGNALS))
-    note = F.when(high & dead, "does not resolve").when(high & few, "one kind of evidence").when(high & weak, "no strong signal")
+    few = filled(C.GATE_NOTES["few"], kinds, _plural(kinds), F.array_join(found_categories, ", "), F.lit(C.MIN_CATEGORIES))
+    note = F.when(high & dead, C.GATE_NOTES["dead"]).when(high & (kinds < C.MIN_CATEGORIES), few).when(high & weak, C.GATE_NOTES["weak"])
     return F.when(note.isNotNull(), "medium").otherwise(tier(score)), note
 
 
@@ -97,12 +161,17 @@ def publish_state(tier_: Column, state: Column) -> Column:
 
 
 def scored(rows: DataFrame, notes: bool = False) -> DataFrame:
-    """rows with signals, score, categories, tier and gate_note; with notes the gate's note is a signal as well."""
-    rows = rows.withColumn("signals", signals())
-    rows = rows.withColumns({"score": total(F.col("signals")), "categories": categories(F.col("signals"))})
-    found, note = gated(F.col("score"), F.col("resolves"), F.col("categories"), F.transform("signals", lambda s: s["key"]))
-    rows = rows.withColumns({"tier": found, "gate_note": note})
+    """rows with signals, score, categories, tier and gate_note; with notes the gate's note is a signal as well, its text the label.
+
+    The score follows from ``evidence``, so that labels are made only where signals are asked for.
+    """
+    found = free(rows, "evidence")
+    spoken = signals(rows)
+    out = rows.withColumn(found, evidence())
+    out = out.withColumns({"score": total(F.col(found)), "categories": categories(F.col(found))})
+    tier_, note = gated(F.col("score"), F.col("resolves"), F.col("categories"), F.transform(F.filter(found, lambda s: s["points"] > 0), lambda s: s["key"]))
+    out = out.withColumns({"tier": tier_, "gate_note": note})
     if notes:
-        gate = F.struct(F.lit("gate.note").alias("key"), F.lit(0).alias("points"), F.lit("mitigating").alias("category"))
-        rows = rows.withColumn("signals", F.when(F.col("gate_note").isNotNull(), F.concat("signals", F.array(gate))).otherwise(F.col("signals")))
-    return rows
+        gate = F.struct(F.lit("gate.note").alias("key"), F.col("gate_note").alias("label"), F.lit(0).alias("points"), F.lit("mitigating").alias("category"), F.lit(None).cast("string").alias("detail")).cast(SIGNAL)
+        spoken = F.when(F.col("gate_note").isNotNull(), F.concat(spoken, F.array(gate))).otherwise(spoken)
+    return out.withColumn("signals", spoken).drop(found)

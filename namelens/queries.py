@@ -374,8 +374,13 @@ def cert_gap_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", gap.alias("gap"), F.when(gap <= 0, "same day").when(gap <= 3, "three days").otherwise("later").alias("bucket"))
 
 
-def scored_lines(spark: SparkSession, sf_dir: str, notes: bool = False) -> DataFrame:
-    """Line items as verified candidates, with every signal on some of them."""
+def scored_lines(spark: SparkSession, sf_dir: str, notes: bool = False, told: bool = False) -> DataFrame:
+    """Line items as verified candidates, with every signal on some of them; told: with what labels and details speak of."""
+    more = [
+        F.col("l_partkey").cast("string").alias("matched_term"), F.concat(F.lit("Brand "), F.col("l_suppkey").cast("string")).alias("brand_name"),
+        F.array(F.concat(F.lit("10.0.0."), F.col("l_linenumber").cast("string")), *[F.lit(f"10.{i}.0.1") for i in (1, 2, 3)]).alias("a_records"),
+        F.struct(F.array(*[F.struct(F.lit(c).alias("from"), F.lit(to).alias("to"), F.lit(f"U+{ord(c):04X}").alias("codepoint")) for c, to in (("0", "o"), ("\u0435", "e"))]).alias("substitutions"), domains.lits(["Latin", "Cyrillic"]).alias("scripts")).alias("homoglyph_detail"),
+    ] if told else []
     rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     kinds = list(C.KIND_RANK)
     rows = rows.select(
@@ -385,7 +390,7 @@ def scored_lines(spark: SparkSession, sf_dir: str, notes: bool = False) -> DataF
         F.when(F.col("l_partkey") % 11 != 0, (F.col("l_orderkey") % 400).cast("int")).alias("domain_age_days"), F.col("o_orderdate").cast("timestamp").alias("domain_created_at"),
         F.col("l_shipdate").cast("timestamp").alias("cert_issued_at"), F.when(F.col("l_suppkey") % 4 == 0, "C=US, O=Let's Encrypt").alias("cert_issuer"),
         (F.col("l_quantity") > 25).alias("has_password_field"), F.when(F.col("l_discount") > 0.05, domains.lits(["brand"])).alias("brand_terms_on_page"),
-        (F.col("l_tax") > 0.06).alias("form_posts_offsite"), (F.col("l_quantity") < 5).alias("looks_parked"), F.lit(None).cast("int").alias("asn_reputation_score"),
+        (F.col("l_tax") > 0.06).alias("form_posts_offsite"), (F.col("l_quantity") < 5).alias("looks_parked"), F.lit(None).cast("int").alias("asn_reputation_score"), *more,
     )
     return scoring.scored(rows, notes)
 

@@ -9,7 +9,7 @@ from namelens import constants as C
 from namelens.functions import content, domains, folding
 from namelens.operators import matching, ranking, state
 from namelens.plans import jobs, screening, views
-from namelens.queries import _POINTS, AS_OF, CANDIDATES, EVENTS_AS_OF, GAP, NAMES, SCORED, at, candidates_of_orders, names_of, query, read, scored_lines, sql_list
+from namelens.queries import _AGE, _KIND, _POINTS, AS_OF, CANDIDATES, EVENTS_AS_OF, GAP, NAMES, SCORED, at, candidates_of_orders, names_of, query, read, scored_lines, sql_list
 from namelens.sources import certificates, lookups, watchlist
 
 # --- sources
@@ -155,7 +155,9 @@ def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scores, state and jobs
 
 _SIGNALS = [e for v in _POINTS.values() for e in v]
-_NOTE = "CASE WHEN score >= 70 AND l_linestatus <> 'O' THEN 'does not resolve' WHEN score >= 70 AND n_categories < 2 THEN 'one kind of evidence' WHEN score >= 70 AND NOT (l_quantity > 25 OR kind = 'homoglyph') THEN 'no strong signal' END"
+_KINDS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN p_{k} > 0 THEN '{k}' END" for k in _POINTS if k != "mitigating") + "], lambda x: x IS NOT NULL), ', ')"
+_FEW = " || ".join(x for piece, value in zip(C.GATE_NOTES["few"].split("{}"), ("n_categories", "CASE WHEN n_categories = 1 THEN '' ELSE 's' END", _KINDS, str(C.MIN_CATEGORIES), ""), strict=True) for x in (f"'{piece}'", value) if x)
+_NOTE = f"CASE WHEN score >= 70 AND l_linestatus <> 'O' THEN '{C.GATE_NOTES['dead']}' WHEN score >= 70 AND n_categories < 2 THEN {_FEW} WHEN score >= 70 AND NOT (l_quantity > 25 OR kind = 'homoglyph') THEN '{C.GATE_NOTES['weak']}' END"
 
 
 @query(f"SELECT l_orderkey, l_linenumber, CAST({' + '.join(f'(({e}) > 0)::INT' for e in _SIGNALS)} AS INTEGER) AS positive, CAST({' + '.join(f'(({e}) < 0)::INT' for e in _SIGNALS)} AS INTEGER) AS mitigating FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
@@ -163,10 +165,35 @@ def signal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_lines(spark, sf_dir).select("l_orderkey", "l_linenumber", views.split_signals(F.col("signals")).alias("s")).select("l_orderkey", "l_linenumber", F.size("s.positive").alias("positive"), F.size("s.mitigating").alias("mitigating"))
 
 
-@query(f"SELECT l_orderkey, l_linenumber, {_NOTE} AS note, CAST({_NOTE} IS NOT NULL AS INTEGER) AS notes FROM {SCORED}")
+@query(f"SELECT l_orderkey, l_linenumber, {_NOTE} AS note, {_NOTE} AS label, CAST({_NOTE} IS NOT NULL AS INTEGER) AS notes FROM {SCORED}")
 def gate_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored_lines(spark, sf_dir, notes=True)
-    return rows.select("l_orderkey", "l_linenumber", F.col("gate_note").alias("note"), F.size(F.filter("signals", lambda s: s["key"] == "gate.note")).alias("notes"))
+    """The note of a gate, and the label of the signal that carries it."""
+    rows = scored_lines(spark, sf_dir, notes=True).withColumn("said", F.filter("signals", lambda s: s["key"] == "gate.note"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("gate_note").alias("note"), F.get("said", F.lit(0))["label"].alias("label"), F.size("said").alias("notes"))
+
+
+_DAYS = lambda n: f"{n} || ' day' || CASE WHEN {n} = 1 THEN '' ELSE 's' END"
+_TEXTS = {
+    "name": f"""CASE {_KIND} WHEN 'homoglyph' THEN 'Uses look-alike characters from another alphabet|e (U+0435) looks like "e"' WHEN 'exact_token' THEN 'Contains the exact brand name "' || l_partkey || '"|'
+WHEN 'keyword_combo' THEN 'Contains the brand name "' || l_partkey || '"|' WHEN 'substring' THEN 'Contains "' || l_partkey || '" inside a longer word|'
+ELSE CASE WHEN l_suppkey % 2 = 0 THEN '1 character change' ELSE '2 character changes' END || ' away from "' || l_partkey || '"|' END""".replace("e (U+0435)", "\u0435 (U+0435)"),
+    "words": "CASE WHEN l_partkey % 3 = 0 THEN 'Combined with words used in credential-theft pages|login' END",
+    "scripts": f"CASE WHEN l_suppkey % 7 = 0 AND {_KIND} <> 'homoglyph' THEN 'Mixes characters from more than one alphabet|Latin + Cyrillic' END",
+    "live": "CASE WHEN l_linestatus = 'O' THEN 'The domain is live and resolves to a server|10.0.0.' || l_linenumber || ', 10.1.0.1, 10.2.0.1' END", "mail": "CASE WHEN l_returnflag = 'R' THEN 'Configured to send and receive email|' END",
+    "age": f"CASE WHEN {_AGE} < 90 THEN 'Registered ' || {_DAYS(f'({_AGE})')} || ' ago|' WHEN {_AGE} > 365 THEN 'Registered over 1 year ago, which is unusual for phishing infrastructure|' END",
+    "password": "CASE WHEN l_quantity > 25 THEN 'The page asks visitors for a password or PIN|' END", "brand": "CASE WHEN l_discount > 0.05 THEN 'The page uses the brand''s name (Brand ' || l_suppkey || ')|brand' END",
+    "both": "CASE WHEN l_quantity > 25 AND l_discount > 0.05 THEN 'It both impersonates the brand and asks for credentials|' END", "offsite": "CASE WHEN l_tax > 0.06 THEN 'A form on the page sends what you type to a different website|' END",
+    "parked": "CASE WHEN l_quantity < 5 THEN 'The page is parked or for sale rather than a working site|' END",
+    "certificate": f"CASE WHEN {GAP} <= 0 THEN 'A TLS certificate was issued the same day the domain was registered|' WHEN {GAP} <= 3 THEN 'A TLS certificate was issued ' || {_DAYS(GAP)} || ' after registration|' END",
+    "issuer": "CASE WHEN l_suppkey % 4 = 0 THEN 'The certificate came from a free, fully automated issuer|C=US, O=Let''s Encrypt' END",
+}
+
+
+@query(f"SELECT l_orderkey, l_linenumber, array_to_string(list_filter([{', '.join(_TEXTS.values())}], lambda x: x IS NOT NULL), chr(10)) AS told FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def signal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label and detail of every signal, as lines."""
+    rows = scored_lines(spark, sf_dir, told=True)
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(F.transform("signals", lambda s: F.concat(s["label"], F.lit("|"), F.coalesce(s["detail"], F.lit("")))), "\n").alias("told"))
 
 
 @query("SELECT c_custkey AS id, coalesce(n, 0) + 1 AS times_seen, o IS NOT NULL AS seen, CASE WHEN o IS NOT NULL THEN CASE WHEN o % 2 = 0 THEN 'issuer' || o END ELSE 'old' END AS issuer FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o, 1 AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")

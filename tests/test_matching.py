@@ -132,7 +132,8 @@ def test_gates(spark):
     rows = spark.createDataFrame([(80, False, ["name", "content"], ["content.passwordField"]), (80, True, ["content"], ["content.passwordField"]), (80, True, ["name", "content"], ["x"]), (80, True, ["name", "content"], ["content.passwordField"]), (50, True, ["name"], ["x"]), (10, True, [], ["x"])], "s int, r boolean, c array<string>, k array<string>")
     tier, note = scoring.gated(F.col("s"), F.col("r"), F.col("c"), F.col("k"))
     got = [(r["t"], r["n"]) for r in rows.select(tier.alias("t"), note.alias("n")).collect()]
-    assert got == [("medium", "does not resolve"), ("medium", "one kind of evidence"), ("medium", "no strong signal"), ("high", None), ("medium", None), ("low", None)]
+    few = "Held below high confidence: only 1 independent kind of evidence (content). High confidence needs at least 2."
+    assert got == [("medium", C.GATE_NOTES["dead"]), ("medium", few), ("medium", C.GATE_NOTES["weak"]), ("high", None), ("medium", None), ("low", None)]
     states = rows.select(scoring.publish_state(F.lit("high"), F.lit("cleared")).alias("x")).first()["x"]
     assert states == "cleared"
 
