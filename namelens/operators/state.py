@@ -24,9 +24,10 @@ def insert_if_absent(state: DataFrame, delta: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(state: DataFrame, delta: DataFrame, key: str) -> DataFrame:
-    """The state after delta (a row a key at most): its rows replace or join the old ones."""
-    old, new = state.alias("o"), delta.alias("n")
-    has_new = F.col(f"n.{key}").isNotNull()
+    """The state after delta (a row a key at most): its rows replace or join the old ones; rows of it without a key join them too."""
+    new_row = free(delta, "new_row")
+    old, new = state.alias("o"), delta.withColumn(new_row, F.lit(True)).alias("n")
+    has_new = F.col(f"n.{new_row}").isNotNull()
     columns = [F.when(has_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) if c in delta.columns else F.col(f"o.{c}") for c in state.columns]
     return old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(*columns)
 
@@ -38,10 +39,10 @@ def accumulate(state: DataFrame, delta: DataFrame, key: str, counters: list[str]
     return rows.select(*[(F.coalesce(c, F.lit(0)) + F.coalesce(names[c], F.lit(0))).alias(c) if c in names else F.col(c) for c in state.columns])
 
 
-def refresh_seen(candidates: DataFrame, sightings: DataFrame, as_of: Column, keep_known_issuer: bool = False) -> DataFrame:
+def refresh_seen(candidates: DataFrame, sightings: DataFrame, as_of: Column, keep_known_issuer: bool = False, mark: str | None = None) -> DataFrame:
     """Candidates with the certificate of a new sighting (domain, issuer, logged_at; a row a domain at most).
 
-    The issuer is overwritten even by null, unless ``keep_known_issuer`` is set.
+    The issuer is overwritten even by null, unless ``keep_known_issuer`` is set.  mark: a column that says which were seen.
     """
     new = free(candidates, "seen_now")
     seen = sightings.select("domain", F.struct("issuer", "logged_at").alias(new))
@@ -50,7 +51,7 @@ def refresh_seen(candidates: DataFrame, sightings: DataFrame, as_of: Column, kee
     return candidates.join(seen, "domain", "left").withColumns({
         "last_seen_at": now("last_seen_at", as_of), "times_seen": now("times_seen", F.col("times_seen") + 1),
         "cert_issuer": now("cert_issuer", issuer), "cert_issued_at": now("cert_issued_at", F.col(new)["logged_at"]),
-    }).select(*candidates.columns)
+    }).select(*candidates.columns, *([F.col(new).isNotNull().alias(mark)] if mark else []))
 
 
 def new_candidates(matches: DataFrame, sightings: DataFrame, as_of: Column) -> DataFrame:

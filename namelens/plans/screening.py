@@ -22,16 +22,20 @@ def allowlist_of(brands: DataFrame, allowlist: DataFrame) -> DataFrame:
     return own.unionByName(allowlist.select("domain")).select(F.trim(F.lower("domain")).alias("domain")).distinct()
 
 
-def matched(sightings: DataFrame, brands: DataFrame, allowlist: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(first sightings of matched domains, their best matches) of a batch.
+def matched_domains(first: DataFrame, brands: DataFrame, allowlist: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the first sightings of matched domains, their best matches).
 
     Matching depends on the domain alone, so each distinct domain is matched once.
     """
-    first = earliest_sightings(sightings)
     matches = matching.best_matches(first.select(F.col("domain").alias("name")), brands, allowlist_of(brands, allowlist))
     return first.join(matches.select("domain"), "domain", "left_semi"), matches
 
 
+def matched(sightings: DataFrame, brands: DataFrame, allowlist: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first sightings of matched domains, their best matches) of a batch."""
+    return matched_domains(earliest_sightings(sightings), brands, allowlist)
+
+
 def merged(seen: DataFrame, matches: DataFrame, candidates: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(known candidates refreshed, new hidden candidates) after the sightings of ``matched``."""
     fresh = state.insert_if_absent(candidates, matches, "domain")
@@ -62,10 +66,15 @@ def with_brands(due: DataFrame, brands: DataFrame) -> tuple[DataFrame, DataFrame
     return due.join(known, "matched_brand_id", "left_semi").select(*due.columns), lost
 
 
-def recheck(due: DataFrame, verifications: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(candidates after the check, rows for risk_scores).  verifications: a row a candidate of this run."""
-    checked = verifications.select(F.col("candidate_id").alias("id"), *([F.col("id").alias("verification_id")] if "id" in verifications.columns else [F.lit(None).cast("string").alias("verification_id")]), *[c for c in verifications.columns if c in scoring.INPUT])
+def recheck(due: DataFrame, verifications: DataFrame, as_of: Column, brands: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(candidates after the check, rows for risk_scores).
+
+    verifications: a row a candidate of this run.  brands: their names stand in the labels of signals.
+    """
+    checked = verifications.select(F.col("candidate_id").alias("id"), *([F.col("id").alias("verification_id")] if "id" in verifications.columns else [F.lit(None).cast("string").alias("verification_id")]), *[c for c in verifications.columns if c in scoring.INPUT or c in scoring.TOLD])
     rows = due.withColumn("mixed_script", F.col("homoglyph_detail.mixed_script")).join(checked, "id")
+    if brands is not None:
+        rows = rows.join(brands.select(F.col("id").alias("matched_brand_id"), F.col("name").alias("brand_name")), "matched_brand_id", "left")
     rows = scoring.scored(rows, notes=True)
     scores = rows.select(
         F.sha2(F.concat_ws("|", "id", as_of.cast("string")), 256).alias("id"), F.col("id").alias("candidate_id"), "verification_id", "score", "tier", F.col("signals").alias("contributing_signals"),

@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namelens import constants as C
 from namelens.functions import content, domains, folding
 from namelens.operators import matching, ranking, state
-from namelens.plans import jobs, screening, views
+from namelens.plans import jobs, screening, sinks, views
 from namelens.queries import _AGE, _KIND, _POINTS, AS_OF, CANDIDATES, EVENTS_AS_OF, GAP, NAMES, SCORED, at, candidates_of_orders, names_of, query, read, scored_lines, sql_list
-from namelens.sources import certificates, lookups, watchlist
+from namelens.sources import certificates, logs, lookups, watchlist
+from namelens.streaming.snapshots import shared_folder
 
 # --- sources
 
 
-@query("SELECT s_suppkey AS ord, 'h' || s_suppkey || '.example.com' AS name, CAST(1700000000000 + s_suppkey AS BIGINT) AS ms FROM supplier UNION ALL SELECT s_suppkey, 'm' || s_suppkey || '.example.com', 1700000000000 + s_suppkey FROM supplier")
-def leaf_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every supplier is a log leaf whose certificate has two names."""
+def supplier_leaf() -> Column:
+    """A supplier as a log leaf: its number is the time and stands in two names."""
     size = lambda x, width=2: F.lpad(F.hex(F.octet_length(F.unhex(x))), width, "0")
     item = lambda letter: F.hex(F.concat(F.lit(letter), F.col("s_suppkey").cast("string"), F.lit(".example.com")))
     names = F.concat(*[x for n in "hm" for x in (F.lit("82"), size(item(n)), item(n))])
     inner = F.concat(F.lit("30"), size(names), names)
     body = F.concat(F.lit("30820000551D1104"), size(inner), inner)
     leaf = F.concat(F.lit("0000"), F.lpad(F.hex(F.col("s_suppkey") + 1_700_000_000_000), 16, "0"), F.lit("0000"), size(body, 6), body)
-    entries = read(spark, sf_dir, "supplier").select(F.lit("log/").alias("log_url"), F.col("s_suppkey").alias("idx"), F.base64(F.unhex(leaf)).alias("leaf_input"))
+    return F.base64(F.unhex(leaf))
+
+
+@query("SELECT s_suppkey AS ord, 'h' || s_suppkey || '.example.com' AS name, CAST(1700000000000 + s_suppkey AS BIGINT) AS ms FROM supplier UNION ALL SELECT s_suppkey, 'm' || s_suppkey || '.example.com', 1700000000000 + s_suppkey FROM supplier")
+def leaf_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier is a log leaf whose certificate has two names."""
+    entries = read(spark, sf_dir, "supplier").select(F.lit("log/").alias("log_url"), F.col("s_suppkey").alias("idx"), supplier_leaf().alias("leaf_input"))
     found = certificates.sightings(entries, lambda name: F.endswith(name, F.lit(".example.com")))
     return found.select("ord", "name", F.unix_millis("logged_at").alias("ms"))
 
 
+@query("SELECT 'log' || s_suppkey % 3 AS log, s_suppkey // 3 AS idx, 'h' || s_suppkey || '.example.com' AS name FROM supplier WHERE s_suppkey % 3 <> 1 AND s_suppkey // 3 >= 5")
+def recorded_log_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as the entries of three recorded logs; logs, indexes and names are chosen within the source."""
+    top = shared_folder(spark, "logs")
+    entries = read(spark, sf_dir, "supplier").select(F.concat(F.lit("log"), (F.col("s_suppkey") % 3).cast("string")).alias("log_url"), F.floor(F.col("s_suppkey") / 3).alias("idx"), supplier_leaf().alias("leaf_input"))
+    logs.record(entries, top, 1000).write.format("noop").mode("overwrite").save()
+    names = logs.recorded(spark, top).where("log_url IN ('log0', 'log2') AND idx >= 5 AND name LIKE 'h%' AND name LIKE '%.example.com'")
+    return names.select(F.col("log_url").alias("log"), "idx", "name")
+
+
 _AT = "CASE WHEN p_partkey > 0 AND p_partkey <= p_size * 100 THEN p_partkey ELSE greatest(0, p_size * 100 - 2000) END"
 
 
@@ -152,6 +168,38 @@ def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", found.alias("c")).select("c_custkey", "c.page_title", "c.has_password_field", F.array_join("c.brand_terms_on_page", ",").alias("brands"), "c.form_posts_offsite", "c.looks_parked", "c.content_risk_score")
 
 
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'IANA registrar ' || o_orderkey WHEN 1 THEN 'Late ' || o_orderkey ELSE 'Deep ' || o_orderkey END AS registrar FROM orders WHERE o_orderkey % 9 <> 8")
+def registrar_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as registration answers whose registrar lies up to six levels deep, before another one at the top; every ninth can't be read."""
+    k, depth = F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % 7).cast("int")
+    card = lambda word: F.concat(F.lit('"vcardArray":["vcard",[["version",{},"text","4.0"],["fn",{},"text","' + word + ' '), k, F.lit('"]]]'))
+    deep = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('"publicIds":[{"type":"IANA Registrar ID","identifier":"'), k, F.lit('"}]'))).when(F.col("o_orderkey") % 4 == 1, F.lit('"vcardArray":["vcard",[["fn",{},"text",7]]]')).otherwise(card("Deep"))
+    inner = F.concat(F.repeat(F.lit('{"roles":["abuse"],"entities":[{"roles":["technical"]},'), depth), F.lit('{"roles":["registrar"],'), deep, F.lit("}"), F.repeat(F.lit("]}"), depth))
+    body = F.concat(F.lit('{"entities":['), inner, F.lit(',{"roles":["registrar"],'), card("Late"), F.lit("}]}"))
+    answers = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 8, F.left(body, F.length(body) - 1)).otherwise(body).alias("json"))
+    return lookups.registrars(answers, "o_orderkey")
+
+
+#: What a term's first, second and third attempt give, by its number: rows, empty, busy (may pass), gone (may not), page (no JSON), down (no answer).
+_ATTEMPTS = [("rows",), ("empty", "rows"), ("empty", "empty", "rows"), ("busy", "rows"), ("busy", "busy", "busy"), ("gone", "rows"), ("page", "empty"), ("empty", "down", "busy"), ("down",)]
+_OUTCOMES = {0: (1, 1, None), 1: (2, 2, None), 2: (2, 2, None), 3: (2, 2, None), 4: (3, None, "HTTP 503"), 5: (1, None, "HTTP 404"), 6: (2, 2, None), 7: (3, None, "HTTP 503"), 8: (1, None, "reset")}
+
+
+@query(f"""SELECT c_name AS term, o.attempts, o.attempt, CASE WHEN o.attempt IS NULL OR c_custkey % 9 IN (2, 6) THEN 0 ELSE 2 END AS rows, 'search for "' || c_name || '" failed after ' || o.attempts || ' attempt(s): ' || o.error AS error,
+CASE WHEN o.attempt IS NULL OR c_custkey % 9 IN (2, 6) THEN 0 WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS live FROM customer
+JOIN (VALUES {', '.join(f"({k}, {n}, {a or 'CAST(NULL AS INTEGER)'}, {'NULL' if e is None else repr(e)})" for k, (n, a, e) in _OUTCOMES.items())}) AS o(k, attempts, attempt, error) ON o.k = c_custkey % 9""")
+def search_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as terms of a search with recorded attempts; of two certificates one has expired, for every second."""
+    k = F.col("c_custkey")
+    old = F.when(k % 2 == 0, "1999-01-01T00:00:00").otherwise("2030-01-01T00:00:00")
+    body = {"rows": F.concat(F.lit('[{"id":1,"common_name":"a.com","not_after":"'), old, F.lit('"},{"id":2,"common_name":"b.com"}]')), "empty": F.lit("[]"), "page": F.lit("<html>  sorry")}
+    status, error = {"rows": 200, "empty": 200, "page": 200, "busy": 503, "gone": 404}, {"down": "reset"}
+    every = F.get(F.array(*[F.array(*[F.struct(F.lit(i).alias("attempt"), F.lit(status.get(a)).cast("int").alias("status"), (body.get(a) if a in body else F.lit(None).cast("string")).alias("body"), F.lit(error.get(a)).cast("string").alias("error")) for i, a in enumerate(of, 1)]) for of in _ATTEMPTS]), (k % 9).cast("int"))
+    answers = read(spark, sf_dir, "customer").select(F.col("c_name").alias("term"), F.explode(every).alias("a")).select("term", "a.*")
+    live = lookups.answered_rows(answers, at(AS_OF)).groupBy("term").agg(F.count("*").alias("live"))
+    return lookups.search_outcomes(answers).join(live, "term", "left").select("term", "attempts", "attempt", "rows", "error", F.coalesce("live", F.lit(0)).alias("live"))
+
+
 # --- scores, state and jobs
 
 _SIGNALS = [e for v in _POINTS.values() for e in v]
@@ -296,3 +344,23 @@ def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("first_seen_at")).where(F.col("first_seen_at") <= at(EVENTS_AS_OF))
     return ingest.counts_by_window(rows).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), F.col("count").alias("n"))
+
+
+@query("SELECT 'run' || o_orderkey % 3 AS run, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+def rerun_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders appended by three runs, of which one has to be repeated after half of its rows."""
+    folder, orders = shared_folder(spark, "sink"), read(spark, sf_dir, "orders").select("o_orderkey")
+    for run, keep in ((0, 1), (1, 2), (2, 1), (1, 1)):
+        sinks.append(orders.where((F.col("o_orderkey") % 3 == run) & (F.col("o_orderkey") % keep == 0)), folder, f"run{run}")
+    return sinks.table(spark, folder, "o_orderkey long").groupBy("run").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT o_custkey % 7 AS job_number, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'P') AS unfinished, count(*) FILTER (WHERE o_orderstatus = 'F') AS failed FROM orders GROUP BY 1")
+def job_run_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs: those with status P have a start row only."""
+    start = F.col("o_orderdate").cast("timestamp")
+    event = lambda kind, at_, ok: F.struct(F.lit(kind).alias("event"), at_.alias("at"), ok.alias("ok"))
+    ends = F.when(F.col("o_orderstatus") != "P", event("end", start + F.make_dt_interval(hours=F.lit(1)), F.col("o_orderstatus") == "O"))
+    events = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), (F.col("o_custkey") % 7).cast("string").alias("job"), F.explode(F.array_compact(F.array(event("start", start, F.lit(None).cast("boolean")), ends))).alias("e"))
+    runs = jobs.runs_of(events.select("run_id", "job", "e.*", F.lit(None).cast("string").alias("stats"), F.lit(None).cast("string").alias("error")))
+    return runs.groupBy(F.col("job").cast("long").alias("job_number")).agg(F.count("*").alias("n"), F.count_if(F.col("finished_at").isNull()).alias("unfinished"), F.count_if(~F.col("ok")).alias("failed"))

@@ -30,6 +30,7 @@ import json
 import time
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -361,3 +362,25 @@ def heads(spark: SparkSession, path: str) -> DataFrame:
     """log_url, tree_size, timestamp_ms of the recorded tree heads."""
     rows = spark.read.schema("tree_size long, timestamp long").json(f"{path}/*/head.json")
     return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("log_url"), "tree_size", F.col("timestamp").alias("timestamp_ms"))
+
+
+def record(entries: DataFrame, path: str, each: int = 10_000) -> DataFrame:
+    """Record entries (log_url, idx, leaf_input) as files of ``each`` indexes, one task a file; the files with their entries.
+
+    A file that is written again is replaced, so a task may run twice.  A gap within a file is an error.
+    """
+
+    def write(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("idx")
+        first = int(key[1]) * each
+        if list(part["idx"]) != list(range(first, first + len(part))):
+            raise ValueError(f"entries of {key[0]} from {first} on have gaps or repeats")
+        system, name = Recording(path)._at(key[0], f"{first:08d}.jsonl")
+        system.create_dir(name.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(name) as out:
+            for leaf in part["leaf_input"]:
+                out.write(json.dumps({"leaf_input": leaf}).encode() + b"\n")
+        return pd.DataFrame({"log_url": [key[0]], "first": [first], "entries": [len(part)]})
+
+    grouped = entries.groupBy("log_url", F.floor(F.col("idx") / each).alias("file"))
+    return grouped.applyInPandas(write, "log_url string, first long, entries long")
