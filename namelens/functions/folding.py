@@ -1,7 +1,10 @@
 """Folding of look-alike characters and decoding of international names.
 
-Spark has no Unicode normalisation, so names beyond ASCII go through a pandas
-UDF in Arrow batches; ASCII names, nearly all of them, are folded by ``translate``.
+Spark has no Unicode normalisation, so text beyond ASCII goes through a pandas UDF in Arrow
+batches; ASCII text, nearly all of it, is folded by ``translate``.  What becomes of a character
+depends on it alone once compatibility forms are unified, so a text is folded by two calls in
+C, whatever its length: ``normalize``, and ``translate`` by a table that is filled in with each
+character when it is first met.
 """
 
 from __future__ import annotations
@@ -25,8 +28,42 @@ FOLD = T.StructType([
 _TO_ASCII = {c: to for to, every in C.LOOKALIKES.items() for c in every} | C.DIGIT_SWAPS | {chr(zero + d): str(d) for zero in C.DIGIT_ZEROS for d in range(10)}
 
 
-def _script(cp: int) -> str | None:
-    return next((name for name, ranges in C.SCRIPTS.items() if any(a <= cp <= b for a, b in ranges)), None)
+class _Character:
+    """What becomes of one character, and what that tells."""
+
+    __slots__ = ("beyond", "change", "script", "to")
+
+    def __init__(self, cp: int) -> None:
+        c = chr(cp)
+        letters = "".join(x for x in unicodedata.normalize("NFD", c) if not 0x0300 <= ord(x) <= 0x036F) or c
+        listed = _TO_ASCII.get(letters) or _TO_ASCII.get(c)
+        self.to = listed or letters.lower()
+        folds = letters != c or (listed is not None and listed != c)
+        self.change = {"from": c, "to": self.to, "codepoint": f"U+{cp:04X}"} if folds else None
+        self.beyond = cp > 0x7F and (folds or letters not in _TO_ASCII)
+        self.script = next((name for name, ranges in C.SCRIPTS.items() if any(a <= cp <= b for a, b in ranges)), None)
+
+
+class _Characters(dict):
+    def __missing__(self, cp: int) -> _Character:
+        self[cp] = found = _Character(cp)
+        return found
+
+
+class _Table(dict):
+    """The texts that characters become, for str.translate."""
+
+    def __missing__(self, cp: int) -> str:
+        self[cp] = to = _CHARACTERS[cp].to
+        return to
+
+
+_CHARACTERS, _TABLE = _Characters(), _Table()
+
+
+def folded_text(text: str) -> str:
+    """The ASCII skeleton of a text."""
+    return unicodedata.normalize("NFKC", text).translate(_TABLE)
 
 
 def fold_text(label: str) -> dict:
@@ -35,22 +72,15 @@ def fold_text(label: str) -> dict:
     Compatibility forms are unified first, so full-width and mathematical letters
     never count as changed.
     """
-    out, changed, scripts, beyond = [], [], [], False
-    for c in unicodedata.normalize("NFKC", label):
-        cp = ord(c)
-        script = _script(cp)
-        if script not in (None, "Digit", *scripts):
-            scripts.append(script)
-        base = "".join(x for x in unicodedata.normalize("NFD", c) if not 0x0300 <= ord(x) <= 0x036F) or c
-        to = _TO_ASCII.get(base) or _TO_ASCII.get(c) or base.lower()
-        out.append(to)
-        if base != c or (to != c and (base in _TO_ASCII or c in _TO_ASCII)):
-            changed.append({"from": c, "to": to, "codepoint": f"U+{cp:04X}"})
-            beyond |= cp > 0x7F
-        else:
-            beyond |= cp > 0x7F and base not in _TO_ASCII
+    text = unicodedata.normalize("NFKC", label)
+    kinds = {c: _CHARACTERS[ord(c)] for c in dict.fromkeys(text)}  # in order of their first places
+    scripts = [s for s in dict.fromkeys(k.script for k in kinds.values()) if s not in (None, "Digit")]
+    changes = {c: k.change for c, k in kinds.items() if k.change}
     mixed = len(scripts) > 1
-    return {"folded": "".join(out), "suspicious": beyond or mixed, "substitutions": changed, "mixed_script": mixed, "scripts": scripts}
+    return {
+        "folded": text.translate(_TABLE), "suspicious": mixed or any(k.beyond for k in kinds.values()), "substitutions": [changes[c] for c in text if c in changes] if changes else [],
+        "mixed_script": mixed, "scripts": scripts,
+    }
 
 
 def decode_text(domain: str) -> str | None:
@@ -71,20 +101,36 @@ def _fold(labels: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns)
 
 
-def fold(label: Column) -> Column:
-    """A struct of FOLD for a label, decoded first if it is an international one.
+@F.pandas_udf(T.StringType())
+def _folded(labels: pd.Series) -> pd.Series:
+    return pd.Series([folded_text(decode_text(x) or x) if x is not None else None for x in labels], dtype=object)
 
-    Only labels beyond ASCII and encoded ones leave the JVM.
-    """
+
+def _is_odd(label: Column) -> Column:
+    """Whether a label is beyond ASCII or encoded, and so leaves the JVM."""
+    return domains.has_non_ascii(label) | label.rlike(r"(?:^|\.)xn--")
+
+
+def _to_letters(text: Column) -> Column:
+    return F.translate(text, "".join(C.DIGIT_SWAPS), "".join(C.DIGIT_SWAPS.values()))
+
+
+def folded(label: Column) -> Column:
+    """The ASCII skeleton of a label, decoded first if it is an international one, or of a text."""
+    odd = _is_odd(label)
+    # marked, here and below, so that Spark neither repeats it nor moves it into a filter
+    return F.when(odd, _folded.asNondeterministic()(F.when(odd, label))).otherwise(_to_letters(F.lower(label)))
+
+
+def fold(label: Column) -> Column:
+    """A struct of FOLD for a label, decoded first if it is an international one."""
     swapped = F.filter(F.split(label, ""), lambda c: c.isin(*C.DIGIT_SWAPS))
-    to = lambda c: F.translate(c, "".join(C.DIGIT_SWAPS), "".join(C.DIGIT_SWAPS.values()))
     plain = F.struct(
-        to(F.lower(label)).alias("folded"), F.lit(False).alias("suspicious"),
-        F.transform(swapped, lambda c: F.struct(c.alias("from"), to(c).alias("to"), F.concat(F.lit("U+00"), F.hex(F.ascii(c))).alias("codepoint"))).alias("substitutions"),
+        _to_letters(F.lower(label)).alias("folded"), F.lit(False).alias("suspicious"),
+        F.transform(swapped, lambda c: F.struct(c.alias("from"), _to_letters(c).alias("to"), F.concat(F.lit("U+00"), F.hex(F.ascii(c))).alias("codepoint"))).alias("substitutions"),
         F.lit(False).alias("mixed_script"), F.when(label.rlike("[A-Za-z]"), domains.lits(["Latin"])).otherwise(F.array().cast("array<string>")).alias("scripts"),
     )
-    odd = domains.has_non_ascii(label) | label.rlike(r"(?:^|\.)xn--")
-    # marked so that Spark neither repeats it nor moves it into a filter
+    odd = _is_odd(label)
     return F.when(odd, _fold.asNondeterministic()(F.when(odd, label))).otherwise(F.when(label.isNotNull(), plain.cast(FOLD)))
 
 

@@ -210,9 +210,23 @@ def non_ascii_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(domains.has_non_ascii(F.col("text"))).alias("non_ascii"))
 
 
+_ODD = "CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, 'e', 'е') WHEN p_partkey % 3 = 1 THEN replace(p_name, 'o', 'ο') ELSE p_name END"
+_ALPHABETS = {"Cyrillic": "[Ѐ-ӿ]", "Greek": "[Ͱ-Ͽ]", "Latin": "[A-Za-z]"}
+_SCRIPTS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(label, '{pattern}') THEN '{name}' END" for name, pattern in _ALPHABETS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"SELECT p_partkey, array_to_string({_SCRIPTS}, ' ') AS scripts, len({_SCRIPTS}) > 1 AS mixed_script, regexp_matches(label, '[еο]') AS suspicious, len(regexp_extract_all(label, '[еο]')) AS changes FROM (SELECT p_partkey, {_ODD} AS label FROM part)")
+def script_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with one letter written in another alphabet: their scripts, whether these are mixed, and how many letters were folded."""
+    p, name = F.col("p_partkey") % 3, F.col("p_name")
+    label = F.when(p == 0, F.translate(name, "e", "е")).when(p == 1, F.translate(name, "o", "ο")).otherwise(name)
+    rows = read(spark, sf_dir, "part").select("p_partkey", folding.fold(label).alias("f"))
+    return rows.select("p_partkey", F.array_join(F.array_sort("f.scripts"), " ").alias("scripts"), "f.mixed_script", "f.suspicious", F.size(F.filter("f.substitutions", lambda s: domains.has_non_ascii(s["from"]))).cast("long").alias("changes"))
+
+
 @query("SELECT doc_id, translate(lower(strip_accents(text)), '013547', 'olesat') AS folded FROM documents")
 def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", folding.fold(F.col("text"))["folded"].alias("folded"))
+    return read(spark, sf_dir, "documents").select("doc_id", folding.folded(F.col("text")).alias("folded"))
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

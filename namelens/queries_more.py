@@ -203,8 +203,8 @@ def search_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scores, state and jobs
 
 _SIGNALS = [e for v in _POINTS.values() for e in v]
-_KINDS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN p_{k} > 0 THEN '{k}' END" for k in _POINTS if k != "mitigating") + "], lambda x: x IS NOT NULL), ', ')"
-_FEW = " || ".join(x for piece, value in zip(C.GATE_NOTES["few"].split("{}"), ("n_categories", "CASE WHEN n_categories = 1 THEN '' ELSE 's' END", _KINDS, str(C.MIN_CATEGORIES), ""), strict=True) for x in (f"'{piece}'", value) if x)
+_EVIDENCE = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN p_{k} > 0 THEN '{k}' END" for k in _POINTS if k != "mitigating") + "], lambda x: x IS NOT NULL), ', ')"
+_FEW = " || ".join(x for piece, value in zip(C.GATE_NOTES["few"].split("{}"), ("n_categories", "CASE WHEN n_categories = 1 THEN '' ELSE 's' END", _EVIDENCE, str(C.MIN_CATEGORIES), ""), strict=True) for x in (f"'{piece}'", value) if x)
 _NOTE = f"CASE WHEN score >= 70 AND l_linestatus <> 'O' THEN '{C.GATE_NOTES['dead']}' WHEN score >= 70 AND n_categories < 2 THEN {_FEW} WHEN score >= 70 AND NOT (l_quantity > 25 OR kind = 'homoglyph') THEN '{C.GATE_NOTES['weak']}' END"
 
 

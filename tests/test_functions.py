@@ -124,3 +124,45 @@ def test_sql_functions(spark):
     register(spark)
     row = spark.sql("SELECT normalize_name(' *.A.com. ') n, tokenize_label('a-B') t, fold_label('päy') f, osa_within_two('ab', 'ba') d").first()
     assert (row["n"], row["t"], row["f"], row["d"]) == ("a.com", ["a", "b"], "pay", 1)
+
+
+def plain_fold(label):
+    """The rules of folding, written out one character after the other."""
+    import unicodedata
+
+    from namelens import constants as C
+
+    to_ascii = {c: to for to, every in C.LOOKALIKES.items() for c in every} | C.DIGIT_SWAPS | {chr(z + d): str(d) for z in C.DIGIT_ZEROS for d in range(10)}
+    out = {"folded": "", "suspicious": False, "substitutions": [], "mixed_script": False, "scripts": []}
+    for c in unicodedata.normalize("NFKC", label):
+        stripped = "".join(x for x in unicodedata.normalize("NFD", c) if not "̀" <= x <= "ͯ") or c
+        to = to_ascii.get(stripped, to_ascii.get(c, stripped.lower()))
+        script = [n for n, ranges in C.SCRIPTS.items() if any(a <= ord(c) <= b for a, b in ranges)]
+        out["scripts"] += [n for n in script[:1] if n != "Digit" and n not in out["scripts"]]
+        listed = stripped in to_ascii or c in to_ascii
+        if stripped != c or (listed and to != c):
+            out["substitutions"].append({"from": c, "to": to, "codepoint": f"U+{ord(c):04X}"})
+            out["suspicious"] |= ord(c) > 127
+        elif ord(c) > 127 and stripped not in to_ascii:
+            out["suspicious"] = True
+        out["folded"] += to
+    out["mixed_script"] = len(out["scripts"]) > 1
+    out["suspicious"] |= out["mixed_script"]
+    return out
+
+
+def test_folding_by_tables_equals_the_rules(spark):
+    import random
+
+    from namelens import constants as C
+
+    listed = "".join(C.LOOKALIKES.values()) + "".join(chr(z + d) for z in C.DIGIT_ZEROS for d in range(10))
+    r = random.Random(9)
+    pool = listed + "abcXYZ0135 -.éÀçñüß̧́̈ｆｕ１①ﬁ½㎏ἀ가각ㄱאبअকー漢𝐚𝟛😀"
+    texts = list(listed) + [chr(cp) for cp in range(0x20, 0x3000)] + ["".join(r.choice(pool) for _ in range(r.randrange(200))) for _ in range(500)]
+    assert all(folding.fold_text(t) == plain_fold(t) for t in texts)
+    some = texts[-500:] + list(listed)
+    rows = spark.createDataFrame([(t,) for t in some], "t string").select("t", folding.fold(F.col("t")).alias("f"), folding.folded(F.col("t")).alias("s")).collect()
+    for row in rows:
+        want = plain_fold(folding.decode_text(row["t"]) or row["t"])
+        assert row["f"].asDict(recursive=True) == want and row["s"] == want["folded"]
