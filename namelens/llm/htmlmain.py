@@ -31,18 +31,28 @@ BROADCAST_HOSTS = 200_000
 #: Copies of the winners' table that a hot host's pages are dealt over, beyond that bound.
 SALT = 32
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>", re.S | re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/><]*+")
+#: The rest of a tag, its quoted values whole; nothing in it is tried twice.
+_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in ("script", "style")}
+#: Tags with an unbalanced quote that a page may have before quotes count no more, so that scanning stays linear.
+UNBALANCED = 16
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that start a block of their own.
-BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Tags whose content is never main text.
 SKIP = frozenset("head title nav footer aside form button iframe object audio video canvas menu dialog header noscript template svg textarea select".split())
-#: An element with a class, id or role that is, starts or ends with one of these words isn't main text, an article or main excepted.
+#: An element with a class, id or role that is, starts or ends with one of these words isn't main text, an article or main excepted;
+#: one that only starts or ends with a word of _DOUBTFUL ('share-price') isn't unless it holds prose.
 _WORDS = r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumb\w*|sidebar|side|footer|header|masthead|cookie\w*|consent|notice|newsletter|subscribe|signup|login|share|social|related|recommend\w*|comment\w*|disqus|replies|reply|respond|responses|reactions|popup|modal|widget|pagination|pager|copyright|legal|search|complementary)"
 _BOILERPLATE = re.compile(rf"(?:^|\s){_WORDS}(?=$|[\s_-])(?!\S*[_-](?:open|closed|legal)(?:$|\s))|(?:^|\s)(?!(?:has|no|not|with|without)[_-])\S+[_-](?!legal\b){_WORDS}(?:$|\s)", re.I)
+_DOUBTFUL = r"(?:ads?|promo\w*|banner|side|header|notice|login|share|social|reply|respond|responses|reactions|legal|search)"
+_DOUBT = re.compile(rf"^(?:{_DOUBTFUL}[_-]\S+|\S+[_-]{_DOUBTFUL})$", re.I)
+#: Words of prose, in blocks of more than PROSE words, and the most words in links, of a hundred, with which a doubtful element is kept.
+KEPT_PROSE, KEPT_LINKS = 30, 25
 #: Words beyond which a block is prose.
 PROSE = 8
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -54,6 +64,43 @@ _CLOSED_BY_SELF = frozenset("p li dt dd tr td th option".split())
 DEPTH = 12
 
 
+def scan(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag, whether it closes, attributes) of the markup of a page in order; the tag is null for comments, scripts, styles and declarations.
+
+    The page is walked once: a tag's end is looked for from its start, and where no further ``>`` follows all is text.
+    """
+    at, unbalanced, last = 0, 0, html.rfind(">")
+    while 0 <= (start := html.find("<", at)):
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = len(html) if end < 0 else end + 3
+            yield start, at, None, False, ""
+            continue
+        if start > last:
+            break
+        closes = html.startswith("/", start + 1)
+        name = _NAME.match(html, start + 1 + closes)
+        if not name:
+            at = start + 1
+            if html[at : at + 1] in ("!", "?"):
+                at = html.find(">", at) + 1
+                yield start, at, None, False, ""
+            continue
+        tag = name[0].lower()
+        rest = _REST.match(html, name.end()) if unbalanced < UNBALANCED else None
+        if rest:
+            at = rest.end()
+        else:
+            unbalanced += 1
+            at = html.find(">", name.end()) + 1
+        if tag in _RAW_END and not closes:
+            end = _RAW_END[tag].search(html, at)
+            at = end.end() if end else len(html)
+            yield start, at, None, False, ""
+        else:
+            yield start, at, tag, closes, html[name.end() : at - 1]
+
+
 class Page:
     """Blocks of a page in order: (path of element numbers, text, words in links)."""
 
@@ -63,6 +110,7 @@ class Page:
         self.tags: list[str] = [""]
         self.skipped: list[bool] = [False]
         self.parent: list[int] = [0]
+        self.doubt: list[int] = [0]  # the innermost doubtful element around each
         self.blocks: list[tuple[int, str, int]] = []
         stack, text, linked, in_link, at = [0], [], 0, 0, 0
         open_: dict[str, int] = defaultdict(int)  # elements of a tag on the stack
@@ -83,14 +131,12 @@ class Page:
                 if in_link:
                     linked += len(raw.split())
 
-        for m in _TOKEN.finditer(html):
-            put(html[at : m.start()])
-            at = m.end()
-            tag = m[3]
+        for start, end, tag, closes, attributes in scan(html):
+            put(html[at:start])
+            at = end
             if tag is None:
                 continue
-            tag = tag.lower()
-            if m[2]:
+            if closes:
                 if tag == "a":
                     in_link = max(0, in_link - 1)
                 elif tag in BLOCK or tag in SKIP:
@@ -110,12 +156,14 @@ class Page:
                 if tag in _CLOSED_BY_SELF and self.tags[owner] == tag:
                     stack.pop()
                     open_[tag] -= 1
-                if tag in VOID or (tag == "svg" and (m[4] or "").endswith("/")):
+                if tag in VOID or (tag == "svg" and attributes.endswith("/")):
                     continue
-                self._open(tag, m[4] or "", stack, open_["article"] + open_["main"] > 0)
+                self._open(tag, attributes, stack, open_["article"] + open_["main"] > 0)
                 open_[tag] += 1
         put(html[at:])
         flush(stack[-1])
+        if any(self.doubt):
+            self._settle()
 
     def _open(self, tag: str, attributes: str, stack: list[int], in_article: bool) -> None:
         up = stack[-1]
@@ -125,10 +173,32 @@ class Page:
         self.tags.append(tag)
         above = self.paths[up] if self.paths[up].count("/") < DEPTH else self.paths[up][self.paths[up].index("/", 1) :]
         self.paths.append(f"{above}/{tag}" + ("." + _DIGITS.sub("0", ".".join(named.lower().split())) if named else ""))
-        self.skipped.append(self.skipped[up] or skip or bool(self.by_class and named and tag not in ("body", "article", "main") and _BOILERPLATE.search(named)))
+        found = self.by_class and named and tag not in ("body", "article", "main") and _BOILERPLATE.search(named)
+        # each word that speaks against the element may be doubtful
+        against = [x for x in named.split() if _BOILERPLATE.search(x)] if found else []
+        doubtful = bool(against) and all(_DOUBT.match(x) for x in against)
+        self.skipped.append(self.skipped[up] or skip or bool(found and not doubtful))
+        self.doubt.append(len(self.parent) if doubtful else self.doubt[up])
         self.parent.append(up)
         stack.append(len(self.tags) - 1)
 
+    def _settle(self) -> None:
+        """Leave out the blocks of doubtful elements that are poor in prose or rich in links."""
+        sums: dict[int, list[int]] = {e: [0, 0, 0] for e in set(self.doubt) if e}  # words, those of prose, those in links
+        outer = {e: self.doubt[self.parent[e]] for e in sums}
+        for owner, words, linked in self.blocks:
+            if e := self.doubt[owner]:
+                n = words.count(" ") + 1
+                sums[e] = [a + b for a, b in zip(sums[e], (n, n * (n > PROSE), linked), strict=True)]
+        for e in sorted(sums, reverse=True):  # inner ones come after outer ones
+            if outer[e]:
+                sums[outer[e]] = [a + b for a, b in zip(sums[outer[e]], sums[e], strict=True)]
+        gone: dict[int, bool] = {0: False}
+        for e in sorted(sums):
+            words, prose, linked = sums[e]
+            gone[e] = gone[outer[e]] or prose < KEPT_PROSE or 2 * prose < words or 100 * linked > KEPT_LINKS * words
+        self.blocks = [b for b in self.blocks if not gone[self.doubt[b[0]]]]
+
     def best(self) -> tuple[str, float]:
         """(path, score) of the container with the most prose; deeper ones win where they hold nearly all of it."""
         score: dict[int, float] = defaultdict(float)

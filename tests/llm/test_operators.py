@@ -764,3 +764,28 @@ def test_words_of_every_text_tell_nothing(spark):
     assert not set(shared.ravel().tolist()) & set(model.hashes.tolist())
     found = {(r["toxic"], r["predicted"]) for r in toxicity.classify(docs, labels).join(labels, "doc_id").collect()}
     assert found == {(1, 1), (0, 0)}
+
+
+@pytest.mark.parametrize("html", ["<script" * 140_000, ("x" * 70 + " a<b ") * 14_000, "<a " * 340_000, "<a \" > '" * 120_000, '<p class="x>y' * 80_000, "<!--" * 250_000, "</script " * 100_000 + ">", "<div>" * 100_000])
+def test_malformed_pages_take_linear_time(html):
+    import time
+
+    began = time.time()
+    page = htmlmain.read(html)
+    page.text(page.best()[0])
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("name", ["share-price", "side-effects", "banner-story", "header-image-story", "social-science", "story-share", "notice-board"])
+def test_doubtful_classes_keep_prose(name):
+    prose, other = "word " * 37, "other " * 11
+    text = lambda body: (lambda page: page.text(page.best()[0]))(htmlmain.read(f"<html><body>{body}</body></html>"))
+    assert text(f"<div class='{name}'><p>{prose}</p></div><div><p>{other}</p></div>").split() == ["word"] * 37 + ["other"] * 11
+    links = "".join(f"<a href=x>link {i}</a> " for i in range(30))
+    for bad in (f"<div class='{name}'>{links}</div>", f"<div class='{name}'>Share this</div>", f"<div class='comments'><p>{prose}</p></div>", f"<div class='{name} comments'><p>{prose}</p></div>"):
+        assert text(f"<div><p>{prose}</p><p>{other}</p></div>{bad}").split() == ["word"] * 37 + ["other"] * 11
+
+
+def test_short_blocks_are_kept_apart():
+    page = htmlmain.read(f"<html><body><div><label>lab</label><details>det<summary>sum</summary></details><p>{'word ' * 20}</p></div></body></html>")
+    assert page.text(page.best()[0]).startswith("lab det sum word")
