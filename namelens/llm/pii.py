@@ -11,13 +11,12 @@ region together.  Its spans are added where they touch no base span.
 The field is fitted by gradient steps on its conditional likelihood: on the base spans of
 a bounded sample, on secrets that a word like token names, and on variants of both (other
 separators, no plus sign, signs spelled out, other quotes and names, digits that fail the
-checksum, letters only).  The sample is ``EXCERPTS`` excerpts at most, from about ``TRAIN``
-rows at most, both by hash; every excerpt counts in full, and equal ones once.  The weights,
-a few hundred numbers, go to the workers with the function.
+checksum, letters only).  The sample is about ``TRAIN`` rows by hash, and all their excerpts around
+digits, signs and long tokens, equal ones once.  The weights, a few hundred numbers, go to the
+workers with the function.
 
 Defined results: a null text counts as empty and has no spans; without any example in the
-sample the field adds nothing; repeated rows give repeated rows; a token of more than
-``TOKEN`` characters is no secret.
+sample the field adds nothing; repeated rows give repeated rows; a token may have any length.
 """
 
 from __future__ import annotations
@@ -39,12 +38,12 @@ from namelens.llm.common import text_of
 #: The kinds of base spans, and the one that only the field finds.
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
-#: Rows that the sample is taken from, and excerpts in it, at most.
-TRAIN, EXCERPTS = 12_000, 1_500
+#: Rows whose excerpts the field is fitted on, about.
+TRAIN = 1_500
 #: Digit groups and code points that a segment has at most.
 GROUPS, LONGEST = 8, 48
-#: Characters that a token has at least and at most to be a candidate for a secret.
-SHORTEST, TOKEN = 16, 256
+#: Characters that a token has at least to be a candidate for a secret.
+SHORTEST = 16
 #: Log-odds that a segment must have over being no entity.
 MARGIN = 2.0
 
@@ -124,7 +123,7 @@ def regions(text: str) -> Iterator[list[tuple[int, int]]]:
             if "dot" in m[0].lower() or "(at)" in m[0].lower() or "[at]" in m[0].lower():
                 yield [(m.start(), m.end())]
     for m in _TOKEN.finditer(text):
-        if m.end() - m.start() <= TOKEN and not m[0].isdigit():
+        if not m[0].isdigit():
             yield [(m.start(), m.end())]
 
 
@@ -298,7 +297,7 @@ def examples_of(text: str, r: random.Random) -> Iterator[Example]:
             other, s = _variant(kind, text[start:end], r)
             yield from _example(left, s, right, other)
     for m in _TOKEN.finditer(text):
-        if m.end() - m.start() <= TOKEN and any(c.isdigit() for c in m[0]) and not m[0].isdigit() and _NAMED.search(text[max(0, m.start() - 32) : m.start()]):
+        if any(c.isdigit() for c in m[0]) and not m[0].isdigit() and _NAMED.search(text[max(0, m.start() - 32) : m.start()]):
             known.append((4, m.start(), m.end()))
             yield from _secret_examples(text[max(0, m.start() - 30) : m.start()], m[0], text[m.end() : m.end() + 20], r)
     for segments in regions(text):
@@ -307,16 +306,16 @@ def examples_of(text: str, r: random.Random) -> Iterator[Example]:
             yield text[at : segments[-1][1] + 20], [(a - at, b - at) for a, b in segments], set()
 
 
-def fit(docs: DataFrame, rows: int = TRAIN, most: int = EXCERPTS) -> Field:
-    """Fit on ``most`` excerpts around digits, signs and long tokens at most, from about ``rows`` rows, both chosen by hash."""
+def fit(docs: DataFrame, rows: int = TRAIN) -> Field:
+    """Fit on all excerpts around digits, signs and long tokens of about ``rows`` rows, chosen by hash."""
     share = min(1.0, rows / max(1, docs.count()))
     some = docs.select(text_of().alias("text")).where(F.pmod(F.xxhash64(F.lit("pii"), "text"), F.lit(1_000_000)) < int(share * 1_000_000))
     # pieces of 160 characters and the rest of the last word, of which those with a digit, sign or token count
     pieces = F.regexp_extract_all("text", F.lit(r"(?s)(.{1,160}\S{0,60})"), 1)
     excerpts = F.filter(pieces, lambda p: p.rlike(r"@|[0-9]{4}|[0-9]\.[0-9]|[A-Za-z0-9+/_-]{20}"))
-    parts = some.select(F.explode(excerpts).alias("part")).distinct().orderBy(F.xxhash64("part"), "part").limit(most).collect()
+    parts = some.select(F.explode(excerpts).alias("part")).distinct().collect()
     r = random.Random(1)
-    return Field().learn([x for row in parts for x in examples_of(row["part"], r)])
+    return Field().learn([x for part in sorted(row["part"] for row in parts) for x in examples_of(part, r)])
 
 
 def find(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -4,8 +4,8 @@ A document is a bag of passages of ``PASSAGE`` words.  Each passage is encoded
 (shares of byte classes and of their bigrams, word lengths, repeated words),
 goes through a hidden layer, and a gated attention learned from the documents'
 labels weighs the passages; the weighted representation gives the score.  The
-network is fitted with NumPy on a bounded sample of labelled rows (``TRAIN`` rows
-and ``PASSAGES`` passages of each, evenly spread, at most), then scores every passage
+network is fitted with NumPy on a bounded sample of labelled rows (``TRAIN`` rows at
+most, the passages of long ones averaged to ``PARTS`` parts), then scores every passage
 of every text in Arrow batches.  A long text is encoded in pieces of ``PIECE`` words,
 of which only the hidden vectors and weights are kept.
 
@@ -30,8 +30,8 @@ from namelens.llm.labelled import held_out, labelled_sample
 PASSAGE = 96
 #: Labelled rows that the network is fitted on at most.
 TRAIN = 4000
-#: Passages of a row that it is fitted on at most; none is left out in scoring.
-PASSAGES = 64
+#: Parts that a long text has in fitting; each is the mean of its passages, so that all of them are seen.
+PARTS = 64
 #: Words of a piece of a long text.
 PIECE = 512 * PASSAGE
 THRESHOLD = 0.3
@@ -171,12 +171,19 @@ class Network:
         return self
 
 
+def averaged(bag: np.ndarray) -> np.ndarray:
+    """The passages of a text; those of a long one as the means of PARTS runs of them."""
+    if len(bag) <= PARTS:
+        return bag
+    starts = (np.arange(PARTS) * len(bag)) // PARTS
+    return np.add.reduceat(bag, starts) / np.diff(np.r_[starts, len(bag)])[:, None]
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in steps(batch):
             x, first = passages(*text_buffer(part.column("text")))
-            some = lambda a, b: np.arange(a, b) if b - a <= PASSAGES else a + (np.arange(PASSAGES) * (b - a)) // PASSAGES
-            rows = [x[some(a, b)].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            rows = [averaged(x[a:b]).astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "bag"])
 
 

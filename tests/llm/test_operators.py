@@ -789,3 +789,21 @@ def test_doubtful_classes_keep_prose(name):
 def test_short_blocks_are_kept_apart():
     page = htmlmain.read(f"<html><body><div><label>lab</label><details>det<summary>sum</summary></details><p>{'word ' * 20}</p></div></body></html>")
     assert page.text(page.best()[0]).startswith("lab det sum word")
+
+
+def test_long_texts_are_seen_whole_in_fitting():
+    r = np.random.default_rng(1)
+    bag = r.random((1000, 5))
+    parts = quality.averaged(bag)
+    assert parts.shape == (quality.PARTS, 5) and quality.averaged(bag[:64]) is not None and (quality.averaged(bag[:64]) == bag[:64]).all()
+    sizes = np.diff(np.r_[(np.arange(quality.PARTS) * 1000) // quality.PARTS, 1000])
+    assert np.allclose((parts * sizes[:, None]).sum(0), bag.sum(0))
+
+
+def test_long_secrets_are_found(spark):
+    r = random.Random(2)
+    token = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    texts = [f"some words before api_key = {token(r.choice([24, 32, 40]))} and after" for _ in range(200)] + [f"here is secret token={token(n)} too" for n in (300, 2000, 50_000)]
+    got = {x["doc_id"]: x["spans"] for x in pii.scans(docs_of(spark, texts)).collect()}
+    for i, n in ((200, 300), (201, 2000), (202, 50_000)):
+        assert f"secret:21:{21 + n}" in got[i], got[i][:100]
