@@ -807,3 +807,15 @@ def test_long_secrets_are_found(spark):
     got = {x["doc_id"]: x["spans"] for x in pii.scans(docs_of(spark, texts)).collect()}
     for i, n in ((200, 300), (201, 2000), (202, 50_000)):
         assert f"secret:21:{21 + n}" in got[i], got[i][:100]
+
+
+def test_losses_by_folds_leave_held_out_rows_alone(spark):
+    r = random.Random(4)
+    rows = [(i, f"of {'vile scum filth' if i % 4 == 0 else 'nice day sun'} {words_of(r, 12)}", "en", "s", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    settings = [toxicity.Settings(), toxicity.Settings(z_least=50.0)]
+    found = toxicity.losses_by_folds(docs, labels, settings, folds=2)
+    assert found[settings[0]] < 0.1 < found[settings[1]]
+    wrong = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.losses_by_folds(docs, wrong, settings, folds=2) == pytest.approx(found)
