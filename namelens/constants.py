@@ -86,7 +86,7 @@ RETIRE_AFTER = 14
 REASON_LENGTH = 3
 PAGE_SIZE, MAX_PAGE_SIZE, MAX_OFFSET = 50, 200, 10_000
 
-# --- fixed values: characters that look like an ASCII one, by that one; those that NFKC turns into ASCII can't occur any more and are left out ---
+# --- fixed values: characters that look like an ASCII one, by that one; those that NFKC turns into ASCII can't occur any more, and accented letters that lose their marks give the same; both are left out ---
 LOOKALIKES = {
     "a": "аАәӓαΑᾳ", "b": "вВЬьЪΒβƅɓ", "c": "сСϲᴄϹ", "d": "ԁԀđðⅾ", "e": "еЕёЁєЄэԑѐΕεέ", "f": "ғƒ", "g": "ԍɡցǥ", "h": "һҺнНΗհħ",
     "i": "іІїЇӏӀıΙιίⅰ", "j": "јЈ", "k": "кКⱪΚκƙ", "l": "ⅼłǀ", "m": "мМΜⅿ", "n": "пИиηΝոպ", "o": "оОөӨӧᴏΟοόσΘθօøơ", "p": "рРΡρքƥ",

@@ -4,6 +4,9 @@ No nested loop over names and terms.  Exact matches are an equi-join on tokens,
 substring matches one on the first five characters of a term, and fuzzy matches one
 on deletion neighbourhoods; what the join finds is then verified.  The watchlist side
 is broadcast up to ``BROADCAST_TERMS`` terms and shuffled beyond that.
+
+Defined results: null and empty names match nothing; repeated names give one domain; of equal matches
+the one that stands first in the watchlist is best; without names or terms there are no rows.
 """
 
 from __future__ import annotations

@@ -3,6 +3,9 @@
 One projection of built-in expressions.  Input columns are named as in the
 candidates and verifications tables (``INPUT``); a null counts as not seen.  Those of
 ``TOLD`` are only spoken of in labels and details, and may be missing.
+
+Defined results: a null condition shows no signal; a missing value leaves its place in a label empty and
+gives no detail; repeated rows are scored alike; an empty table gives no rows; other columns stay.
 """
 
 from __future__ import annotations

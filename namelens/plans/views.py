@@ -1,4 +1,8 @@
-"""What is served: the feed, its items, statistics, reports by candidate, and what each role may see."""
+"""What is served: the feed, its items, statistics, reports by candidate, and what each role may see.
+
+Defined results: candidates without a score or a verification stay in the feed, with nulls or the defaults of
+``feed_items``; one without a brand isn't in it; of equal times the largest id is the latest; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

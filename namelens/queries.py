@@ -272,7 +272,7 @@ def stats_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Orders as candidates, customers as brands, line items as scores and as verifications."""
+    """Orders as candidates, customers as brands; line items of larger quantities as scores and of smaller ones as verifications, so that left joins miss some."""
     none = F.lit(None).cast("string")
     candidates = candidates_of_orders(spark, sf_dir).withColumns({
         "domain": F.concat(F.lit("d"), F.col("id").cast("string"), F.lit(".com")), "unicode_domain": none, "matched_brand_id": F.col("brand"), "matched_term": none, "match_kind": none,

@@ -9,7 +9,7 @@ from namelens import constants as C
 from namelens.functions import content, domains, folding
 from namelens.operators import matching, ranking, state
 from namelens.plans import jobs, screening, sinks, views
-from namelens.queries import _AGE, _KIND, _POINTS, AS_OF, CANDIDATES, EVENTS_AS_OF, GAP, NAMES, SCORED, at, candidates_of_orders, names_of, query, read, scored_lines, sql_list
+from namelens.queries import _AGE, _KIND, _POINTS, AS_OF, CANDIDATES, GAP, NAMES, SCORED, at, candidates_of_orders, names_of, query, read, scored_lines, sql_list
 from namelens.sources import certificates, logs, lookups, watchlist
 from namelens.streaming.snapshots import shared_folder
 
@@ -338,11 +338,11 @@ def prefix_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.with_prefix(parts, "p_name", "red").select("p_partkey", F.lit(True).alias("held")).unionByName(state.without_prefix(parts, "p_name", "red").select("p_partkey", F.lit(False).alias("held")))
 
 
-@query(f"SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, count(*) AS n FROM events WHERE ts <= TIMESTAMP '{EVENTS_AS_OF}' GROUP BY 1")
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, count(*) AS n FROM events GROUP BY 1")
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from namelens.streaming import ingest
 
-    rows = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("first_seen_at")).where(F.col("first_seen_at") <= at(EVENTS_AS_OF))
+    rows = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("first_seen_at"))
     return ingest.counts_by_window(rows).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), F.col("count").alias("n"))
 
 
