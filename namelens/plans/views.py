@@ -26,7 +26,7 @@ def public_feed(candidates: DataFrame, brands: DataFrame, scores: DataFrame, ver
     """Visible candidates with their brand, latest score and latest verification."""
     c = candidates.where(F.col("publish_state").isin(*VISIBLE)).select(
         F.col("id"), "domain", "unicode_domain", "matched_brand_id", "matched_term", "match_kind", "homoglyph_flag", "cert_issuer", "cert_issued_at", "first_seen_at",
-        "last_seen_at", "publish_state",
+        "last_seen_at", "publish_state", *[c for c in ("edit_distance",) if c in candidates.columns],
     )
     b = brands.select(F.col("id").alias("matched_brand_id"), F.col("name").alias("brand_name"), F.col("slug").alias("brand_slug"), F.col("category").alias("brand_category"), F.try_element_at("official_domains", F.lit(1)).alias("official_domain"))
     s = current_scores(scores).select(F.col("candidate_id").alias("id"), "score", "tier", "contributing_signals", "computed_at")
