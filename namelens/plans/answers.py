@@ -95,8 +95,8 @@ def candidate_records(ids: DataFrame, candidates: DataFrame, brands: DataFrame,
     checks = verifications.join(asked.withColumnRenamed("id", "candidate_id"), "candidate_id", "left_semi")
     latest = ranking.history(checks, "candidate_id", "checked_at", "id", HISTORY)
     row = F.struct(*[(F.col(c) if c in checks.columns else F.lit(None).cast(kind)).alias(c) for c, kind in HISTORY_COLUMNS.items()])
-    latest = latest.select("candidate_id", "id", row.alias("row"))
-    history = latest.groupBy("candidate_id").agg(_ordered(latest, "row", F.col("row.checked_at").isNull(), -F.unix_micros(F.col("row.checked_at").cast("timestamp")), -F.xxhash64("id")).alias("history"))
+    newest = F.sort_array(F.collect_list(F.struct("checked_at", "id", row.alias("row"))), asc=False)
+    history = latest.groupBy("candidate_id").agg(F.transform(newest, lambda x: x["row"]).alias("history"))
     found = feed_item(feed).join(history.withColumnRenamed("candidate_id", "id"), "id", "left")
     rows = ids.select("id").join(found, "id", "left")
     known = F.col("item").isNotNull()

@@ -160,8 +160,8 @@ def with_cursors(logs: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def as_json(rows: DataFrame) -> DataFrame:
-    """Each row as one JSON line, as an endpoint would return it."""
-    return rows.select(F.to_json(F.struct("*")).alias("json"))
+    """Each row as one JSON line, as an endpoint would return it: what is null says so."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def category_ceilings() -> dict[str, int]:
@@ -174,6 +174,19 @@ def category_ceilings() -> dict[str, int]:
     }
 
 
+def category_use(scored: DataFrame) -> DataFrame:
+    """By category: its ceiling, the most points that a row (signals) has in it, and how many rows reach the ceiling.
+
+    Points taken away count as none; a row without signals in a category has none there.
+    """
+    def use(name: str, ceiling: int) -> Column:
+        points = F.transform(F.filter("signals", lambda s: (s["category"] == name) & (s["points"] > 0)), lambda s: s["points"].cast("int"))
+        return F.struct(F.lit(name).alias("category"), F.lit(ceiling).alias("ceiling"), F.coalesce(F.aggregate(points, F.lit(0), lambda a, b: a + b), F.lit(0)).alias("points"))
+
+    rows = scored.select(F.explode(F.array(*[use(*x) for x in category_ceilings().items()])).alias("u")).select("u.*")
+    return rows.groupBy("category", "ceiling").agg(F.max("points").alias("most"), F.count_if((F.col("points") >= F.col("ceiling")) & (F.col("ceiling") > 0)).alias("reached"))
+
+
 def due_share(rows: DataFrame, as_of: Column) -> DataFrame:
     """By status: candidates, and how many of them are due."""
     return rows.groupBy("status").agg(F.count("*").alias("candidates"), F.count_if(F.col("next_recheck_at") <= as_of).alias("due"))

@@ -68,18 +68,19 @@ pnbmetlife.com | pnb | PNB MetLife Insurance
 """
 
 
-def _cells(table: str) -> list[list[str]]:
+def cells(table: str) -> list[list[str]]:
+    """The rows of a table of fixed values."""
     return [[c.strip() for c in line.split("|")] for line in table.strip().splitlines()]
 
 
 def brands(spark: SparkSession) -> DataFrame:
     """The starting watchlist with ids and match terms, all active."""
-    rows = [(i, name, slug, category, own.split(), aliases.split(), extra.split(), out.split(), True) for i, (name, slug, category, own, aliases, extra, out) in enumerate(_cells(BRANDS))]
+    rows = [(i, name, slug, category, own.split(), aliases.split(), extra.split(), out.split(), True) for i, (name, slug, category, own, aliases, extra, out) in enumerate(cells(BRANDS))]
     return watchlist.with_terms(spark.createDataFrame(rows, watchlist.BRAND))
 
 
 def allowlist(spark: SparkSession, brands_: DataFrame | None = None) -> DataFrame:
     """domain, brand_id (null for a slug that isn't in brands), reason, added_by."""
-    rows = spark.createDataFrame([tuple(c) for c in _cells(ALLOWED)], "domain string, slug string, reason string")
+    rows = spark.createDataFrame([tuple(c) for c in cells(ALLOWED)], "domain string, slug string, reason string")
     known = (brands(spark) if brands_ is None else brands_).select("slug", F.col("id").alias("brand_id"))
     return rows.join(F.broadcast(known), "slug", "left").select("domain", "brand_id", "reason", F.lit("seed").alias("added_by"))

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from conftest import data_dir
 
-from namelens import queries, queries_more, queries_streams  # noqa: F401
+from namelens import queries, queries_answers, queries_more, queries_streams  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
