@@ -83,6 +83,19 @@ def with_reports(candidates: DataFrame, reports: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("disputed"), "id")
 
 
+def report_rows(candidates: DataFrame, reports: DataFrame) -> DataFrame:
+    """Candidates (id, ...) with disputed and one open report a row (report_id, created_at, kind, note), disputed candidates first, reports oldest first.
+
+    The flat form of ``with_reports``: a candidate's reports are never gathered in one row, however many
+    there are.  One without open reports has one row with nulls.
+    """
+    open_ = reports.where("status = 'open' AND candidate_id IS NOT NULL")
+    flags = open_.groupBy(F.col("candidate_id").alias("id")).agg(F.max(F.coalesce(F.col("kind") == "dispute", F.lit(False))).alias("disputed"))
+    told = open_.select(F.col("candidate_id").alias("id"), F.col("id").alias("report_id"), "created_at", "kind", "note")
+    rows = candidates.join(flags, "id", "left").withColumn("disputed", F.coalesce("disputed", F.lit(False))).join(told, "id", "left")
+    return rows.orderBy(F.desc("disputed"), "id", "created_at", "report_id")
+
+
 def orphan_reports(reports: DataFrame) -> DataFrame:
     """Open reports that name no candidate, oldest first."""
     return reports.where("status = 'open' AND candidate_id IS NULL").orderBy("created_at", "id")

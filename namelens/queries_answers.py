@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namelens.functions import domains
-from namelens.plans import answers, jobs
+from namelens.plans import answers, jobs, views
 from namelens.queries import _FEED, _PARKED, _PASSWORD, _latest, AS_OF, CANDIDATES, SCORED, at, candidates_of_orders, feed_tables, query, read, scored_lines
 from namelens.queries_more import reports_of, supplier_leaf
 from namelens.sources import certificates, fetches, seed
@@ -61,6 +61,16 @@ def report_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.report_queue(reports_of(spark, sf_dir)).select("count", F.posexplode("items").alias("pos", "i")).select("pos", "i.id", "count")
 
 
+_OPEN = "(SELECT l_orderkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS report_id, l_returnflag = 'R' AS dispute FROM lineitem WHERE l_linestatus = 'O' AND l_partkey % 50 <> 0)"
+
+
+@query(f"SELECT o_orderkey AS id, coalesce(bool_or(dispute) OVER (PARTITION BY o_orderkey), FALSE) AS disputed, report_id, CASE WHEN dispute THEN 'dispute' WHEN report_id IS NOT NULL THEN 'confirm' END AS kind FROM orders LEFT JOIN {_OPEN} ON l_orderkey = o_orderkey")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders with their open reports, a report a row."""
+    candidates = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return views.report_rows(candidates, reports_of(spark, sf_dir)).select("id", "disputed", "report_id", "kind")
+
+
 @query("""SELECT d.id, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN 'd' || d.id END AS domain, CASE WHEN error IS NULL THEN CASE d.action WHEN 'publish' THEN 'published' WHEN 'hide' THEN 'hidden' ELSE 'cleared' END END AS publish_state,
 CASE WHEN error IS NULL THEN d.action = 'clear' END AS allowlisted, CASE WHEN error IS NULL THEN CASE WHEN d.action = 'clear' THEN coalesce(n, 0) ELSE 0 END END AS resolved_reports FROM (SELECT *, CASE WHEN k = 5 THEN 'id and action are required' WHEN k = 4 THEN 'action must be one of: publish, clear, hide'
 WHEN id < 0 THEN 'candidate not found' WHEN k = 2 THEN 'a reason is required to clear' END AS error FROM (SELECT CASE WHEN o_custkey % 10 = 0 THEN -o_orderkey ELSE o_orderkey END AS id, o_orderkey % 6 AS k, ['publish', 'clear', 'clear', 'hide', 'drop', NULL][1 + o_orderkey % 6] AS action FROM orders)) d

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from namelens import constants as C
-from namelens.plans import answers, jobs
+from namelens.plans import answers, jobs, views
 
 CANDIDATE = "id bigint, domain string, unicode_domain string, matched_brand_id bigint, matched_term string, match_kind string, edit_distance int, homoglyph_flag boolean, cert_issuer string, cert_issued_at timestamp, first_seen_at string, last_seen_at timestamp, publish_state string"
 BRAND = "id bigint, name string, slug string, category string, official_domains array<string>, aliases array<string>, active boolean"
@@ -94,6 +94,13 @@ def test_queues(spark):
     assert tuple(answers.report_queue(reports.limit(0)).first()) == ("reports", 0, [])
 
 
+def test_report_rows(spark):
+    reports = spark.createDataFrame([(1, 5, "open", "other", "2025-01-02"), (2, 5, "open", "dispute", "2025-01-03"), (3, 5, "resolved", "dispute", "2025-01-01"), (4, 6, "open", None, None), (5, None, "open", "dispute", None), (6, 7, "resolved", "dispute", None), (7, 5, "open", "other", "2025-01-02")], "id bigint, candidate_id bigint, status string, kind string, created_at string").withColumn("note", F.lit(""))
+    rows = views.report_rows(spark.createDataFrame([(4,), (5,), (6,), (7,)], "id bigint"), reports).collect()
+    assert [(r["id"], r["disputed"], r["report_id"]) for r in rows] == [(5, True, 1), (5, True, 7), (5, True, 2), (4, False, None), (6, False, 4), (7, False, None)]
+    assert views.report_rows(spark.range(0), reports.limit(0)).count() == 0
+
+
 def test_outcomes(spark):
     known = spark.createDataFrame([(1, "a.com"), (2, "b.com"), (3, "c.com")], "id bigint, domain string")
     reports = spark.createDataFrame([(1, "open"), (1, "open"), (1, "resolved"), (2, "open"), (None, "open")], "candidate_id bigint, status string")
