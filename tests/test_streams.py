@@ -143,6 +143,26 @@ def test_timers_equal_the_batch_queue(spark, tmp_path):
     stream.stop()
 
 
+def test_timers_of_many_domains_share_buckets(spark, tmp_path):
+    """A key of the state holds many domains, and its one timer gives all that are due; the rows are those of the batch queue."""
+    rows = lambda hour, every: [(f"d{i}.com", str(i), "retired" if i % 7 == hour else "verified", "hidden", T((i + hour) % 12, i % 60), T(hour)) for i in range(0, 3000, every)]
+    source = spark.readStream.schema(CANDIDATES).parquet(str(tmp_path / "in" / "*")).withWatermark("updated_at", "0 seconds")
+    newest, told, stream = {}, set(), None
+    for n, (hour, every) in enumerate([(3, 1), (6, 5), (8, 3000)]):
+        spark.createDataFrame(rows(hour, every), CANDIDATES).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+        if stream is None:
+            with timers.stores(spark):
+                stream = timers.due_rows(timers.schedules(source, F.unix_millis("updated_at")), "EventTime").writeStream.format("memory").queryName("due_many").option("checkpointLocation", str(tmp_path / "cp")).start()
+        stream.processAllAvailable()
+        newest |= {x[0]: x for x in rows(hour, every)}
+        told |= {(x["domain"], x["id"], x["next_recheck_at"]) for x in ranking.due(spark.createDataFrame(list(newest.values()), CANDIDATES), F.lit(T(hour)), 10_000).collect()}
+        given = [tuple(x) for x in spark.table("due_many").collect()]
+        assert len(given) == len(set(given)) and set(given) == told, hour
+    # the schedules of a bucket, its timer, and the timer's index
+    assert 0 < stream.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 1024
+    stream.stop()
+
+
 def test_due_once_rescheduled_and_retired(spark, tmp_path):
     """By the machine's own clock."""
     start = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
