@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ SPACE = "[\\x20\\x09-\\x0D]"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]+"
 #: Text bytes that one NumPy step works on; bounds a task's memory.
 STEP_BYTES = 500_000
+#: Rows of a few numbers that one task takes.
+TASK_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +44,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has about so many rows of a few numbers, in tasks of TASK_ROWS.
+
+    Where Spark doesn't merge small partitions itself, a small table would have as many tasks and files as a large one.
+    """
+    return df.coalesce(max(1, math.ceil(rows / TASK_ROWS)))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without nulls: text i is bytes[offsets[i]:offsets[i + 1]]."""
     column = column.cast(pa.large_string())

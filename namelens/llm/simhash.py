@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namelens.llm.common import checkpoint, text_of
+from namelens.llm.common import checkpoint, few, text_of
 from namelens.llm.components import connected_components
 from namelens.llm.exactdedup import drop_rows
 
@@ -328,8 +328,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(parts[:, i]) for i in range(SKETCH // 64))], names=["id", *(f"s{i}" for i in range(SKETCH // 64))])
 
 
-def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, first) of the nodes (id, fp, size, bands).
+def _candidates(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(members, first) of the n nodes (id, fp, size, bands).
 
     members: band, id, size, weight of every band that several nodes share.  first: the pairs to look at first, which
     are the links of the trees, and in each band its nodes with the one that has the most neighbours in all bands (of
@@ -338,40 +338,41 @@ def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     posted = nodes.select("id", "size", F.explode("bands").alias("band"))
     shared = posted.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("id").alias("least")).where("n > 1")
     # bands with the same nodes count once
-    groups = checkpoint(shared.groupBy("n", "x", "y", "least").agg(F.min("band").alias("band")).select("band", "n"))
-    members = checkpoint(posted.join(groups, "band"))
-    weights = checkpoint(members.groupBy("id").agg(F.sum("n").alias("weight")))
-    members = checkpoint(members.drop("n").join(weights, "id"))
-    centres = checkpoint(members.groupBy("band").agg(F.max(F.struct("weight", "id", "size")).alias("c")))
+    groups = checkpoint(few(shared.groupBy("n", "x", "y", "least").agg(F.min("band").alias("band")).select("band", "n"), n * BANDS))
+    members = checkpoint(few(posted.join(groups, "band"), n * BANDS))
+    weights = checkpoint(few(members.groupBy("id").agg(F.sum("n").alias("weight")), n))
+    members = checkpoint(few(members.drop("n").join(weights, "id"), n * BANDS))
+    centres = checkpoint(few(members.groupBy("band").agg(F.max(F.struct("weight", "id", "size")).alias("c")), n * BANDS))
     star = members.join(centres, "band").select(F.col("c.id").alias("a"), F.col("c.size").alias("m"), F.col("id").alias("b"), F.col("size").alias("n"))
     # one node stands for all of a fingerprint; the others are linked to it
-    stands = checkpoint(nodes.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("s"), F.count("*").alias("many")).select("fp", "s.id", "s.size", "many"))
+    stands = checkpoint(few(nodes.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("s"), F.count("*").alias("many")).select("fp", "s.id", "s.size", "many"), n))
     end = lambda fp, i, n: stands.select(F.col("fp").alias(fp), F.col("id").alias(i), F.col("size").alias(n))
     close = links(stands.select("fp"), stands.count()).withColumnsRenamed({"a": "x", "b": "y"}).join(end("x", "a", "m"), "x").join(end("y", "b", "n"), "y").select("a", "m", "b", "n")
     same = stands.where("many > 1").select("fp", F.col("id").alias("a"), F.col("size").alias("m"))
     same = nodes.select("fp", F.col("id").alias("b"), F.col("size").alias("n")).join(same, "fp").select("a", "m", "b", "n")
-    return members, checkpoint(_comparable(star.unionByName(close).unionByName(same)))
+    return members, checkpoint(few(_comparable(star.unionByName(close).unionByName(same)), n * BANDS))
 
 
-def _near_roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """id, root of every node (id, key, fp, size, bands): nodes that chains of near copies connect have one root; texts has key, text.
+def _near_roots(nodes: DataFrame, n: int, texts: DataFrame) -> DataFrame:
+    """id, root of each of the n nodes (id, key, fp, size, bands): nodes that chains of near copies connect have one root; texts has key, text.
 
     Candidates are the links of the trees and all pairs that share a band.  Every link is verified on the whole
     sets of shingles, which only nodes with a candidate get.  What the first pairs (see _candidates) leave in several
     components of one band is compared by sketches in the join, and verified where these are alike; a pair of likeness
     0.8 fails there with a probability of 0.005 %.
     """
-    members, first = _candidates(nodes)
+    members, first = _candidates(nodes, n)
     named = members.select("id").unionByName(first.select(F.col("a").alias("id"))).unionByName(first.select(F.col("b").alias("id"))).distinct()
-    named = checkpoint(named.join(nodes.select("id", "key"), "id"))
-    whole = texts.join(named, "key").groupBy("id").agg(F.first("text").alias("text"))
+    named = checkpoint(few(named.join(nodes.select("id", "key"), "id"), n))
+    # copies go before the shuffle, which also serves the join: a node has a key of its own
+    whole = texts.groupBy("key").agg(F.first("text").alias("text")).join(named, "key").select("id", "text")
     sets = checkpoint(whole.mapInArrow(_shingle_sets, "id long, shingles array<long>"))
     roots = connected_components(_alike(first, sets)).withColumnRenamed("node", "id")
-    roots = checkpoint(nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    roots = checkpoint(few(nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), n))
 
-    rooted = checkpoint(members.select("band", "id", "size").join(roots, "id"))
+    rooted = checkpoint(few(members.select("band", "id", "size").join(roots, "id"), n * BANDS))
     several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    apart = checkpoint(rooted.join(several, "band", "left_semi"))
+    apart = checkpoint(few(rooted.join(several, "band", "left_semi"), n * BANDS))
     parts = [f"s{i}" for i in range(SKETCH // 64)]
     marks = sets.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_sketches, "id long, " + ", ".join(f"{p} long" for p in parts))
     held = apart.groupBy("id").agg(F.collect_list("band").alias("bands"))  # BANDS at most
@@ -388,8 +389,8 @@ def _near_roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         return roots
     end = lambda i, r: roots.select(F.col("id").alias(i), F.col("root").alias(r))
     above = connected_components(more.join(end("a", "x"), "a").join(end("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    above = checkpoint(above.select(F.col("node").alias("root"), F.col("root").alias("top")))
-    return checkpoint(roots.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root")))
+    above = checkpoint(few(above.select(F.col("node").alias("root"), F.col("root").alias("top")), n))
+    return checkpoint(few(roots.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root")), n))
 
 
 def near_deduplicated(docs: DataFrame) -> DataFrame:
@@ -408,9 +409,12 @@ def near_deduplicated(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
     nodes = rows.groupBy("key").agg(F.min(order).alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = checkpoint(nodes.withColumn("id", F.monotonically_increasing_id()))
-    rooted = checkpoint(_near_roots(nodes, docs.select(key.alias("key"), text_of().alias("text"))).join(nodes.select("id", "key", "least"), "id"))
-    best = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("least")))
-    kept = checkpoint(rooted.select("root", "key").join(best, "root").select("key", "least"))
+    n = nodes.count()
+    nodes = few(nodes, n * BANDS)
+    rooted = _near_roots(nodes, n, docs.select(key.alias("key"), text_of().alias("text"))).join(nodes.select("id", "key", "least"), "id")
+    rooted = checkpoint(few(rooted, n))
+    best = checkpoint(few(rooted.groupBy("root").agg(F.min("least").alias("least")), n))
+    kept = checkpoint(few(rooted.select("root", "key").join(best, "root").select("key", "least"), n))
     judged = rows.select("doc_id", "key").join(kept, "key")
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))
     gone = judged.where(~stays).select("doc_id", "key", F.lit(False).alias("repeated"))

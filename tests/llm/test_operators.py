@@ -819,3 +819,25 @@ def test_losses_by_folds_leave_held_out_rows_alone(spark):
     assert found[settings[0]] < 0.1 < found[settings[1]]
     wrong = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert toxicity.losses_by_folds(docs, wrong, settings, folds=2) == pytest.approx(found)
+
+
+def test_components_of_few_links_take_few_tasks(spark, tmp_path):
+    """Rounds over a small table write a few files each, though Spark deals shuffles out to many tasks."""
+    from namelens.llm.components import connected_components
+
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    context = spark.sparkContext
+    before = context._jsc.sc().getCheckpointDir()
+    try:
+        context.setCheckpointDir(str(tmp_path))
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = connected_components(spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 200)], "a long, b long"))
+        assert {(r["node"], r["root"]) for r in found.collect()} == {(i, 0) for i in range(31)} | {(100, 100), (200, 100)}
+    finally:
+        if before.isDefined():
+            context.setCheckpointDir(before.get())
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    tables = [list(p.glob("part-*")) for p in tmp_path.glob("*/rdd-*")]
+    assert len(tables) > 4 and sum(map(len, tables)) < 2 * 40 + len(tables)
