@@ -120,6 +120,15 @@ def evidence() -> Column:
     return F.array_compact(F.array(*[one(key, shown) for key, shown in _shown()]))
 
 
+def category_points() -> dict[str, Column]:
+    """By category: the points that a row's signals add in it, without those that are taken away; plain sums, no list of signals."""
+    sums = {_category(key): F.lit(0) for key in C.WEIGHTS}
+    for key, shown in _shown():
+        if C.WEIGHTS[key] > 0:
+            sums[_category(key)] += F.when(shown, C.WEIGHTS[key]).otherwise(0)
+    return sums
+
+
 def signals(rows: DataFrame) -> Column:
     """The signals (SIGNAL) that a row shows, in fixed order; those without points are left out."""
     told = {name: F.col(name) if name in rows.columns else F.lit(None).cast(kind) for name, kind in TOLD.items()}

@@ -177,14 +177,20 @@ def category_ceilings() -> dict[str, int]:
 def category_use(scored: DataFrame) -> DataFrame:
     """By category: its ceiling, the most points that a row (signals) has in it, and how many rows reach the ceiling.
 
-    Points taken away count as none; a row without signals in a category has none there.
+    Points taken away count as none; a row without signals in a category has none there.  A table without rows
+    has every category, with nothing in it.
     """
-    def use(name: str, ceiling: int) -> Column:
-        points = F.transform(F.filter("signals", lambda s: (s["category"] == name) & (s["points"] > 0)), lambda s: s["points"].cast("int"))
-        return F.struct(F.lit(name).alias("category"), F.lit(ceiling).alias("ceiling"), F.coalesce(F.aggregate(points, F.lit(0), lambda a, b: a + b), F.lit(0)).alias("points"))
+    def points(name: str) -> Column:
+        return F.coalesce(F.aggregate("signals", F.lit(0), lambda n, s: n + F.when((s["category"] == name) & (s["points"] > 0), s["points"].cast("int")).otherwise(0)), F.lit(0))
 
-    rows = scored.select(F.explode(F.array(*[use(*x) for x in category_ceilings().items()])).alias("u")).select("u.*")
-    return rows.groupBy("category", "ceiling").agg(F.max("points").alias("most"), F.count_if((F.col("points") >= F.col("ceiling")) & (F.col("ceiling") > 0)).alias("reached"))
+    return category_totals(scored.select(*[points(c).alias(c) for c in category_ceilings()]))
+
+
+def category_totals(points: DataFrame) -> DataFrame:
+    """As category_use, of rows with their points by category (``scoring.category_points``), all categories in one pass."""
+    ceilings = category_ceilings()
+    found = points.agg(*[F.struct(F.lit(c).alias("category"), F.lit(n).alias("ceiling"), F.coalesce(F.max(c), F.lit(0)).alias("most"), (F.count_if(F.col(c) >= n) if n else F.lit(0).cast("long")).alias("reached")).alias(c) for c, n in ceilings.items()])
+    return found.select(F.explode(F.array(*ceilings)).alias("u")).select("u.*")
 
 
 def due_share(rows: DataFrame, as_of: Column) -> DataFrame:

@@ -388,7 +388,7 @@ def cert_gap_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", gap.alias("gap"), F.when(gap <= 0, "same day").when(gap <= 3, "three days").otherwise("later").alias("bucket"))
 
 
-def scored_lines(spark: SparkSession, sf_dir: str, notes: bool = False, told: bool = False) -> DataFrame:
+def checked_lines(spark: SparkSession, sf_dir: str, told: bool = False) -> DataFrame:
     """Line items as verified candidates, with every signal on some of them; told: with what labels and details speak of."""
     more = [
         F.col("l_partkey").cast("string").alias("matched_term"), F.concat(F.lit("Brand "), F.col("l_suppkey").cast("string")).alias("brand_name"),
@@ -397,7 +397,7 @@ def scored_lines(spark: SparkSession, sf_dir: str, notes: bool = False, told: bo
     ] if told else []
     rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     kinds = list(C.KIND_RANK)
-    rows = rows.select(
+    return rows.select(
         F.col("l_orderkey"), F.col("l_linenumber"), F.when(F.col("l_partkey") % 3 == 0, "my-login.com").otherwise("my-shop.com").alias("domain"),
         F.get(domains.lits(kinds), (F.col("l_partkey") % 5).cast("int")).alias("match_kind"), (F.col("l_suppkey") % 2 + 1).cast("int").alias("edit_distance"),
         (F.col("l_suppkey") % 7 == 0).alias("mixed_script"), (F.col("l_linestatus") == "O").alias("resolves"), (F.col("l_returnflag") == "R").alias("has_mx"),
@@ -406,7 +406,10 @@ def scored_lines(spark: SparkSession, sf_dir: str, notes: bool = False, told: bo
         (F.col("l_quantity") > 25).alias("has_password_field"), F.when(F.col("l_discount") > 0.05, domains.lits(["brand"])).alias("brand_terms_on_page"),
         (F.col("l_tax") > 0.06).alias("form_posts_offsite"), (F.col("l_quantity") < 5).alias("looks_parked"), F.lit(None).cast("int").alias("asn_reputation_score"), *more,
     )
-    return scoring.scored(rows, notes)
+
+
+def scored_lines(spark: SparkSession, sf_dir: str, notes: bool = False, told: bool = False) -> DataFrame:
+    return scoring.scored(checked_lines(spark, sf_dir, told), notes)
 
 
 _W = C.WEIGHTS

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namelens.functions import domains
+from namelens.operators import scoring
 from namelens.plans import answers, jobs, views
-from namelens.queries import _FEED, _PARKED, _PASSWORD, _latest, AS_OF, CANDIDATES, SCORED, at, candidates_of_orders, feed_tables, query, read, scored_lines
+from namelens.queries import _FEED, _PARKED, _PASSWORD, _latest, AS_OF, CANDIDATES, SCORED, at, candidates_of_orders, checked_lines, feed_tables, query, read
 from namelens.queries_more import reports_of, supplier_leaf
 from namelens.sources import certificates, fetches, seed
 
@@ -130,7 +131,7 @@ _CEILINGS = jobs.category_ceilings()
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS category, {n} AS ceiling, CAST(coalesce(max(greatest(0, {f'p_{c}' if n else 0})), 0) AS INTEGER) AS most, count(*) FILTER (WHERE {f'p_{c} >= {n}' if n else 'FALSE'}) AS reached FROM {SCORED}" for c, n in _CEILINGS.items()))
 def category_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.category_use(scored_lines(spark, sf_dir))
+    return jobs.category_totals(checked_lines(spark, sf_dir).select(*[points.alias(c) for c, points in scoring.category_points().items()]))
 
 
 _SEEDED = "(VALUES " + ", ".join(f"('{d}', '{why}', {i})" for i, (d, _slug, why) in enumerate(seed.cells(seed.ALLOWED))) + ")"

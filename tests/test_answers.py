@@ -134,3 +134,11 @@ def test_category_use(spark):
     rows = spark.createDataFrame([([("name", 40), ("name", 4), ("name", -9)],), ([("mitigating", -5)],), ([],), (None,)], kind)
     got = {r["category"]: (r["most"], r["reached"]) for r in jobs.category_use(rows).collect()}
     assert got["name"] == (44, int(jobs.category_ceilings()["name"] <= 44)) and got["mitigating"] == (0, 0) and got["content"] == (0, 0)
+
+
+def test_category_use_of_no_rows_and_in_one_pass(spark):
+    rows = spark.createDataFrame([([("name", 40)],)] * 3, "signals array<struct<category:string,points:int>>")
+    got = {r["category"]: (r["ceiling"], r["most"], r["reached"]) for r in jobs.category_use(rows.where("false")).collect()}
+    assert got == {c: (n, 0, 0) for c, n in jobs.category_ceilings().items()}
+    plan = jobs.category_use(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # categories part after the rows are added up
