@@ -165,7 +165,9 @@ def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         when(k % 3 == 0, '<input class=a type = "password">'), when(k % 7 == 0, "<input name='x-pwd'>"), F.lit("</form>"), when(k % 2 == 0, "<b>ACME</b>"), when(k % 5 == 0, "netbanking cvv mpin"), when(k % 11 == 0, "Coming Soon"), F.lit("y" * 2000),
     )
     found = content.analyse(html, F.lit("shop.com"), domains.lits(["Acme", "zz"]))
-    return read(spark, sf_dir, "customer").select("c_custkey", found.alias("c")).select("c_custkey", "c.page_title", "c.has_password_field", F.array_join("c.brand_terms_on_page", ",").alias("brands"), "c.form_posts_offsite", "c.looks_parked", "c.content_risk_score")
+    # a small file would be one task, but each of its rows is a page of work
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(2 * spark.sparkContext.defaultParallelism, "c_custkey")
+    return customers.select("c_custkey", found.alias("c")).select("c_custkey", "c.page_title", "c.has_password_field", F.array_join("c.brand_terms_on_page", ",").alias("brands"), "c.form_posts_offsite", "c.looks_parked", "c.content_risk_score")
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'IANA registrar ' || o_orderkey WHEN 1 THEN 'Late ' || o_orderkey ELSE 'Deep ' || o_orderkey END AS registrar FROM orders WHERE o_orderkey % 9 <> 8")

@@ -54,3 +54,7 @@ def test_entry_without_corpus_operators(spark):
     assert entry.entry(spark).columns == ["domain", "brand_slug", "matched_term", "match_kind", "edit_distance"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.basename(entry.__file__) == "__spark_entry__.py"
+
+
+def test_pages_of_a_small_file_are_spread_over_tasks(spark):
+    assert queries.QUERIES["page_signals"](spark, data_dir("sf0.001")).rdd.getNumPartitions() >= 4
