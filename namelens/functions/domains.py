@@ -6,6 +6,8 @@ everywhere, and an empty array where an array is returned.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,6 +105,11 @@ def keyword_hits(tokens: Column, keywords=C.KEYWORDS) -> Column:
     return F.array_distinct(F.filter(F.transform(tokens, canonical), lambda k: k.isNotNull()))
 
 
+def has_keyword(label: Column, keywords=C.KEYWORDS) -> Column:
+    """True where ``keyword_hits`` of the label's tokens finds any; one pattern, no list of tokens."""
+    return F.lower(label).rlike(rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, keywords))})(?:e?s)?(?![a-z0-9])")
+
+
 def seed_label(domain: Column) -> Column:
     """The label before the suffix of a brand's own domain, by the shorter list of suffixes; '' if there is none."""
 

@@ -10,6 +10,8 @@ gives no detail; repeated rows are scored alike; an empty table gives no rows; o
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def days_between(later: Column, earlier: Column) -> Column:
 
 
 def is_free_issuer(issuer: Column) -> Column:
-    return domains.let(F.lower(issuer), lambda low: F.exists(domains.lits(C.FREE_ISSUERS), lambda name: F.contains(low, name)))
+    return F.lower(issuer).rlike("|".join(map(re.escape, C.FREE_ISSUERS)))
 
 
 def _shown() -> list[tuple[str, Column]]:
@@ -42,14 +44,13 @@ def _shown() -> list[tuple[str, Column]]:
     kind, age = F.col("match_kind"), F.col("domain_age_days")
     gap = days_between(F.col("cert_issued_at"), F.col("domain_created_at"))
     brand = F.size(F.coalesce("brand_terms_on_page", F.array().cast("array<string>"))) > 0
-    keywords = F.size(domains.keyword_hits(domains.tokenize(F.col("domain")))) > 0
     every = [
         ("name.homoglyphNonAscii", kind == "homoglyph"),
         ("name.exactToken", kind.isin("exact_token", "keyword_combo")),
         ("name.editDistance1", (kind == "edit_distance") & (F.col("edit_distance") == 1)),
         ("name.editDistance2", (kind == "edit_distance") & (F.col("edit_distance") != 1)),
         ("name.substring", kind == "substring"),
-        ("name.phishingKeyword", keywords),
+        ("name.phishingKeyword", domains.has_keyword(F.col("domain"))),
         ("name.mixedScript", F.col("mixed_script") & (kind != "homoglyph")),
         ("infrastructure.resolves", F.col("resolves")),
         ("infrastructure.hasMx", F.col("has_mx")),
@@ -114,12 +115,6 @@ def _spoken(told: dict[str, Column]) -> tuple[dict[str, Column], dict[str, Colum
     return labels, details
 
 
-def evidence() -> Column:
-    """Key, points and category of the signals that a row shows: all that its score depends on."""
-    one = lambda key, shown: F.when(shown, F.struct(F.lit(key).alias("key"), F.lit(C.WEIGHTS[key]).alias("points"), F.lit(_category(key)).alias("category")))
-    return F.array_compact(F.array(*[one(key, shown) for key, shown in _shown()]))
-
-
 def category_points() -> dict[str, Column]:
     """By category: the points that a row's signals add in it, without those that are taken away; plain sums, no list of signals."""
     sums = {_category(key): F.lit(0) for key in C.WEIGHTS}
@@ -129,6 +124,16 @@ def category_points() -> dict[str, Column]:
     return sums
 
 
+def points_taken() -> Column:
+    """The points that a row's mitigating signals take away, as a number below zero; zero if it shows none."""
+    return sum((F.when(shown, C.WEIGHTS[key]).otherwise(0) for key, shown in _shown() if C.WEIGHTS[key] < 0), F.lit(0))
+
+
+def _those(pairs: list[tuple[Column, Column]], kind: str) -> Column:
+    """The values whose condition holds, in order.  Spark compiles it, where it would interpret a filter over all of them."""
+    return F.concat(*[F.when(holds, F.array(value)).otherwise(F.array()).cast(f"array<{kind}>") for holds, value in pairs])
+
+
 def signals(rows: DataFrame) -> Column:
     """The signals (SIGNAL) that a row shows, in fixed order; those without points are left out."""
     told = {name: F.col(name) if name in rows.columns else F.lit(None).cast(kind) for name, kind in TOLD.items()}
@@ -138,18 +143,8 @@ def signals(rows: DataFrame) -> Column:
         told["homoglyph_detail"] = F.struct(*[(told["homoglyph_detail"][n] if n in held else F.lit(None)).cast(kind).alias(n) for n, kind in wanted.items()])
     labels, details = _spoken(told)
     none = F.lit(None).cast("string")
-    one = lambda key, shown: F.when(shown, F.struct(F.lit(key).alias("key"), labels[key].alias("label"), F.lit(C.WEIGHTS[key]).alias("points"), F.lit(_category(key)).alias("category"), details.get(key, none).alias("detail")).cast(SIGNAL))
-    return F.array_compact(F.array(*[one(key, shown) for key, shown in _shown()]))
-
-
-def total(found: Column) -> Column:
-    points = F.aggregate(found, F.lit(0), lambda a, s: a + s["points"])
-    return F.greatest(F.lit(0), F.least(F.lit(100), points))
-
-
-def categories(found: Column) -> Column:
-    """Distinct categories of signals that add points."""
-    return F.array_distinct(F.transform(F.filter(found, lambda s: (s["points"] > 0) & (s["category"] != "mitigating")), lambda s: s["category"]))
+    one = lambda key: F.struct(F.lit(key).alias("key"), labels[key].alias("label"), F.lit(C.WEIGHTS[key]).alias("points"), F.lit(_category(key)).alias("category"), details.get(key, none).alias("detail"))
+    return _those([(shown, one(key)) for key, shown in _shown()], SIGNAL)
 
 
 def tier(score: Column) -> Column:
@@ -175,15 +170,24 @@ def publish_state(tier_: Column, state: Column) -> Column:
 def scored(rows: DataFrame, notes: bool = False) -> DataFrame:
     """rows with signals, score, categories, tier and gate_note; with notes the gate's note is a signal as well, its text the label.
 
-    The score follows from ``evidence``, so that labels are made only where signals are asked for.
+    The score follows from sums of points, so that signals with their labels are made only where they are asked for.
+    They are left out of whole-stage code by the lambda in the detail of keywords; all in one method, they would be too long
+    for the JVM to compile.
     """
-    found = free(rows, "evidence")
-    spoken = signals(rows)
-    out = rows.withColumn(found, evidence())
-    out = out.withColumns({"score": total(F.col(found)), "categories": categories(F.col(found))})
-    tier_, note = gated(F.col("score"), F.col("resolves"), F.col("categories"), F.transform(F.filter(found, lambda s: s["points"] > 0), lambda s: s["key"]))
-    out = out.withColumns({"tier": tier_, "gate_note": note})
+    sums = category_points() | {"mitigating": points_taken()}
+    held, found = {category: free(rows, f"points_{category}") for category in sums}, free(rows, "found")
+    strong = _those([(shown, F.lit(key)) for key, shown in _shown() if key in C.STRONG_SIGNALS and C.WEIGHTS[key] > 0], "string")
+    listed = signals(rows)
+    out = rows.withColumns({held[category]: points for category, points in sums.items()})
+    out = out.withColumns({
+        "score": F.greatest(F.lit(0), F.least(F.lit(100), sum((F.col(name) for name in held.values()), F.lit(0)))),
+        "categories": _those([(F.col(name) > 0, F.lit(category)) for category, name in held.items()], "string"),
+    })
+    tier_, note = gated(F.col("score"), F.col("resolves"), F.col("categories"), strong)
+    out = out.withColumns({"tier": tier_, "gate_note": note, found: listed})
+    # the list is named twice, so that Spark makes it in a step of its own and not, interpreted, under a lambda of whoever reads it
+    spoken = F.when(F.size(found) > 0, F.col(found)).otherwise(F.array().cast(f"array<{SIGNAL}>"))
     if notes:
         gate = F.struct(F.lit("gate.note").alias("key"), F.col("gate_note").alias("label"), F.lit(0).alias("points"), F.lit("mitigating").alias("category"), F.lit(None).cast("string").alias("detail")).cast(SIGNAL)
-        spoken = F.when(F.col("gate_note").isNotNull(), F.concat(spoken, F.array(gate))).otherwise(spoken)
-    return out.withColumn("signals", spoken).drop(found)
+        spoken = F.when(F.col("gate_note").isNotNull(), F.concat(found, F.array(gate))).otherwise(F.col(found))
+    return out.withColumn("signals", spoken).drop(*held.values(), found)

@@ -1,10 +1,13 @@
 import random
+import re
 
 import pytest
+from conftest import data_dir
 from pyspark.sql import functions as F
 
 from namelens import constants as C
-from namelens.functions import content, edit, folding
+from namelens import queries, queries_more  # noqa: F401
+from namelens.functions import content, domains, edit, folding
 from namelens.operators import matching, prefilter, scoring
 from namelens.sources import watchlist
 
@@ -142,3 +145,42 @@ def test_legitimate_pages_have_no_strong_signal(spark):
     page = "<html><title>Bakery</title><form action='/order'><input name=email></form>" + "x" * 2000
     got = spark.createDataFrame([(page,)], "h string").select(content.has_password_field(F.col("h")).alias("p")).first()["p"]
     assert got is False
+
+
+@pytest.mark.parametrize("name", ["signal_score", "signal_split", "gate_notes", "signal_labels"])
+def test_scores_and_signals_are_compiled(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = queries.QUERIES[name](spark, data_dir("sf0.001"))._jdf.queryExecution()
+        steps = [line for line in plan.optimizedPlan().toString().splitlines() if " Project [" in line or line.startswith("Project [")]
+        lists = [line for line in steps if "Uses look-alike" in line]
+        # the list of signals is made in one step, and no lambda reads it there; nothing else needs one
+        assert len(lists) == (name != "signal_score")
+        assert all("concat(CASE WHEN (match_kind" in line and "gate.note" not in line and ".points" not in line and ".label" not in line for line in lists)
+        assert not any("aggregate(" in line or "filter(array" in line for line in steps)
+        code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(plan.executedPlan())
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+        assert sizes and max(sizes) < 8000  # longer methods are left uncompiled by the JVM
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_has_keyword_is_keyword_hits(spark):
+    words = ["login", "LOGINS", "my-login.com", "mylogin.com", "payses", "pays", "payes", "paymentss", "kyc_otp", "é-kyc", "ékycé", "kyc1", "1kyc", "", "-", "cares", "bonus", "bonuses", "bonu", "reactivations-x", "x\nlogin", "authenticate", None]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    got = rows.select("w", (F.size(domains.keyword_hits(domains.tokenize(F.col("w")))) > 0).alias("want"), domains.has_keyword(F.col("w")).alias("got")).collect()
+    assert [(r["w"], r["got"]) for r in got] == [(r["w"], r["want"] if r["w"] is not None else None) for r in got]
+
+
+def test_scored_row_of_nulls_and_own_columns(spark):
+    kinds = {"edit_distance": "int", "mixed_script": "boolean", "resolves": "boolean", "has_mx": "boolean", "domain_age_days": "int", "domain_created_at": "timestamp", "cert_issued_at": "timestamp", "has_password_field": "boolean", "brand_terms_on_page": "array<string>", "form_posts_offsite": "boolean", "looks_parked": "boolean", "asn_reputation_score": "int"}
+    rows = spark.createDataFrame([{}], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in scoring.INPUT))
+    mine = rows.withColumns({"found": F.lit("mine"), "points_name": F.lit(7)})
+    full = mine.withColumns({"match_kind": F.lit("homoglyph"), "has_mx": F.lit(True), "domain_age_days": F.lit(1), "has_password_field": F.lit(True), "cert_issuer": F.lit("C=US, O=Let's Encrypt"), "domain": F.lit("a-kyc.com"), "looks_parked": F.lit(True)})
+    for notes in (False, True):
+        empty, dead = (scoring.scored(df, notes).first() for df in (mine, full))
+        assert (empty["score"], empty["categories"], empty["tier"], empty["gate_note"], empty["signals"], empty["found"], empty["points_name"]) == (0, [], "low", None, [], "mine", 7)
+        assert (dead["score"], dead["categories"], dead["tier"]) == (28 + 10 + 6 + 14 + 22 + 4 - 15, ["name", "infrastructure", "registration", "content", "certificate"], "medium")
+        assert [s["key"] for s in dead["signals"]] == ["name.homoglyphNonAscii", "name.phishingKeyword", "infrastructure.hasMx", "registration.ageUnder3Days", "content.passwordField", "content.looksParked", "certificate.freeDvIssuer"]
+    full = full.withColumn("looks_parked", F.lit(False))
+    assert [s["label"] for s in scoring.scored(full, True).first()["signals"] if s["key"] == "gate.note"] == [C.GATE_NOTES["dead"]]
